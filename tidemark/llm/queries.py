@@ -21,8 +21,29 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
 
 
+def url_rules() -> list:
+    from tidemark.llm.urls import Rule
+
+    return [
+        Rule("block", "com", "/en/"),
+        Rule("allow", "example.com", "/en/7"),
+        Rule("allow", "net", "/de/"),
+        Rule("block", "example.net", "/de/8"),
+        Rule("block", "org", "/es/"),
+    ]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"), url_rules())
+
+
 def queries() -> dict:
-    return {"op7_bpe_round_trip": op7_bpe_round_trip}
+    return {
+        "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op9_url_filter": op9_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
