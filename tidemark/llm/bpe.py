@@ -16,6 +16,7 @@ don't matter.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -23,14 +24,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.wordids import ID, WORD, encoder
+from tidemark.llm.wordids import ID, WORD, encoder, slices
 
 LEAF = 1 << 15
 UNSPLIT = 256  # longer words are kept as single tokens with their places
 WINDOW = 64
+EDGE = 512
+SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 class Pieces(NamedTuple):
@@ -41,8 +45,24 @@ class Pieces(NamedTuple):
     ids: list[bytes]
 
 
+def _edges(text: str) -> tuple[int, int]:
+    """Where the first and the last few words of text end and begin; between them pieces aren't needed.
+    0, 0 where white space doesn't allow this."""
+    if len(text) < 4 * EDGE:
+        return 0, 0
+    first = next((m.end() for m in SPACE.finditer(text, EDGE, len(text) // 2)), 0)
+    last = next((k for k in range(len(text) - EDGE, len(text) // 2, -1) if text[k] in " \t\n\r\x0b\x0c"), 0)
+    return (first, last) if first and last else (0, 0)
+
+
 def encode_pieces(text: str, at: int, path: str) -> Pieces:
-    """Pieces of text, which begins at place ``at`` of the document."""
+    """Pieces of text, which begins at place ``at`` of the document. All that lies between the
+    first and the last words is one piece."""
+    first, last = _edges(text)
+    if first:
+        head, tail = encode_pieces(text[:first], at, path), encode_pieces(text[last:], at + last, path)
+        middle = encoder(path).encode([text[first:last]])
+        return Pieces(head.starts + [at + first] + tail.starts, head.ends + [at + last] + tail.ends, head.ids + middle + tail.ids)
     enc, out = encoder(path), Pieces([], [], [])
     spans = [m.span() for m in WORD.finditer(text)]
     short = iter(enc.encode_words([text[a:b] for a, b in spans if b - a <= UNSPLIT]))
@@ -147,16 +167,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "ids": encoder(path).encode(pdf["text"].tolist())}, columns=["id", "ids"])
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            ids = encoder(path).encode(part["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(ids, pa.binary())], ["id", "ids"])
 
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            packed = [_pack(encode_pieces(t, k * leaf, path)) for t, k in zip(pdf["text"], pdf["k"], strict=True)]
-            for i, name in enumerate(("starts", "ends", "lengths", "ids")):
-                pdf[name] = [p[i] for p in packed]
-            yield pdf
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts, places = part["text"].to_pylist(), part["k"].to_pylist()
+            packed = [_pack(encode_pieces(t, k * leaf, path)) for t, k in zip(texts, places, strict=True)]
+            columns = [pa.array(list(c), pa.binary()) for c in zip(*packed, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "starts", "ends", "lengths", "ids"])
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -174,10 +195,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         .select("id", "row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))).alias("k"))
         .select("id", "row", "k", F.substring("text", F.col("k") * leaf + 1, F.lit(leaf)).alias("text"))
         .repartition("row", "k")
-        .mapInPandas(leaves, f"id {id_type}, row long, k int, text string, starts binary, ends binary, lengths binary, ids binary")
+        .mapInArrow(leaves, f"id {id_type}, row long, k int, text string, starts binary, ends binary, lengths binary, ids binary")
     )
     joined = cut.groupBy("row").applyInPandas(tree, out)
-    return rows.where(~long).mapInPandas(short, out).unionByName(joined).withColumnRenamed("id", id_col)
+    return rows.where(~long).mapInArrow(short, out).unionByName(joined).withColumnRenamed("id", id_col)
 
 
 _tables: dict[str, list[str]] = {}
@@ -195,19 +216,20 @@ def decode(ids: bytes, path: str) -> str:
 def round_trip(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, per row of docs."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_tokens": [len(x) // 4 for x in pdf["ids"]],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in pdf["ids"]],
-                    "decoded_sha256": [hashlib.sha256(decode(x, path).encode()).hexdigest() for x in pdf["ids"]],
-                },
-                columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "ids"):
+            ids = part["ids"].to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part["doc_id"],
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(decode(x, path).encode()).hexdigest() for x in ids], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return encode(docs, path, leaf=leaf).mapInPandas(
+    return encode(docs, path, leaf=leaf).mapInArrow(
         digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -8,10 +8,14 @@ against the library over whole texts.
 
 from __future__ import annotations
 
+import os
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # str.split() also cuts at these, some of which are no white space to the tokenizer
@@ -25,10 +29,24 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text) if ODD_SPACE.search(text) else text.split()
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, in order, with about ``size`` bytes in ``column`` or one row."""
+    for batch in batches:
+        start, held = 0, 0
+        for k, n in enumerate(pa.compute.binary_length(batch[column]).to_pylist()):
+            if held and held + (n or 0) > size:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,7 +86,7 @@ class WordEncoder:
         for text in texts:
             some.append(words_of(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 out += self._encode(some)
                 some, size = [], 0
         return out + self._encode(some)
@@ -76,8 +94,8 @@ class WordEncoder:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word; words hold no white space."""
         out: list[bytes] = []
-        for k in range(0, len(words), 200_000):
-            part = words[k : k + 200_000]
+        for k in range(0, len(words), 100_000):
+            part = words[k : k + 100_000]
             self._encode([part])
             out += map(self.words.__getitem__, part)
         return out
