@@ -39,10 +39,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), url_rules())
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import quality
+
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+
+
 def queries() -> dict:
     return {
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op9_url_filter": op9_url_filter,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
