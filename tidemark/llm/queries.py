@@ -46,8 +46,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict:
     return {
+        "op1_simhash": op1_simhash,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
