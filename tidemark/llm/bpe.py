@@ -19,11 +19,10 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,15 +161,31 @@ def _unpack(starts: bytes, ends: bytes, lengths: bytes, ids: bytes) -> Pieces:
     )
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """(id_col, ids) per row of docs; ids is binary, little-endian unsigned 32-bit."""
+def as_ids(ids: list[bytes]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary())]
+
+
+def encode(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    leaf: int = LEAF,
+    finish: Callable[[list[bytes]], list[pa.Array]] = as_ids,
+    columns: str = "ids binary",
+) -> DataFrame:
+    """id_col and what finish makes of the ids, per row of docs; ids are little-endian unsigned 32-bit.
+
+    finish runs in the task that encodes, so that ids need not go through another one.
+    """
+    names = ["id", *(c.split()[0] for c in columns.split(","))]
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             ids = encoder(path).encode(part["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(ids, pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([part["id"], *finish(ids)], names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -179,15 +194,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns = [pa.array(list(c), pa.binary()) for c in zip(*packed, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "starts", "ends", "lengths", "ids"])
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        text = "".join(pdf["text"])
-        parts = [_unpack(*x) for x in zip(pdf["starts"], pdf["ends"], pdf["lengths"], pdf["ids"], strict=True)]
-        bounds = [*(k * leaf for k in pdf["k"]), len(text)]
+    def tree(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        col = {c: rows[c].to_pylist() for c in ("k", "text", "starts", "ends", "lengths", "ids")}
+        text = "".join(col["text"])
+        parts = [_unpack(*x) for x in zip(col["starts"], col["ends"], col["lengths"], col["ids"], strict=True)]
+        bounds = [*(k * leaf for k in col["k"]), len(text)]
         ids = b"".join(concatenate(text, parts, bounds, path).ids)
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [ids]})
+        return pa.table([rows["id"].slice(0, 1), *finish([ids])], names)
 
-    out = f"id {id_type}, ids binary"
+    out = f"id {id_type}, {columns}"
     long = F.length("text") > leaf
     cut = (
         rows.where(long)
@@ -197,7 +213,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         .repartition("row", "k")
         .mapInArrow(leaves, f"id {id_type}, row long, k int, text string, starts binary, ends binary, lengths binary, ids binary")
     )
-    joined = cut.groupBy("row").applyInPandas(tree, out)
+    joined = cut.groupBy("row").applyInArrow(tree, out)
     return rows.where(~long).mapInArrow(short, out).unionByName(joined).withColumnRenamed("id", id_col)
 
 
@@ -216,20 +232,11 @@ def decode(ids: bytes, path: str) -> str:
 def round_trip(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, per row of docs."""
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "ids"):
-            ids = part["ids"].to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part["doc_id"],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(decode(x, path).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return encode(docs, path, leaf=leaf).mapInArrow(
-        digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    def digests(ids: list[bytes]) -> list[pa.Array]:
+        return [
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(decode(x, path).encode()).hexdigest() for x in ids], pa.string()),
+        ]
+
+    return encode(docs, path, leaf=leaf, finish=digests, columns="n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import re
 import string
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,9 @@ WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 TAIL = string.punctuation.replace("'", "")
 ID = np.dtype("<u4")
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and up, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 def words_of(text: str) -> list[str]:
@@ -45,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -57,28 +62,39 @@ class WordEncoder:
         self.cores: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, ID).tobytes() for x in found]
+        """Ids of words by the library: by its BPE model alone where the steps before it are plain.
+
+        A word of letters is one pre-token, and normalisation only lower-cases it if it is
+        composed already; what is left is the byte-level alphabet.
+        """
+        out: list[bytes] = [b""] * len(words)
+        other, tokenize = [], self.tokenizer.model.tokenize
+        for k, w in enumerate(words):
+            low = w.lower()
+            if w.isalpha() and (w.isascii() or len(low) == len(w) and low.isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low)):
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(BYTE_LETTERS)
+                out[k] = array("I", [t.id for t in tokenize(low)]).tobytes()
+            else:
+                other.append(k)
+        found = self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)
+        for k, x in zip(other, found, strict=True):
+            out[k] = np.array(x.ids, ID).tobytes()
+        return out
 
     def _learn(self, words: set[str]) -> None:
         """Adds words to the table. Letters and the punctuation after them are separate
         pre-tokens, so 'word,' is looked up as 'word' and ','."""
         if len(self.cores) > self.limit:
             self.cores.clear()
-        cut, whole = {}, []
+        cut = {}
         for w in words:
             core = w.rstrip(TAIL)
-            if len(core) < len(w) and core.isalpha():
-                cut[w] = core, w[len(core) :]
-            else:
-                whole.append(w)
-        new = ({x for pair in cut.values() for x in pair} | set(whole)) - self.cores.keys()
-        new = list(new)
-        self.cores.update(zip(new, self._library(new), strict=True))
-        for w in whole:
-            self.words[w] = self.cores[w]
-        for w, (core, tail) in cut.items():
-            self.words[w] = self.cores[core] + self.cores[tail]
+            cut[w] = (core, w[len(core) :]) if len(core) < len(w) and core.isalpha() else (w, "")
+        new = list({x for pair in cut.values() for x in pair if x} - self.cores.keys())
+        cores = self.cores
+        cores.update(zip(new, self._library(new), strict=True))
+        self.words.update((w, cores[core] + cores[tail] if tail else cores[core]) for w, (core, tail) in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, a few texts at a time so that memory stays bounded."""
