@@ -52,10 +52,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import mixing
+
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_source_mix": op8_source_mix,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
     }
