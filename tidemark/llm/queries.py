@@ -58,9 +58,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import repair
+
+    return repair.token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op4_token_files": op4_token_files,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_source_mix": op8_source_mix,
         "op9_url_filter": op9_url_filter,
