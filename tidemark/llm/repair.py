@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of their id to partitions, encoded, and cut into shards of about
 ``shard_tokens`` ids. In each shard frequent pairs of neighbouring ids are replaced by
-nonterminals, round after round, until no pair comes ``least`` times. A shard's image holds the
+nonterminals, round after round, until no pair comes ``least`` times (or for ``rounds`` rounds, which only costs size). A shard's image holds the
 rules with their expansion lengths, the compressed ids, the place in them at which each document begins, and each
 document's id count; so one document can be decoded without the ids before it.
 
@@ -33,26 +33,65 @@ from tidemark.llm.wordids import ID, encoder, slices
 MAGIC = 0x52505431
 END = 1
 SHARD_TOKENS = 1 << 20
-BUCKETS = 1 << 20
+BUCKET_BITS = 18
 LEAST = 64
-ROUNDS = 12
+ROUNDS = 10
 
 
-def _frequent(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs that come at least ``least`` times, most frequent first, and their counts.
+def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, rank of the pair at each, pairs by rank) of all pairs that come at least ``least`` times.
 
-    Pairs are first counted by hash bucket; a pair can't be frequent where its bucket
-    isn't, so only pairs of frequent buckets are sorted. The counts are exact.
+    Pairs are first counted by hash bucket; a pair can't be frequent where its bucket isn't. A
+    frequent bucket nearly always holds one pair; what else lies in it is sorted. Counts are exact.
     """
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    key = key[~barrier]
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    often = np.bincount(bucket, minlength=BUCKETS) >= least
-    pairs, counts = np.unique(key[often[bucket]], return_counts=True)
-    keep = counts >= least
-    pairs, counts = pairs[keep], counts[keep]
-    order = np.argsort(-counts, kind="stable")
-    return pairs[order], counts[order]
+    a, b = seq[:-1], seq[1:]
+    bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
+    bucket[barrier] = 0
+    often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least
+    often[0] = False
+    places = np.flatnonzero(often[bucket])
+    key = a[places].astype(np.uint64) << np.uint64(32) | b[places]
+    slot = bucket[places]
+    one = np.zeros(1 << BUCKET_BITS, np.uint64)
+    one[slot] = key
+    same = one[slot] == key
+    counts = np.bincount(slot[same], minlength=1 << BUCKET_BITS)
+    slots = np.flatnonzero(counts >= least)
+    pairs, n = one[slots], counts[slots]
+    rest, where, times = np.unique(key[~same], return_inverse=True, return_counts=True)
+    more = times >= least
+    number = np.full(1 << BUCKET_BITS, -1, np.int32)
+    number[slots] = np.arange(len(slots))
+    index = number[slot]
+    other = np.full(len(rest), -1, np.int32)
+    other[more] = len(slots) + np.arange(int(more.sum()))
+    index[~same] = other[where]
+    pairs, n = np.concatenate([pairs, rest[more]]), np.concatenate([n, times[more]])
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    keep = index >= 0
+    return places[keep], rank[index[keep]], pairs[order]
+
+
+def _chosen(places: np.ndarray, rank: np.ndarray, seq_len: int) -> np.ndarray:
+    """Which of the places are replaced: where two overlap, the better ranked; every second of a run of one pair."""
+    none = np.int32(np.iinfo(np.int32).max)
+    at = np.full(seq_len + 1, none, np.int32)
+    at[places + 1] = rank
+    left, right = at[places], at[places + 2] if seq_len > 1 else none
+    take = (rank < left) & (rank <= right)
+    tie = rank == left
+    if tie.any():
+        run = np.flatnonzero(tie)
+        starts = np.concatenate([[True], np.diff(places[run]) > 1])
+        begin = run[starts][np.cumsum(starts) - 1]  # first of the run that ties with its left
+        second = (places[run] - places[begin]) % 2 == 1
+        taken = np.zeros(seq_len + 2, bool)
+        taken[places[take] + 1] = True
+        free = ~taken[places[run]] & ~taken[places[run] + 2]
+        take[run[second & free & (rank[run] <= right[run])]] = True
+    return take
 
 
 def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,49 +102,22 @@ def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST,
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        barrier = np.zeros(len(seq) - 1, bool)
-        inner = starts[(starts > 0) & (starts < len(seq))]
-        barrier[inner - 1] = True
-        pairs, _ = _frequent(seq, barrier, least)
+        barrier = starts[(starts > 0) & (starts < len(seq))] - 1
+        places, rank, pairs = _ranked(seq, barrier, least)
         if not len(pairs):
             break
-        # a place goes to the better ranked of the pairs that overlap there; what loses waits for the next round
-        ranked = np.argsort(pairs, kind="stable")
-        sorted_pairs = pairs[ranked]
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        at = np.searchsorted(sorted_pairs, key)
-        at[at == len(sorted_pairs)] = 0
-        hit = (sorted_pairs[at] == key) & ~barrier
-        rank = np.where(hit, ranked[at], len(pairs)).astype(np.int64)
-        left = np.concatenate([[len(pairs)], rank[:-1]])
-        right = np.concatenate([rank[1:], [len(pairs)]])
-        take = hit & (rank < left) & (rank <= right)
-        # runs of one pair (aaaa) tie all along: every second place of a run
-        tie = hit & (rank == left)
-        if tie.any():
-            run = np.flatnonzero(tie)
-            first = run[np.concatenate([[True], np.diff(run) > 1])]
-            begin = np.zeros(len(rank), np.int64)
-            begin[first] = first
-            begin = np.maximum.accumulate(begin)
-            even = tie & ((np.arange(len(rank)) - begin) % 2 == 1)
-            free = ~np.concatenate([[False], take[:-1]]) & ~np.concatenate([take[1:], [False]])
-            even &= free & (rank <= right)
-            take |= even & ~np.concatenate([[False], even[:-1]])
-        used, where = np.unique(rank[take], return_inverse=True)
-        if not len(used):
-            break
+        take = _chosen(places, rank, len(seq))
+        counts = np.bincount(rank[take], minlength=len(pairs))
+        used = np.flatnonzero(counts)
+        symbol = np.zeros(len(pairs), np.uint32)
+        symbol[used] = base + n_rules + np.arange(len(used))
         new = pairs[used]
         rules.append(np.stack([(new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)], 1))
-        places = np.flatnonzero(take)
-        seq = seq.copy()
-        seq[places] = (base + n_rules + where).astype(np.uint32)
         n_rules += len(used)
-        keep = np.ones(len(seq), bool)
-        keep[places + 1] = False
-        shift = np.concatenate([[0], np.cumsum(~keep)])
-        starts = starts - shift[starts]
-        seq = seq[keep]
+        places = places[take]
+        seq[places] = symbol[rank[take]]
+        starts = starts - np.searchsorted(places, starts - 1)
+        seq = np.delete(seq, places + 1)
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
