@@ -12,7 +12,7 @@ import os
 import re
 import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -47,6 +47,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000
             yield batch.slice(start)
 
 
+class _Known(dict):
+    """A bounded table that asks ``learn`` for what it lacks; emptied when it is full."""
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.learn, self.limit = learn, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.learn(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
@@ -57,74 +72,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self._tokenize = self.tokenizer.model.tokenize
+        self.words = _Known(self._word, limit)
+        self.cores = _Known(self._core, limit)
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        """Ids of words by the library: by its BPE model alone where the steps before it are plain.
+    def _word(self, w: str) -> bytes:
+        """Letters and the punctuation after them are separate pre-tokens, so 'word,' is 'word' and ','."""
+        core = w.rstrip(TAIL)
+        if len(core) < len(w) and core.isalpha():
+            return self.cores[core] + self.cores[w[len(core) :]]
+        return self.cores[w]
+
+    def _core(self, w: str) -> bytes:
+        """Ids by the library: by its BPE model alone where the steps before it are plain.
 
         A word of letters is one pre-token, and normalisation only lower-cases it if it is
         composed already; what is left is the byte-level alphabet.
         """
-        out: list[bytes] = [b""] * len(words)
-        other, tokenize = [], self.tokenizer.model.tokenize
-        for k, w in enumerate(words):
+        if w.isalpha():
             low = w.lower()
-            if w.isalpha() and (w.isascii() or len(low) == len(w) and low.isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low)):
-                if not low.isascii():
-                    low = low.encode().decode("latin-1").translate(BYTE_LETTERS)
-                out[k] = array("I", [t.id for t in tokenize(low)]).tobytes()
-            else:
-                other.append(k)
-        found = self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)
-        for k, x in zip(other, found, strict=True):
-            out[k] = np.array(x.ids, ID).tobytes()
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Adds words to the table. Letters and the punctuation after them are separate
-        pre-tokens, so 'word,' is looked up as 'word' and ','."""
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        cut = {}
-        for w in words:
-            core = w.rstrip(TAIL)
-            cut[w] = (core, w[len(core) :]) if len(core) < len(w) and core.isalpha() else (w, "")
-        new = list({x for pair in cut.values() for x in pair if x} - self.cores.keys())
-        cores = self.cores
-        cores.update(zip(new, self._library(new), strict=True))
-        self.words.update((w, cores[core] + cores[tail] if tail else cores[core]) for w, (core, tail) in cut.items())
+            if w.isascii():
+                return array("I", [t.id for t in self._tokenize(low)]).tobytes()
+            if len(low) == len(w) and low.isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low):
+                return array("I", [t.id for t in self._tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, a few texts at a time so that memory stays bounded."""
-        out, some, size = [], [], 0
-        for text in texts:
-            some.append(words_of(text))
-            size += len(text)
-            if size > 1_000_000:
-                out += self._encode(some)
-                some, size = [], 0
-        return out + self._encode(some)
+        """The ids of each text."""
+        get = self.words.__getitem__
+        return [b"".join(map(get, words_of(text))) for text in texts]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word; words hold no white space."""
-        out: list[bytes] = []
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000]
-            self._encode([part])
-            out += map(self.words.__getitem__, part)
-        return out
-
-    def _encode(self, lists: list[list[str]]) -> list[bytes]:
-        new = set().union(*lists) - self.words.keys() if lists else set()
-        if new:
-            if len(self.words) > self.limit:  # clearing would lose words of these lists
-                self.words.clear()
-                new = set().union(*lists)
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        return list(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
