@@ -64,10 +64,38 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import chat
+
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+convs AS (
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS turns,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), ''
+      ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM turns GROUP BY conv_id),
+heads AS (SELECT DISTINCT turns[1:k] AS head FROM convs, range(1, n_turns) AS r(k)),
+firsts AS (SELECT turns, min(conv_id) AS conv_id FROM convs GROUP BY turns)
+SELECT c.conv_id, c.n_turns, c.text FROM convs c JOIN firsts f ON c.conv_id = f.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.head = c.turns)
+"""
+
+
+def op5_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import sharding
+
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op3_chat_format": op3_chat_format,
         "op4_token_files": op4_token_files,
+        "op5_hash_shards": op5_hash_shards,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_source_mix": op8_source_mix,
         "op9_url_filter": op9_url_filter,
@@ -76,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL}
