@@ -154,7 +154,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """page_id, host, path, rule, score and verdict of each row of pages."""
     from tidemark.llm.storage import saved
 
-    ruled = with_rule(pages.select("page_id", "url"), rules).withColumn("grams", grams(codes(F.col("url"))))
+    # codes is a column of its own: within grams' lambda its expression would run once per character
+    marked = with_rule(pages.select("page_id", "url"), rules).withColumn("codes", codes(F.col("url")))
+    ruled = saved(marked.withColumn("grams", grams(F.col("codes"))).drop("codes", "url"), "ruled-pages")
     labelled = ruled.where(F.col("rule").isNotNull()).select(F.col("rule_verdict").alias("verdict"), "grams")
     weights = saved(train(labelled).coalesce(1), "url-model")
     scored = with_score(labelled, weights).select("verdict", "score")
