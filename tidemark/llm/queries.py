@@ -90,12 +90,19 @@ def op5_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import substring
+
+    return substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "at", "component_id", "removed")
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_chat_format": op3_chat_format,
         "op4_token_files": op4_token_files,
         "op5_hash_shards": op5_hash_shards,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_source_mix": op8_source_mix,
         "op9_url_filter": op9_url_filter,
