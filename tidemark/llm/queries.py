@@ -96,9 +96,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "at", "component_id", "removed")
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import media
+
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_media_chunks": op2_media_chunks,
         "op3_chat_format": op3_chat_format,
         "op4_token_files": op4_token_files,
         "op5_hash_shards": op5_hash_shards,
