@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +27,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a finished query's shuffle files go at once, where Spark offers that."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with freed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)

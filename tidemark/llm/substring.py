@@ -32,8 +32,8 @@ from tidemark.llm.wordids import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
-WORDS = 26
-REACH = 25
+WORDS = 24
+REACH = 27
 BANDS, ROWS = 4, 3
 LIKE = 0.8
 TILE = 256
@@ -116,14 +116,19 @@ def found(docs: DataFrame) -> DataFrame:
                 hs.append(h)
                 ks.append(keys)
             which = pa.array(np.repeat(np.arange(part.num_rows), lengths))
-            keys = np.concatenate(ks).reshape(-1).view(np.int64)
+            h = np.concatenate(hs)
+            # of equal paragraphs of this part one has keys: a passage that is everywhere costs little beyond
+            new = np.zeros(len(h), bool)
+            new[np.unique(h, return_index=True)[1]] = True
+            keys = pa.array(np.concatenate(ks)[new].reshape(-1).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part["row"].take(which),
                     part["doc_id"].take(which),
                     pa.array(np.concatenate(ats).astype(np.int32)),
-                    pa.array(np.concatenate(hs).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys)),
+                    pa.array(h.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), keys),
                 ],
                 ["row", "doc_id", "at", "h", "keys"],
             )
@@ -166,11 +171,41 @@ def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float)
     return np.triu(near, 1) if other is None else near
 
 
+def _mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h) of the keys with more than one h, from rows in order of their key.
+
+    Keys of one neighbourhood only are left out: paragraphs that overlap are alike without being repeats.
+    A key's rows are held until the next key comes; of very many, those known to belong go on earlier.
+    """
+
+    def out(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], ["key", "h"])
+
+    held = np.zeros((0, 3), np.int64)
+    for batch in batches:
+        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "h", "place")], 1)
+        rows = np.concatenate([held, rows])
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        low, high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
+        mixed = (low[:, 1:] != high[:, 1:]).all(axis=1)
+        counts = np.diff(np.concatenate([starts, [len(rows)]]))
+        held = np.unique(rows[starts[-1] :], axis=0)
+        if len(held) < 1 << 16:
+            mixed[-1] = False
+        elif mixed[-1]:  # two rows that show what the key is stay
+            held = held[[0, int(np.argmax(held[:, 2] != held[0, 2])), len(held) - 1]]
+        take = np.repeat(mixed, counts)
+        yield out(rows[take, 0], rows[take, 1])
+    if len(held) and (held[0, 1:] != held[:, 1:]).any(axis=0).all():
+        yield out(held[:, 0].copy(), held[:, 1].copy())
+
+
 def links(marks: DataFrame, docs: DataFrame, like: float = LIKE) -> DataFrame:
     """(a, b): links between classes that connect all that share a band and are alike enough."""
-    keyed = marks.select("h", F.explode("keys").alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    members = saved(keyed.join(mixed, "key").distinct(), "bands")
+    place = F.hash("row", F.shiftright("at", 7)).alias("place")
+    keyed = marks.where(F.size("keys") > 0).select("h", place, F.explode("keys").alias("key"))
+    mixed = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_groups, "key long, h long")
+    members = saved(mixed.distinct(), "bands")
     wanted = marks.join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("row", "at")).alias("first")).select("h", "first.*")
     sets = saved(_shingles_of(docs, saved(wanted, "wanted")), "shingles")
     # groups of any size become tiles of about TILE classes, and each two tiles of a group meet once
