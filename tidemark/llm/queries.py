@@ -102,6 +102,12 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -114,6 +120,7 @@ def queries() -> dict:
         "op8_source_mix": op8_source_mix,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": pipeline,
     }
 
 
