@@ -89,7 +89,7 @@ def domain_counts(signed: DataFrame, spine: DataFrame, marks: Sequence[int], lea
     at_mark = F.array(*(F.lit(int(m)) for m in marks)) if marks else F.array().cast("array<int>")
 
     def fold(acc: Column, t: Column) -> Column:
-        s = F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + F.coalesce(F.try_element_at(F.col("m"), t.cast("long")), F.lit(0).cast("long"))
+        s = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + F.coalesce(F.try_element_at(F.col("m"), t.cast("long")), F.lit(0).cast("long"))
         return F.concat(acc, F.array(F.when(F.array_contains(at_mark, t) & (s <= least), 0).otherwise(s)))
 
     folded = by.select("domain", F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<bigint>"), fold).alias("v"))

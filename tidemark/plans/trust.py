@@ -1 +1,279 @@
-"""Queries."""
+"""Queries of source trust: references, sessions, preferences, classifications, and the preference graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import domains
+from tidemark.operators import counters, graph, trust
+from tidemark.plans import adapter
+from tidemark.plans.adapter import ORIGIN, STEP_US, view
+from tidemark.plans.registry import query
+
+GAP = 2 * 86400 * 1000000
+LAST = 9
+MARKS = trust.discard_steps(10, 3, 9)  # 3, 6, 9
+
+adapter.CTES |= {
+    "rd": """SELECT *, regexp_extract(reference, '://([^/?#]+)', 1) AS domain, CASE WHEN action = 'CREATE' THEN 1 ELSE -1 END AS sign FROM rc""",
+    "ses0": "SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY statement ORDER BY us, revision_id) > 172800000000 THEN 1 ELSE 0 END AS isnew FROM rd",
+    "ses": "SELECT *, CAST(sum(isnew) OVER (PARTITION BY statement ORDER BY us, revision_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM ses0",
+    "net": "SELECT statement, session, reference, domain, CAST(sum(sign) AS BIGINT) AS net FROM ses GROUP BY statement, session, reference, domain",
+    "clo": """SELECT statement, session, count(*) AS edits, count(DISTINCT reference) AS refs, max(us) AS last_us,
+  CAST(floor(CAST(max(us) + 172800000000 - 1704067200000000 AS DOUBLE) / 2.592e11) AS BIGINT) AS step FROM ses GROUP BY statement, session""",
+    "pref": """SELECT c.step, o.domain AS src, n.domain AS dst, count(*) AS weight
+  FROM (SELECT DISTINCT statement, session, domain FROM net WHERE net <= 0) o JOIN (SELECT DISTINCT statement, session, domain FROM net WHERE net > 0) n
+  ON o.statement = n.statement AND o.session = n.session AND o.domain <> n.domain JOIN clo c ON c.statement = o.statement AND c.session = o.session GROUP BY c.step, o.domain, n.domain""",
+    "ends": "SELECT step, src AS domain, weight AS o, 0 AS i FROM pref UNION ALL SELECT step, dst, 0, weight FROM pref",
+    "flow": """SELECT s.step, e.domain, CAST(sum(e.o) AS BIGINT) AS out_weight, CAST(sum(e.i) AS BIGINT) AS in_weight FROM spine s JOIN ends e ON e.step <= s.step GROUP BY s.step, e.domain""",
+    "mass": """SELECT s.step, r.domain, CAST(sum(CASE WHEN r.action = 'CREATE' THEN 1 ELSE 0 END) AS DOUBLE) AS mass FROM spine s JOIN rd r ON r.step <= s.step GROUP BY s.step, r.domain""",
+    "sm": """SELECT f.step, f.domain, m.mass, CASE WHEN out_weight >= 0.6 * (out_weight + in_weight) THEN 'dominated' WHEN in_weight >= 0.6 * (out_weight + in_weight) THEN 'dominating' ELSE 'contested' END AS class
+  FROM flow f JOIN mass m ON m.step = f.step AND m.domain = f.domain WHERE m.mass > 0 AND out_weight + in_weight > 0 AND out_weight + in_weight >= 0.05 * m.mass""",
+    "edges": "SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM pref WHERE step <= 9 GROUP BY src, dst",
+    "mass9": "SELECT domain, mass FROM mass WHERE step = 9",
+}
+adapter.ORDER[:] = list(adapter.CTES)
+
+
+def refs(s: SparkSession, d: str) -> DataFrame:
+    return trust.edit_stream(view(s, d, "rc").withColumn("domain", F.regexp_extract("reference", "://([^/?#]+)", 1)))
+
+
+def sessions(s: SparkSession, d: str) -> DataFrame:
+    return trust.sessionize(refs(s, d), GAP)
+
+
+def closes(s: SparkSession, d: str) -> DataFrame:
+    return trust.session_close(sessions(s, d), GAP, ORIGIN, STEP_US)
+
+
+def prefs(s: SparkSession, d: str) -> DataFrame:
+    x = sessions(s, d)
+    return trust.preferences(trust.session_net(x), trust.session_close(x, GAP, ORIGIN, STEP_US))
+
+
+def spine(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "spine")
+
+
+def mass(s: SparkSession, d: str) -> DataFrame:
+    """Creations so far of each domain, from its first reference on."""
+    by = refs(s, d).groupBy("step", "domain").agg(F.count_if(F.col("action") == "CREATE").alias("d"))
+    return counters.running(by, spine(s, d), ["domain"]).withColumnRenamed("value", "mass")
+
+
+def mass9(s: SparkSession, d: str) -> DataFrame:
+    return mass(s, d).where(F.col("step") == LAST).select("domain", "mass")
+
+
+def edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.edges_at(prefs(s, d), LAST)
+
+
+@query("h1", "SELECT revision_id, replace(trim(coalesce(reference, ''), '\"'), ' ', '%20') AS reference FROM rc")
+def h1(s, d):
+    return view(s, d, "rc").select("revision_id", domains.normalize_reference(F.col("reference")).alias("reference"))
+
+
+@query("h2", "SELECT revision_id, reference FROM rc WHERE regexp_matches(reference, '^(Q|http|www|ISBN|PMID|DOI)')")
+def h2(s, d):
+    return view(s, d, "rc").where(domains.counts(F.col("reference"))).select("revision_id", "reference")
+
+
+@query("h3", "SELECT DISTINCT reference, regexp_extract(regexp_extract(reference, '://([^/?#:]+)', 1), '[^.]+[.][^.]+$') AS domain FROM rc")
+def h3(s, d):
+    return domains.with_domain(view(s, d, "rc").select("reference").distinct()).select("reference", "domain")
+
+
+H4 = """WITH RECURSIVE g AS (SELECT s.step, k.domain, CAST(coalesce(sum(r.sign), 0) AS BIGINT) AS d FROM spine s CROSS JOIN (SELECT DISTINCT domain FROM rd) k
+  LEFT JOIN rd r ON r.step = s.step AND r.domain = k.domain GROUP BY s.step, k.domain),
+fold AS (SELECT step, domain, CASE WHEN step IN (3, 6, 9) AND d <= 1 THEN 0 ELSE d END AS v FROM g WHERE step = 0
+  UNION ALL SELECT g.step, g.domain, CASE WHEN g.step IN (3, 6, 9) AND f.v + g.d <= 1 THEN 0 ELSE f.v + g.d END FROM fold f JOIN g ON g.step = f.step + 1 AND g.domain = f.domain)
+"""
+TOTALS = "tot AS (SELECT s.step, CAST(sum(r.sign) AS DOUBLE) AS value FROM spine s JOIN rd r ON r.step <= s.step GROUP BY s.step)\n"
+
+
+def recursive(text: str) -> str:
+    """The recursive CTE after the adapter's, with RECURSIVE said first."""
+    whole = adapter.sql(text.replace("WITH RECURSIVE", "WITH", 1), "duckdb")
+    return whole.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def kept(s: SparkSession, d: str) -> DataFrame:
+    return trust.domain_counts(refs(s, d).withColumn("d", F.col("sign").cast("long")), spine(s, d), MARKS)
+
+
+def totals(s: SparkSession, d: str) -> DataFrame:
+    return counters.created_less_deleted(refs(s, d), spine(s, d))
+
+
+def raw_query(name: str, sql: str):
+    from tidemark.plans import registry
+
+    def register(f):
+        registry._queries[name] = f
+        registry._sql[name] = sql
+        return f
+
+    return register
+
+
+raw_query("h4", recursive(H4 + "SELECT step, domain, v AS count FROM fold WHERE v <> 0"))(lambda s, d: kept(s, d))
+raw_query("h5", recursive(H4.rstrip() + ",\n" + TOTALS + "SELECT f.step, f.domain, f.v AS count, f.v / t.value AS fraction FROM fold f JOIN tot t ON t.step = f.step WHERE f.v <> 0"))(
+    lambda s, d: trust.domain_fractions(kept(s, d), totals(s, d))
+)
+raw_query(
+    "h5_tail",
+    recursive(
+        H4.rstrip()
+        + ",\n"
+        + TOTALS
+        + "SELECT t.step, t.value AS total, t.value - coalesce(h.held, 0) AS tail, (t.value - coalesce(h.held, 0)) / t.value AS tail_fraction FROM tot t LEFT JOIN (SELECT step, CAST(sum(v) AS DOUBLE) AS held FROM fold GROUP BY step) h ON h.step = t.step"
+    ),
+)(lambda s, d: trust.tail(kept(s, d), totals(s, d)))
+query("h6", "SELECT statement, us, revision_id, reference, sign FROM rd")(lambda s, d: refs(s, d).select("statement", "us", "revision_id", "reference", "sign"))
+query("h7", "SELECT revision_id, statement, session FROM ses")(lambda s, d: sessions(s, d).select("revision_id", "statement", "session"))
+query("h8", "SELECT * FROM net")(lambda s, d: trust.session_net(sessions(s, d)))
+query("h9", "SELECT statement, session, edits, last_us, step FROM clo")(lambda s, d: closes(s, d).drop("references"))
+query("h10", "SELECT * FROM pref")(prefs)
+query(
+    "h11_stats",
+    """WITH b AS (SELECT s.step, count(c.statement) AS closed, coalesce(sum(c.edits), 0) AS e, coalesce(sum(c.refs), 0) AS r FROM spine s LEFT JOIN clo c ON c.step = s.step GROUP BY s.step)
+SELECT step, closed, CAST(sum(closed) OVER w AS BIGINT) AS closed_total, e / nullif(closed, 0) AS avg_size, sum(e) OVER w / nullif(sum(closed) OVER w, 0) AS avg_size_total, r / nullif(closed, 0) AS avg_references
+FROM b WINDOW w AS (ORDER BY step)""",
+)(lambda s, d: trust.session_stats(closes(s, d), spine(s, d)))
+query("h11", "SELECT * FROM flow")(lambda s, d: trust.flows(prefs(s, d), spine(s, d)))
+
+
+def classes(s: SparkSession, d: str) -> DataFrame:
+    return trust.supermajority(trust.flows(prefs(s, d), spine(s, d)), mass(s, d))
+
+
+query("h12", "SELECT * FROM sm")(classes)
+query(
+    "h12_fractions",
+    """WITH t AS (SELECT step, sum(mass) AS total FROM mass GROUP BY step), b AS (SELECT sm.step, class, sum(mass) / max(t.total) AS fraction FROM sm JOIN t ON t.step = sm.step GROUP BY sm.step, class)
+SELECT * FROM b UNION ALL SELECT t.step, 'unclassified', greatest(0, 1 - coalesce((SELECT sum(fraction) FROM b WHERE b.step = t.step), 0)) FROM t""",
+)(lambda s, d: trust.class_fractions(classes(s, d), mass(s, d)))
+query(
+    "h13",
+    """SELECT m.step, m.domain, m.mass, CAST(m.rank AS INT) AS rank, CASE sm.class WHEN 'dominated' THEN 0 WHEN 'contested' THEN 1 WHEN 'dominating' THEN 2 ELSE -1 END AS class_value
+FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY mass DESC, domain) AS rank FROM mass) m LEFT JOIN sm ON sm.step = m.step AND sm.domain = m.domain WHERE m.rank <= 10""",
+)(lambda s, d: trust.top_classes(classes(s, d), mass(s, d), 10))
+
+W = """low_high AS (SELECT *, out_weight / deff AS k, (out_weight + in_weight) / deff AS n FROM x),
+w AS (SELECT *, k / n AS p FROM low_high),
+w2 AS (SELECT *, (p + 3.8416 / (2 * n)) AS c, 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n) AS s FROM w),
+w3 AS (SELECT *, greatest((c - s) / (1 + 3.8416 / n), 0) AS low, least((c + s) / (1 + 3.8416 / n), 1) AS high FROM w2)
+"""
+H15 = (
+    """WITH v AS (SELECT f.*, m.mass, c.creates FROM flow f JOIN mass m ON m.step = f.step AND m.domain = f.domain
+  LEFT JOIN (SELECT step, domain, mass AS creates FROM mass) c ON c.step = f.step AND c.domain = f.domain WHERE out_weight + in_weight > 0 AND m.mass > 0),
+y AS (SELECT *, 1 + 0.5 * ln(1 + mass / 1000) AS deff, (mass + 1) / (sum(mass) OVER q + count(*) OVER q) AS ms, (creates + 1) / (sum(creates) OVER q + count(*) OVER q) AS cs FROM v WINDOW q AS (PARTITION BY step)),
+z AS (SELECT *, greatest(0.02, least(0.98, ms / (ms + cs))) AS p0 FROM y),
+x AS (SELECT *, greatest(p0 * 0.7e0 / (p0 * 0.7e0 + (1 - p0) * 0.3e0), 0.7) AS bar FROM z),
+"""
+    + W
+)
+
+
+def wilson_classes(s: SparkSession, d: str) -> DataFrame:
+    m = mass(s, d)
+    return trust.flow_wilson(trust.flows(prefs(s, d), spine(s, d)), m, m.withColumnRenamed("mass", "creates"))
+
+
+query("h14", H15 + "SELECT step, domain, round(low, 9) AS low, round(high, 9) AS high FROM w3")(lambda s, d: wilson_classes(s, d).select("step", "domain", F.round("low", 9).alias("low"), F.round("high", 9).alias("high")))
+query(
+    "h15",
+    H15 + "SELECT step, domain, round(p0, 9) AS p0, round(bar, 9) AS bar, CASE WHEN low >= bar THEN 'dominated' WHEN high <= 0.3 THEN 'dominating' ELSE 'contested' END AS class FROM w3",
+)(lambda s, d: wilson_classes(s, d).select("step", "domain", F.round("p0", 9).alias("p0"), F.round("bar", 9).alias("bar"), "class"))
+query("h15_diagnostics")(lambda s, d: trust.wilson_diagnostics(wilson_classes(s, d)))
+raw_query(
+    "h16",
+    recursive(
+        H4.replace("sum(r.sign)", "sum(CASE WHEN r.sign > 0 THEN 1 ELSE 0 END)") + "SELECT step, domain, v AS count FROM fold WHERE v <> 0"
+    ),
+)(lambda s, d: trust.domain_counts(refs(s, d).withColumn("d", (F.col("sign") > 0).cast("long")), spine(s, d), MARKS))
+query(
+    "h17",
+    """WITH fe AS (SELECT src, dst, min(step) AS step FROM pref GROUP BY src, dst), fv AS (SELECT v, min(step) AS step FROM (SELECT src AS v, step FROM pref UNION ALL SELECT dst, step FROM pref) GROUP BY v),
+n AS (SELECT s.step, (SELECT count(*) FROM fv WHERE fv.step <= s.step) AS vertices, (SELECT count(*) FROM fe WHERE fe.step <= s.step) AS edges, (SELECT count(*) FROM fe WHERE fe.step = s.step) AS new_edges FROM spine s)
+SELECT *, coalesce(edges / nullif(vertices * (vertices - 1), 0), 0) AS density, coalesce(edges / nullif(vertices, 0), 0) AS average_degree, max(edges) OVER (ORDER BY step) AS max_edges FROM n""",
+)(lambda s, d: graph.graph_series(prefs(s, d), spine(s, d)))
+query(
+    "h18",
+    """SELECT src, dst, weight FROM edges WHERE src IN (SELECT domain FROM mass9 WHERE mass >= 20) AND dst IN (SELECT domain FROM mass9 WHERE mass >= 20)""",
+)(lambda s, d: graph.without_low_mass(edges(s, d), mass9(s, d), 20, 10))
+
+ACCEPTED = """WITH o AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS k, count(*) OVER () AS n FROM edges), cut AS (SELECT weight AS c FROM o WHERE k = CAST(ceil(0.3e0 * n) AS BIGINT) - 1),
+acc AS (SELECT e.src, e.dst, e.weight FROM edges e LEFT JOIN edges r ON r.src = e.dst AND r.dst = e.src CROSS JOIN cut WHERE e.weight > cut.c AND e.weight >= 0.8 * coalesce(r.weight, 0))
+"""
+query("h19", ACCEPTED + "SELECT * FROM acc")(lambda s, d: graph.accepted_edges(edges(s, d), 0.3))
+query(
+    "h20",
+    """WITH w AS (SELECT domain, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i) AS BIGINT) AS i FROM ends WHERE step <= 9 GROUP BY domain)
+SELECT w.domain, CASE WHEN o >= 0.7 * (o + i) THEN 'dominated' WHEN i >= 0.7 * (o + i) THEN 'dominating' ELSE 'contested' END AS class FROM w JOIN mass9 m ON m.domain = w.domain WHERE mass > 0 AND o + i > 0 AND o + i >= 0.01 * mass""",
+)(lambda s, d: graph.weight_flow(edges(s, d), mass9(s, d)))
+DEGREE = """,
+deg AS (SELECT domain, CASE WHEN sum(o) = 0 THEN 'dominating' WHEN sum(i) = 0 THEN 'dominated' ELSE 'contested' END AS class FROM (SELECT src AS domain, 1 AS o, 0 AS i FROM acc UNION ALL SELECT dst, 0, 1 FROM acc) GROUP BY domain)"""
+query("h21", ACCEPTED.rstrip() + DEGREE + "\nSELECT * FROM deg")(lambda s, d: graph.simple_degree(graph.accepted_edges(edges(s, d), 0.3)))
+query(
+    "h22",
+    ACCEPTED.rstrip()
+    + DEGREE
+    + """,
+r0 AS (SELECT src AS origin, dst AS start, dst AS pos FROM acc), r1 AS (SELECT DISTINCT origin, start, a.dst AS pos FROM r0 JOIN acc a ON a.src = r0.pos), r2 AS (SELECT DISTINCT origin, start, a.dst AS pos FROM r1 JOIN acc a ON a.src = r1.pos),
+r3 AS (SELECT DISTINCT origin, start, a.dst AS pos FROM r2 JOIN acc a ON a.src = r2.pos), back AS (SELECT origin, start FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) WHERE pos = origin),
+lost AS (SELECT DISTINCT src FROM acc WHERE (src, dst) NOT IN (SELECT (origin, start) FROM back))
+SELECT domain, CASE WHEN class = 'contested' AND domain IN (SELECT src FROM lost) THEN 'dominated' ELSE class END AS class FROM deg""",
+)(lambda s, d: graph.degree_with_path(graph.accepted_edges(edges(s, d), 0.3)))
+query(
+    "h23",
+    ACCEPTED.rstrip()
+    + DEGREE
+    + """,
+v AS (SELECT src AS domain FROM edges UNION SELECT dst FROM edges)
+SELECT coalesce(deg.class, CASE WHEN v.domain IS NULL THEN 'not_in_graph' ELSE 'unclassified' END) AS class, sum(mass) / (SELECT sum(mass) FROM mass9) AS fraction
+FROM mass9 m LEFT JOIN v ON v.domain = m.domain LEFT JOIN deg ON deg.domain = m.domain GROUP BY 1""",
+)(lambda s, d: graph.class_mass(graph.simple_degree(graph.accepted_edges(edges(s, d), 0.3)), edges(s, d), mass9(s, d)))
+query("h24")(lambda s, d: graph.replacements(refs(s, d), 86400 * 1000000))
+
+
+@query("h25")
+def h25(s: SparkSession, d: str) -> DataFrame:
+    """The oldest classifier: older cutoffs, paths of up to five edges."""
+    e = graph.without_low_mass(edges(s, d), mass9(s, d), 3, 10)
+    return graph.degree_with_path(graph.accepted_edges(e, 0.3, strict=False), 5)
+
+
+query(
+    "j19",
+    """SELECT e.src, e.dst, e.weight, coalesce(r.weight, 0) AS reverse, e.weight - coalesce(r.weight, 0) AS net FROM edges e LEFT JOIN edges r ON r.src = e.dst AND r.dst = e.src
+WHERE e.src = (SELECT min(src) FROM edges) ORDER BY e.weight DESC, e.dst LIMIT 5""",
+)(lambda s, d: graph.neighbours(edges(s, d), edges(s, d).agg(F.min("src")).first()[0] or "", 5))
+
+
+@query("j20")
+def j20(s: SparkSession, d: str) -> DataFrame:
+    """Domains and mass that pass each guard of a grid of (threshold, cap)."""
+    flow = trust.flows(prefs(s, d), spine(s, d)).where(F.col("step") == LAST).join(mass9(s, d), "domain")
+    out = None
+    for t in (0.01, 0.05, 0.1):  # a small fixed grid, each an aggregation of the same rows
+        for cap in (5.0, 1000.0):
+            ok = (F.col("out_weight") + F.col("in_weight")) >= F.least(F.lit(t) * F.col("mass"), F.lit(cap))
+            row = flow.agg(F.count_if(ok).alias("domains"), F.coalesce(F.sum(F.when(ok, F.col("mass"))), F.lit(0.0)).alias("mass")).select(F.lit(t).alias("threshold"), F.lit(cap).alias("cap"), "domains", "mass")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+query(
+    "j21",
+    "SELECT v.domain, coalesce(m.mass, 0) AS mass, coalesce(m.mass, 0) / (SELECT sum(mass) FROM mass9) AS fraction FROM (SELECT src AS domain FROM edges UNION SELECT dst FROM edges) v LEFT JOIN mass9 m ON m.domain = v.domain",
+)(
+    lambda s, d: edges(s, d)
+    .select(F.explode(F.array("src", "dst")).alias("domain"))
+    .distinct()
+    .join(mass9(s, d), "domain", "left")
+    .select("domain", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.try_divide(F.coalesce("mass", F.lit(0.0)), mass9(s, d).agg(F.sum("mass")).scalar()).alias("fraction"))
+)
