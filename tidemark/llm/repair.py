@@ -34,8 +34,8 @@ MAGIC = 0x52505431
 END = 1
 SHARD_TOKENS = 1 << 20
 BUCKET_BITS = 18
-LEAST = 64
-ROUNDS = 10
+LEAST = 96
+ROUNDS = 8
 
 
 def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +165,12 @@ class Shard:
             symbols = out
         return symbols
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """The ids of each document in turn; the shard is expanded at once."""
+        ids, ends = self.expand(self.symbols), np.cumsum(self.counts.astype(np.int64)).tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield ids[a:b]
+
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.starts[k] : self.starts[k + 1]])
 
@@ -239,15 +245,18 @@ def read(table: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before it: those of earlier shards (one row each) and those before it in its own.
     """
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = table.select("part", "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    local = table.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("local"))
+    offsets = local.join(parts, "part").select("part", "shard", (F.col("before") + F.col("local")).alias("offset"))
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = Shard(batch["image"][k].as_py())
-                crc = [crc32(shard.document(i).astype(ID).tobytes()) for i in range(len(shard))]
+                crc = [crc32(ids) for ids in shard.documents()]
                 counts = shard.counts.astype(np.int64)
                 n = len(shard)
                 yield pa.RecordBatch.from_arrays(
