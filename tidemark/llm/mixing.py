@@ -204,7 +204,8 @@ def plan(
             F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")).alias("last"),
         )
     )
-    return placed, draws(sources, seed, slots).join(cuts, ["number", "block"]).select("row", "shard", "draw", "turn", "first", "last")
+    # the draws are as many as the blocks, which Spark's estimate doesn't see: it would broadcast them
+    return placed, draws(sources, seed, slots).hint("merge").join(cuts, ["number", "block"]).select("row", "shard", "draw", "turn", "first", "last")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
