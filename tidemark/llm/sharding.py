@@ -22,6 +22,7 @@ from tidemark.llm.storage import new_path, saved
 LIMIT = 8 << 20
 STEP = 8
 BITS = 128
+MOST_TASKS = 20_000
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -71,27 +72,30 @@ def directory(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
         depth = deeper
 
 
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs with shard (the bucket's hash prefix), shard_bytes and fits."""
+def assign(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]:
+    """docs with shard (the bucket's hash prefix), shard_bytes and fits; and how many tasks should write them."""
     hashed = _hashed(docs)
     buckets = saved(directory(saved(hashed.select("_bits", "_bytes"), "hashes"), limit), "directory")
-    depths = sorted(r[0] for r in buckets.select(F.length("prefix")).distinct().collect())  # at most BITS
+    by_depth = buckets.groupBy(F.length("prefix").alias("d")).count().collect()  # at most BITS rows
+    depths, parts = sorted(r["d"] for r in by_depth), max(1, min(sum(r["count"] for r in by_depth), MOST_TASKS))
     out = hashed
     for d in depths:  # a row is in one bucket only; two or three depths are in use as a rule
         at = buckets.where(F.length("prefix") == d).select(F.col("prefix").alias(f"_p{d}"), F.struct("prefix", "bytes", "fits").alias(f"_b{d}"))
         out = out.join(at, F.substring("_bits", F.lit(1), F.lit(d)) == F.col(f"_p{d}"), "left").drop(f"_p{d}")
     found = F.coalesce(*(F.col(f"_b{d}") for d in depths)) if depths else F.lit(None).cast("struct<prefix:string,bytes:bigint,fits:boolean>")
-    return (
+    named = (
         out.withColumn("_found", found)
         .withColumns({"shard": F.col("_found.prefix"), "shard_bytes": F.col("_found.bytes"), "fits": F.col("_found.fits")})
         .drop("_found", "_bits", "_bytes", *(f"_b{d}" for d in depths))
     )
+    return named, parts
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes docs to path, a folder ``shard=...`` per bucket."""
-    named = assign(docs, limit).withColumn("shard", F.concat(F.lit("b"), "shard"))  # a folder's name can't be empty
-    named.repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    named, parts = assign(docs, limit)
+    named = named.withColumn("shard", F.concat(F.lit("b"), "shard"))  # a folder's name can't be empty
+    named.repartition(parts, "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
