@@ -28,7 +28,7 @@ from tidemark.llm.storage import saved
 from tidemark.llm.wordids import slices
 
 FRAME, WIDTH = 576, 24
-LEAST, MOST, BITS = 2048, 1 << 16, 12
+LEAST, MOST, BITS = 8192, 1 << 17, 14
 LISTS = 1024
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 
@@ -63,37 +63,38 @@ def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = BITS) ->
     return [*out, n] if not out or out[-1] < n else out
 
 
-def name_of(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
+def name_of(text: str | None) -> bytes:
+    return hashlib.sha256((text or "").encode()).digest()
 
 
 def chunks(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """(row, name, media, seq, n, digest[, data]) of each chunk; media is the image's digest. An image that a task has met is left out."""
+    """(row, name, media, seq, n, digest[, data]) of each chunk; media is the image's digest, null where the
+    image is one chunk and so has the chunk's. An image that a task has met is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer, met = zstandard.ZstdCompressor(level=9), set()
+        packer, met = zstandard.ZstdCompressor(level=12), set()
         for part in slices(batches, "text", 1_000_000):
             rows = []
             for row, text in zip(part["row"].to_pylist(), part["text"].to_pylist(), strict=True):
                 name = name_of(text)
-                key = bytes.fromhex(name)[:16]
-                if key in met:
+                if name in met:
                     continue
-                met.add(key)
+                met.add(name)
                 whole = image(payload(text))
-                media, ends, start = hashlib.sha256(whole).digest(), cuts(whole), 0
+                ends, start = cuts(whole), 0
+                media = hashlib.sha256(whole).digest() if len(ends) > 1 else None
                 for seq, end in enumerate(ends):
                     piece = whole[start:end]
                     rows.append((row, name, media, seq, len(ends), hashlib.sha256(piece).digest(), packer.compress(piece) if with_bytes else None))
                     start = end
             columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "name", "media", "seq", "n", "digest", "data"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, "row long, name string, media binary, seq int, n int, digest binary, data binary")
+    out = rows.mapInArrow(run, "row long, name binary, media binary, seq int, n int, digest binary, data binary")
     return out if with_bytes else out.drop("data")
 
 
@@ -106,9 +107,9 @@ def store(docs: DataFrame) -> DataFrame:
         marks.join(owners, "digest")
         .groupBy("digest", "owner", F.pmod(F.xxhash64("name", "seq"), F.col("parts")).alias("part"))
         .agg(F.collect_list(F.struct("name", "media", "seq", "n")).alias("lists"))
-        .select(F.col("owner.row").alias("row"), F.col("owner.seq").alias("seq"), "lists")
+        .select(F.col("owner.row").alias("row"), F.col("owner.seq").alias("seq"), "digest", "lists")
     )
-    owned = chunks(docs, True).select("row", "seq", "digest", "data").join(lists, ["row", "seq"]).select("digest", "data", "lists")
+    owned = chunks(docs, True).select("row", "seq", "data").join(lists, ["row", "seq"]).select("digest", "data", "lists")
     return saved(owned, "chunk-store", "none")
 
 
@@ -117,24 +118,21 @@ def read(chunk_store: DataFrame) -> DataFrame:
 
     feature counts the samples by their upper four bits. An image that doesn't have its digest is an error.
     """
-    pieces = (
-        chunk_store.select("data", F.explode("lists").alias("at"))
-        .select("at.name", "at.media", "at.seq", "at.n", "data")
-        .repartition("name")
-        .sortWithinPartitions("name", "seq")
-    )
+    placed = chunk_store.select("data", "digest", F.explode("lists").alias("at")).select("at.name", F.coalesce("at.media", "digest").alias("media"), "at.seq", "at.n", "data")
+    # an image of one chunk is whole where it lies; the others' chunks come together in order
+    several = placed.where("n > 1").repartition("name").sortWithinPartitions("name", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        fields = [("name", pa.string()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+        fields = [("name", pa.binary()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
         expected = 0
         for part in slices(batches, "data", 1_000_000):
             out = []
             for name, digest, seq, n, data in zip(*(part[c].to_pylist() for c in ("name", "media", "seq", "n", "data")), strict=True):
                 if seq != expected:
-                    raise ValueError(f"chunk {expected} of image {name} is missing")
+                    raise ValueError(f"chunk {expected} of image {name.hex()} is missing")
                 expected = (seq + 1) % n
                 piece = unpacker.decompress(data)
                 if seq == 0:
@@ -149,17 +147,18 @@ def read(chunk_store: DataFrame) -> DataFrame:
                 counts += np.bincount(np.frombuffer(piece, np.uint8) >> 4, minlength=16)
                 if expected == 0:
                     if media.digest() != digest:
-                        raise ValueError(f"image {name} differs from what was stored")
+                        raise ValueError(f"image {name.hex()} differs from what was stored")
                     text_bytes = kept - (len(tail) - len(tail.rstrip(b"\xff")))  # a byte that UTF-8 never has
                     out.append((name, text_bytes, kept, samples.hexdigest(), crc32(tail[-32:]), size, media.hexdigest(), ",".join(map(str, counts.tolist()))))
             columns = list(zip(*out, strict=True)) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
 
-    return pieces.mapInArrow(run, "name string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = "name binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return placed.where("n = 1").mapInArrow(run, kind).unionByName(several.mapInArrow(run, kind))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores the images of docs' texts and returns, per row of docs, doc_id and what ``read`` makes of its image."""
     values = read(store(docs.select("doc_id", "text")))
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("name"))
     return rows.join(values, "name").drop("name")
