@@ -1 +1,123 @@
-"""Queries."""
+"""Queries of the revision diff, over revisions made from the events: one entity per user, one revision per event."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import values
+from tidemark.operators import extract
+from tidemark.plans import adapter
+from tidemark.plans.adapter import view
+from tidemark.plans.registry import query
+
+adapter.CTES |= {
+    "rv": """SELECT event_id, us, user_id, event_type AS label, concat('Q', CAST(event_id % 3 AS STRING)) AS v, CASE WHEN event_id % 5 = 0 THEN 'preferred' ELSE 'normal' END AS rank, event_id % 4 AS ref, event_id % 2 AS link,
+  row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, lag(event_type) OVER w AS plabel, lag(concat('Q', CAST(event_id % 3 AS STRING))) OVER w AS pv,
+  lag(CASE WHEN event_id % 5 = 0 THEN 'preferred' ELSE 'normal' END) OVER w AS prank, lag(event_id % 4) OVER w AS pref_, lag(event_id % 2) OVER w AS plink FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)""",
+}
+adapter.ORDER[:] = list(adapter.CTES)
+
+
+def revisions(s: SparkSession, d: str) -> DataFrame:
+    ev = view(s, d, "ev")
+
+    def text(x):
+        return F.concat(F.lit('"'), x, F.lit('"'))
+
+    def snak(kind: str, value):
+        return F.concat(F.lit(f'{{"snaktype":"value","datavalue":{{"type":"{kind}","value":'), value, F.lit("}}"))
+
+    q = F.concat(F.lit("Q"), (F.col("event_id") % 3).cast("string"))
+    main = snak("wikibase-entityid", F.concat(F.lit('{"id":'), text(q), F.lit("}")))
+    ref = snak("string", text(F.concat(F.lit("r"), (F.col("event_id") % 4).cast("string"))))
+    claim = F.concat(
+        F.lit('{"claims":{"P31":[{"id":"s1","rank":'), text(F.when(F.col("event_id") % 5 == 0, "preferred").otherwise("normal")), F.lit(',"mainsnak":'), main,
+        F.lit(',"references":[{"snaks":{"P854":['), ref, F.lit(']}}],"qualifiers":{"P580":['), ref, F.lit(']}}]},"labels":{"en":{"value":'), text(F.col("event_type")), F.lit('}},"sitelinks":'),
+        F.when(F.col("event_id") % 2 == 0, F.lit('{"enwiki":{"title":"t"}}')).otherwise(F.lit("[]")), F.lit("}"),
+    )
+    return ev.select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("revision_id"), F.timestamp_micros("us").alias("ts"), F.lit(False).alias("deleted"), claim.alias("text"))
+
+
+def of_kind(s: SparkSession, d: str, kind: str) -> DataFrame:
+    return extract.changes(revisions(s, d)).where(F.col("kind") == kind)
+
+
+def value_sql(prop: int, col: str, before: str, created: str) -> str:
+    return f"""SELECT event_id AS revision_id, CASE WHEN n = 1 THEN 'CREATE' ELSE 'UPDATE' END AS action, CASE WHEN n = 1 THEN '{created}' ELSE 'PROPERTY_VALUE' END AS target, concat('"', {col}, '"') AS new_value
+FROM rv WHERE n = 1 OR {col} <> {before}"""
+
+
+COLUMNS = ["revision_id", "action", "target", "new_value"]
+query("b1", "SELECT event_id AS revision_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev_revision_id FROM rv WHERE n = 1 OR label <> plabel OR v <> pv OR rank <> prank OR ref <> pref_ OR link <> plink")(
+    lambda s, d: of_kind(s, d, "revision").select("revision_id", "prev_revision_id")
+)
+query("b2", "SELECT count(DISTINCT user_id) AS entities, count(*) AS revisions FROM rv WHERE n = 1 OR label <> plabel OR v <> pv OR rank <> prank OR ref <> pref_ OR link <> plink")(
+    lambda s, d: of_kind(s, d, "revision").agg(F.countDistinct("entity_id").alias("entities"), F.count("*").alias("revisions"))
+)
+query("b3", "SELECT event_id AS revision_id, user_id AS entity_id FROM rv WHERE n = 1")(
+    lambda s, d: of_kind(s, d, "value").where("target = 'ENTITY' and action = 'CREATE'").select("revision_id", "entity_id")
+)
+query("b4", value_sql(-1, "label", "plabel", "PROPERTY"))(lambda s, d: of_kind(s, d, "value").where("property_id = -1").select(*COLUMNS))
+query("b7", value_sql(31, "v", "pv", "ENTITY"))(lambda s, d: of_kind(s, d, "value").where("property_id = 31").select(*COLUMNS))
+query("b8", "SELECT event_id AS revision_id, CASE WHEN n = 1 THEN 'CREATE' ELSE 'UPDATE' END AS action, concat('\"', rank, '\"') AS new_value FROM rv WHERE n = 1 OR rank <> prank")(
+    lambda s, d: of_kind(s, d, "rank").select("revision_id", "action", "new_value")
+)
+SUB = """SELECT event_id AS revision_id, 'CREATE' AS action, concat('"r', CAST(ref AS STRING), '"') AS value FROM rv WHERE n = 1 OR ref <> pref_
+UNION ALL SELECT event_id, 'DELETE', concat('"r', CAST(pref_ AS STRING), '"') FROM rv WHERE n > 1 AND ref <> pref_"""
+
+
+def sub(s: SparkSession, d: str, kind: str) -> DataFrame:
+    return of_kind(s, d, kind).select("revision_id", "action", F.when(F.col("action") == "CREATE", F.col("new_value")).otherwise(F.col("old_value")).alias("value"))
+
+
+query("b9", SUB)(lambda s, d: sub(s, d, "qualifier"))
+query("b10", SUB)(lambda s, d: sub(s, d, "reference"))
+query(
+    "b12",
+    """SELECT event_id AS revision_id, CASE WHEN link = 0 THEN 'CREATE' ELSE 'DELETE' END AS action FROM rv WHERE (n = 1 AND link = 0) OR (n > 1 AND link <> plink)""",
+)(lambda s, d: of_kind(s, d, "sitelink").select("revision_id", "action"))
+
+
+def one_diff(s: SparkSession, old: dict | None, new: dict) -> DataFrame:
+    rows = [(r["kind"], r["target"], r["action"], r["property_id"], r["value_id"], r["change_target"], r["old_value"], r["new_value"]) for r in extract.diff(extract.flatten(old) if old else None, extract.flatten(new))]
+    return s.createDataFrame(rows, "kind string, target string, action string, property_id int, value_id string, change_target string, old_value string, new_value string")
+
+
+def quantity(amount: str, unit: str, sid: str = "a") -> dict:
+    return {"id": sid, "mainsnak": {"snaktype": "value", "datavalue": {"type": "quantity", "value": {"amount": amount, "unit": f"http://www.wikidata.org/entity/{unit}"}}}}
+
+
+query("b5", "SELECT 'value' AS kind, 'PROPERTY' AS target, 'CREATE' AS action, 7 AS property_id UNION ALL SELECT 'metadata', 'PROPERTY_DATATYPE_METADATA', 'CREATE', 7 UNION ALL SELECT 'rank', 'RANK', 'CREATE', 7")(
+    lambda s, d: one_diff(s, {"claims": {}}, {"claims": {"P7": [quantity("+1", "Q1")]}}).select("kind", "target", "action", "property_id")
+)
+query("b6", "SELECT 'value' AS kind, 'PROPERTY' AS target, 'DELETE' AS action, 7 AS property_id UNION ALL SELECT 'metadata', 'PROPERTY_DATATYPE_METADATA', 'DELETE', 7 UNION ALL SELECT 'rank', 'RANK', 'DELETE', 7")(
+    lambda s, d: one_diff(s, {"claims": {"P7": [quantity("+1", "Q1")]}}, {"claims": {}}).select("kind", "target", "action", "property_id")
+)
+query("b11", "SELECT 'UPDATE' AS action, 'unit' AS change_target, '\"Q1\"' AS old_value, '\"Q2\"' AS new_value")(
+    lambda s, d: one_diff(s, {"claims": {"P7": [quantity("+1", "Q1")]}}, {"claims": {"P7": [quantity("+1", "Q2")]}}).where("kind = 'metadata'").select("action", "change_target", "old_value", "new_value")
+)
+query("b13", "SELECT '+2013-05-01T00:00:00Z' AS time, 'Q5' AS id")(
+    lambda s, d: s.createDataFrame([(extract.homogenize({"time": "+00002013-05-01T00:00:00Z", "before": 0})["time"], extract.homogenize({"numeric-id": 5})["id"])], "time string, id string")
+)
+query("b14", "SELECT true AS same")(
+    lambda s, d: s.createDataFrame(
+        [(extract.value_hash({"snaktype": "value", "datavalue": {"value": {"time": "+0002013-01-01T00:00:00Z"}}}) == extract.value_hash({"snaktype": "value", "datavalue": {"value": {"time": "+2013-01-01T00:00:00Z", "before": 1}}}),)], "same boolean"
+    )
+)
+query("b15", "SELECT '{\"latitude\":1.5,\"longitude\":2}' AS value, 'globecoordinate' AS datatype")(
+    lambda s, d: s.createDataFrame([extract.parse_datavalue({"snaktype": "value", "datavalue": {"type": "globecoordinate", "value": {"latitude": 1.5, "longitude": 2, "altitude": None}}})[:2]], "value string, datatype string")
+)
+query("b16", "SELECT revision_id, CAST(levenshtein(old_value, new_value) AS DOUBLE) AS size FROM vc WHERE datatype = 'wikibase-entityid'")(
+    lambda s, d: view(s, d, "vc").where("datatype = 'wikibase-entityid'").select("revision_id", values.magnitude(F.col("datatype"), F.col("old_value"), F.col("new_value")).alias("size"))
+)
+HAV = "2 * 6371 * asin(sqrt(pow(sin(radians(<b> - <a>) / 2), 2) + cos(radians(<a>)) * cos(radians(<b>)) * pow(sin(radians(<d> - <c>) / 2), 2)))"
+query("b17", "SELECT event_id, round(" + HAV.replace("<a>", "(event_id % 90)").replace("<b>", "(user_id % 90)").replace("<c>", "(event_id % 180)").replace("<d>", "(user_id % 180)") + ", 6) AS km FROM ev")(
+    lambda s, d: view(s, d, "ev").select("event_id", F.round(values.haversine_km(F.col("event_id") % 90, F.col("event_id") % 180, F.col("user_id") % 90, F.col("user_id") % 180), 6).alias("km"))
+)
+query("b18", "SELECT event_id, CAST(datediff('day', DATE '1970-01-01', day) + 2440588 AS BIGINT) AS julian FROM ev")(
+    lambda s, d: view(s, d, "ev").select("event_id", values.julian_day(F.year("day"), F.month("day"), F.day("day")).alias("julian"))
+)
+query("b19", "SELECT revision_id, CAST(substr(new_value, 2, 4) AS INT) AS year, CAST(substr(new_value, 7, 2) AS INT) AS month, CAST(substr(new_value, 10, 2) AS INT) AS day FROM vc WHERE datatype = 'time'")(
+    lambda s, d: view(s, d, "vc").where("datatype = 'time'").select("revision_id", values.time_parts(F.col("new_value")).alias("p")).select("revision_id", "p.year", "p.month", "p.day")
+)
