@@ -1 +1,217 @@
-"""Queries."""
+"""Queries of sources, sinks and the result store, and of the streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans import analytics as series_plans
+from tidemark.plans import trust
+from tidemark.plans.adapter import tables as register
+from tidemark.plans.adapter import view
+from tidemark.plans.registry import query
+from tidemark.sources import store, tables
+from tidemark.streaming import streams
+
+
+def folder(s: SparkSession, name: str) -> str:
+    """A new folder for written results: in the shared folder where one is set."""
+    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
+
+
+def log(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "vc").withColumn("ts", F.timestamp_micros("us"))
+
+
+@query("a1", "SELECT revision_id FROM vc WHERE us >= 1704672000000000 AND us < 1705276800000000")
+def a1(s: SparkSession, d: str) -> DataFrame:
+    """A slice of the log written by month."""
+    path = folder(s, "log")
+    tables.write_log(log(s, d), path, "value_change", "ts")
+    return tables.slice_scan(s.read.parquet(f"{path}/value_change"), "2024-01-08", "2024-01-15", "ts").select("revision_id")
+
+
+query("a2", "SELECT revision_id, entity_id FROM vc WHERE CAST(entity_id AS STRING) LIKE '%0'")(lambda s, d: tables.entity_sample(view(s, d, "vc")).select("revision_id", "entity_id"))
+
+
+@query("a4", "SELECT event_id FROM events WHERE user_id = 7 AND event_type = 'click'")
+def a4(s: SparkSession, d: str) -> DataFrame:
+    register(s, d, "events")
+    return tables.cell_query(s, "SELECT event_id FROM events WHERE user_id = ? AND event_type = ?", 7, "click")
+
+
+def stored(s: SparkSession, d: str, run: int = 1, path: str | None = None) -> store.ResultStore:
+    rows = series_plans.ser(s, d).withColumn("step_end", F.timestamp_seconds(F.lit(1704067200) + (F.col("step") + 1) * 259200))
+    out = store.ResultStore(s, path or folder(s, "store"))
+    out.write(store.series(rows, run, "created_per_property", ["property_id"]))
+    return out
+
+
+@query("a5", "SELECT count(*) AS n FROM vc")
+def a5(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s, "log")
+    tables.write_log(log(s, d), path, "value_change", "ts")
+    return s.read.parquet(f"{path}/value_change").agg(F.count("*").alias("n"))
+
+
+SER = "SELECT CAST(1704067200 + (step + 1) * 259200 AS BIGINT) AS end_s, CAST(property_id AS BIGINT) AS property_id, value FROM ser"
+
+
+def back(rows: DataFrame) -> DataFrame:
+    return rows.select(F.unix_timestamp("step_end").alias("end_s"), "property_id", "value")
+
+
+query("a6", SER)(lambda s, d: back(stored(s, d).read()))
+
+
+@query("a7", SER)
+def a7(s: SparkSession, d: str) -> DataFrame:
+    """Written twice: the second time replaces the first."""
+    first = stored(s, d)
+    return back(stored(s, d, path=first.path).read())
+
+
+@query("a7_upsert", "SELECT step, property_id, CASE WHEN step >= 5 THEN -1.0 ELSE value END AS value FROM ser")
+def a7_upsert(s: SparkSession, d: str) -> DataFrame:
+    x = series_plans.ser(s, d)
+    return tables.upsert(x, x.where("step >= 5").withColumn("value", F.lit(-1.0)), ["step", "property_id"])
+
+
+query("a8", "SELECT step, count(*) AS n FROM ser GROUP BY step")(lambda s, d: series_plans.ser(s, d).groupBy("step").agg(F.count("*").alias("n")))
+query("a9", "SELECT 'created_per_property' AS metric, 1 AS n")(lambda s, d: stored(s, d).catalogue().groupBy("metric").agg(F.countDistinct("metric_id").cast("int").alias("n")))
+
+
+@query("a10", "SELECT entity_id, class_id FROM et")
+def a10(s: SparkSession, d: str) -> DataFrame:
+    st = store.ResultStore(s, folder(s, "store"))
+    st.save_state("types", view(s, d, "et"), 3)
+    return st.load_state("types", 3)
+
+
+@query("a11", "SELECT 3 AS step, 259200 AS length_seconds")
+def a11(s: SparkSession, d: str) -> DataFrame:
+    st = store.ResultStore(s, folder(s, "store"))
+    st.save_position(3, "2024-01-13", 259200)
+    p = st.load_position()
+    return s.createDataFrame([(p["step"], p["length_seconds"])], "step int, length_seconds int")
+
+
+@query("a12", "SELECT 0 AS n")
+def a12(s: SparkSession, d: str) -> DataFrame:
+    st = store.ResultStore(s, folder(s, "store"))
+    st.save_state("types", view(s, d, "et"), 3)
+    st.wipe()
+    return s.createDataFrame([(0 if st.load_state("types", 3) is None else 1,)], "n int")
+
+
+@query("a14", "SELECT 'Q1' AS title, 2 AS revisions")
+def a14(s: SparkSession, d: str) -> DataFrame:
+    """Entity pages of a small XML dump."""
+    rev = "<revision><id>{0}</id><timestamp>2013-01-0{0}T00:00:00Z</timestamp><text>x</text></revision>"
+    both = rev.format(1) + rev.format(2)
+    path = folder(s, "dump")
+    s.createDataFrame([("<mediawiki>" + "".join(f"<page><title>{t}</title>{both}</page>" for t in ("Q1", "P2")) + "</mediawiki>",)], "value string").coalesce(1).write.text(path)
+    return tables.pages(s, path).select("title", F.size("revision").alias("revisions"))
+
+
+@query("a15", "SELECT * FROM (VALUES (1, '{\"a\":\"b\"}'), (2, CAST(NULL AS STRING)), (3, '{\"a\":1}')) t(n, text)")
+def a15(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame([(1, "{&quot;a&quot;:&quot;b&quot;}"), (2, "{broken"), (3, '{"a":\x011}')], "n int, text string")
+    return rows.select("n", tables.clean_json(F.col("text")).alias("text"))
+
+
+@query("a16", "SELECT * FROM (VALUES (569, 'born'), (570, 'died')) t(property_id, label)")
+def a16(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s, "labels")
+    s.createDataFrame([("569;birth\n570;died\n569;born",)], "value string").coalesce(1).write.text(path)
+    return tables.read_dimension(s, path, "property_id int, label string", ["property_id"])
+
+
+@query("a17", "SELECT 1 AS entity_id, 5 AS class_id, 'normal' AS rank")
+def a17(s: SparkSession, d: str) -> DataFrame:
+    item = '{"id":"Q1","labels":{"en":{"value":"x"}},"aliases":{},"claims":{"P31":[{"rank":"normal","mainsnak":{"datavalue":{"value":{"id":"Q5"}}}}]}}'
+    return tables.dump_entities(s.createDataFrame([(item,)], "json string"))["entity_type"]
+
+
+query("a18", "SELECT DISTINCT entity_id FROM ev WHERE step > 2 AND entity_id NOT IN (SELECT entity_id FROM ev WHERE step <= 2)")(
+    lambda s, d: tables.insert_new(view(s, d, "ev").where("step <= 2"), view(s, d, "ev").where("step > 2"), ["entity_id"]).select("entity_id")
+)
+
+
+@query("a19", SER)
+def a19(s: SparkSession, d: str) -> DataFrame:
+    """A run exported, checked and imported elsewhere."""
+    path, other = folder(s, "export"), store.ResultStore(s, folder(s, "store"))
+    store.export_run(stored(s, d), 1, path)
+    store.import_run(other, path)
+    return back(other.read())
+
+
+@query("a20", "SELECT src, dst, weight FROM edges")
+def a20(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s, "graph")
+    store.write_edges(trust.edges(s, d), path, 9)
+    return s.read.option("header", "true").schema("src string, dst string, weight long").csv(f"{path}/step=9")
+
+
+query("a24", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'even' ELSE concat('Q', CAST(entity_id AS STRING)) END AS label FROM et")(
+    lambda s, d: tables.lookup_labels(view(s, d, "et").select("entity_id"), view(s, d, "et").where("entity_id % 2 = 0").select("entity_id", F.lit("even").alias("label")))
+)
+
+
+@query("a22", "SELECT * FROM (VALUES (1, 'entity_count', 0.5), (1, 'property_count', 1.5)) t(iteration, metric, seconds)")
+def a22(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s, "runlog")
+    lines = "(Iteration 1) entity_count: took 0.5 s\n(Iteration 1) property_count: took 1.5 s\nIteration 1 done\n(Iteration 2) entity_count: took 0.7 s"
+    s.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    return tables.parse_log(s, path).select("iteration", "metric", "seconds")
+
+
+@query("a26", "SELECT 'types' AS name, count(*) AS rows FROM et")
+def a26(s: SparkSession, d: str) -> DataFrame:
+    st = store.ResultStore(s, folder(s, "store"))
+    st.save_state("types", view(s, d, "et"), 3)
+    return st.state_sizes()
+
+
+@query("b20", "SELECT 7 AS entity_id, 'nine' AS label")
+def b20(s: SparkSession, d: str) -> DataFrame:
+    revisions = s.createDataFrame([(7, True, "/* wbcreateredirect:0||Q7|Q9 */"), (8, False, "x")], "entity_id int, redirect boolean, comment string")
+    return tables.redirect_labels(revisions, s.createDataFrame([(9, "nine")], "entity_id int, label string"))
+
+
+@query("b21", "SELECT entity_id, class_id, concat('class ', CAST(class_id AS STRING)) AS class_label FROM et")
+def b21(s: SparkSession, d: str) -> DataFrame:
+    et = view(s, d, "et")
+    names = et.select(F.col("class_id").alias("entity_id"), F.lit("").alias("label"), F.concat(F.lit("class "), F.col("class_id").cast("string")).alias("alias")).distinct()
+    return tables.fill_class_labels(et.withColumn("class_label", F.lit(None).cast("string")), names).select("entity_id", "class_id", "class_label")
+
+
+def edits(s: SparkSession, d: str, path: str) -> DataFrame:
+    trust.refs(s, d).select("statement", "action", F.timestamp_micros("us").alias("ts")).repartition(2).write.parquet(path)
+    return streams.read_stream(s, path, "statement string, action string, ts timestamp", 100)
+
+
+def drained(s: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    name = "t" + uuid.uuid4().hex
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder(s, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name)
+
+
+@query("k_steps", "SELECT step, count(*) FILTER (WHERE action = 'CREATE') AS created, count(*) FILTER (WHERE action = 'DELETE') AS deleted FROM rc GROUP BY step")
+def k_steps(s: SparkSession, d: str) -> DataFrame:
+    """Steps counted by a stream."""
+    out = drained(s, streams.step_counts(edits(s, d, folder(s, "edits")), "3 days", "1 day"), "complete")
+    return out.select(F.floor((F.unix_timestamp("start") - 1704067200) / 259200).cast("long").alias("step"), "created", "deleted")
+
+
+@query("k_sessions", "SELECT statement, CAST(floor(us0 / 1000000) AS BIGINT) AS opened, edits FROM (SELECT statement, session, min(us) AS us0, count(*) AS edits FROM ses GROUP BY statement, session) x")
+def k_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions found by a stream are those of the batch."""
+    out = drained(s, streams.sessions(edits(s, d, folder(s, "edits"))), "complete")
+    return out.select("statement", F.unix_timestamp("opened").alias("opened"), "edits")
