@@ -34,8 +34,8 @@ MAGIC = 0x52505431
 END = 1
 SHARD_TOKENS = 1 << 20
 BUCKET_BITS = 18
-LEAST = 96
-ROUNDS = 8
+LEAST = 128
+ROUNDS = 6
 
 
 def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
