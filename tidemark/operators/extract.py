@@ -10,17 +10,14 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Pseudo properties, and the missing value.
 LABEL, DESCRIPTION, SITELINK = -1, -2, -3
 MISSING = "{}"
-COLUMNS = [
-    "kind", "revision_id", "prev_revision_id", "entity_id", "ts", "property_id", "value_id", "old_value", "new_value", "old_datatype", "new_datatype",
-    "change_target", "action", "target", "sub_property_id", "value_hash", "ref_hash", "entity_label",
-]
 SCHEMA = (
     "kind string, revision_id long, prev_revision_id long, entity_id long, ts timestamp, property_id int, value_id string, old_value string, new_value string, old_datatype string, "
     "new_datatype string, change_target string, action string, target string, sub_property_id int, value_hash string, ref_hash string, entity_label string"
@@ -154,17 +151,19 @@ def diff(old: dict | None, new: dict) -> list[dict]:
 def changes(revisions: DataFrame) -> DataFrame:
     """All change rows of revisions (entity_id, revision_id, ts, deleted, text), and a row of kind revision for each that is stored."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType, timezone="UTC")) for f in revisions.sparkSession.createDataFrame([], SCHEMA).schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity, old, previous, label = None, None, None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if r.entity_id != entity:
-                    entity, old, previous, label = r.entity_id, None, None, None
-                if r.deleted or not r.text:
+            for r in batch.to_pylist():
+                if r["entity_id"] != entity:
+                    entity, old, previous, label = r["entity_id"], None, None, None
+                if r["deleted"] or not r["text"]:
                     continue
                 try:
-                    new = json.loads(r.text)
+                    new = json.loads(r["text"])
                 except ValueError:
                     continue
                 if not isinstance(new, dict):
@@ -175,18 +174,15 @@ def changes(revisions: DataFrame) -> DataFrame:
                     continue
                 label = new["label"] or label
                 rows.append({"kind": "revision", "target": "REDIRECT" if new["redirect"] else "REVISION"})
-                shared = {"revision_id": r.revision_id, "prev_revision_id": previous, "entity_id": r.entity_id, "ts": r.ts, "entity_label": label}
+                shared = {"revision_id": r["revision_id"], "prev_revision_id": previous, "entity_id": r["entity_id"], "ts": r["ts"], "entity_label": label}
                 out += [row | shared for row in rows]
-                previous = r.revision_id
+                previous = r["revision_id"]
                 if not new["redirect"]:
                     old = new
-            frame = pd.DataFrame(out, columns=COLUMNS)
-            for c in ("prev_revision_id", "revision_id", "entity_id", "property_id", "sub_property_id"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
     rows = revisions.select("entity_id", "revision_id", "ts", "deleted", "text").repartition("entity_id").sortWithinPartitions("entity_id", "ts", "revision_id")
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def page_revisions(pages: DataFrame) -> DataFrame:
