@@ -6,28 +6,29 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, quality, simhash, substring
 from tidemark.llm.queries import word_vocabulary
-from tidemark.llm.storage import saved
+from tidemark.llm.storage import release, saved
 
 ORACLE_SQL = None  # the stages go beyond SQL; tests/llm hold them against brute force
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the weakly supervised rules keep."""
-    keep = [c for c in docs.columns if c != "text"]
-    counted = quality.judge(docs.withColumn("_row", F.monotonically_increasing_id()), keep=["_row", *keep])
-    kept = counted.where("kept").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
+    judged = quality.judge(docs, keep=[c for c in docs.columns if c != "text"], with_text=True)
+    return judged.where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: that of the smallest id, the first row of it."""
     marks = simhash.near_duplicates(docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))))
     kept = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias("_row"))
+    kept = kept.hint("merge")  # as many rows as documents, whatever an estimate says
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
 
 
@@ -46,12 +47,25 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.round_trip(docs.select("doc_id", "text"), word_vocabulary())
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("source_mix", source_mix),
-    ("bpe_round_trip", bpe_round_trip),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, after the tables of earlier stages that its docs don't read have gone from the shared folder."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, keep=docs)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", lean(quality_rules)),
+    ("near_dedup", lean(near_dedup)),
+    ("substring_dedup", lean(substring_dedup)),
+    ("source_mix", lean(source_mix)),
+    ("bpe_round_trip", lean(bpe_round_trip)),
 ]
 
 

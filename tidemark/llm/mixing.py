@@ -223,7 +223,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     placed, pieces = plan(docs, **options)
     spans = pieces.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(spans, "row")
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(spans.hint("merge"), "row")
     kind = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

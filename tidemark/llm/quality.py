@@ -189,7 +189,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, least: float = 0.5, rules: Sequence[Rule] | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, least: float = 0.5, rules: Sequence[Rule] | None = None, keep: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Columns keep, the counts, votes, quality (posterior) and kept of each row of docs.
 
     The counts are taken once and written to the shared folder; votes are counted and
@@ -198,7 +198,8 @@ def judge(docs: DataFrame, least: float = 0.5, rules: Sequence[Rule] | None = No
     from tidemark.llm.storage import saved
 
     rules = default_rules() if rules is None else rules
-    counts = saved(measured(docs.select("text", *keep)).drop("text"), "quality")
+    rows = measured(docs.select("text", *keep))
+    counts = saved(rows if with_text else rows.drop("text"), "quality")
     votes = counts.withColumn("votes", F.array(*(vote(r) for r in rules)))
     model = fit(votes, len(rules))
     out = votes.withColumn("quality", posterior(F.col("votes"), model)).withColumn("base_failed", base_failed())

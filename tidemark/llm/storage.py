@@ -22,9 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
+    _made.append(f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}")
+    return f"{_made[-1]}/{name}"
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that operators have written so far in this session, but for those that keep reads.
+
+    For callers that have written the results which came from them, such as the stages of a pipeline.
+    """
+    read = "\n".join(keep.inputFiles()) if keep is not None else ""
+    for path in list(_made):
+        if path.rsplit("/", 1)[-1] not in read:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _made.remove(path)
 
 
 @contextmanager

@@ -277,7 +277,7 @@ def repeats(docs: DataFrame, like: float = LIKE) -> DataFrame:
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """docs without the removed paragraphs, and without documents of which no word is left by that; n_chars, if there, is counted anew."""
     spans = repeats(docs, like).where("removed").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("cut"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(saved(spans, "cuts"), "row", "left")
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(saved(spans, "cuts").hint("merge"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
