@@ -151,7 +151,7 @@ def diff(old: dict | None, new: dict) -> list[dict]:
 def changes(revisions: DataFrame) -> DataFrame:
     """All change rows of revisions (entity_id, revision_id, ts, deleted, text), and a row of kind revision for each that is stored."""
 
-    kinds = pa.schema([(f.name, to_arrow_type(f.dataType, timezone="UTC")) for f in revisions.sparkSession.createDataFrame([], SCHEMA).schema])
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in revisions.sparkSession.createDataFrame([], SCHEMA).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity, old, previous, label = None, None, None, None
