@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import coerce_numeric, qid_int, time_parts
 from tidemark.operators.counters import running
+from tidemark.operators.lineage import settled
 
 #: Ids of constraint types, qualifiers and relations.
 RANGE, SUBJECT_TYPE = "Q21510860", "Q21503250"
@@ -99,20 +100,15 @@ def closure(edges: DataFrame, child: str = "entity_id", parent: str = "class_id"
 
     Paths double in length with each round, and only pairs that are new go on; rounds are written to the checkpoint folder.
     """
-    spark = edges.sparkSession
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # no folder is set: not a cluster
-    base = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node <> ancestor").distinct().checkpoint()
+    base = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node <> ancestor").distinct()
+    base = settled(base)
     all_, new = base, base
     while new.take(1):
         left = all_.select("node", F.col("ancestor").alias("mid")).join(new.select(F.col("node").alias("mid"), "ancestor"), "mid")
         right = new.select("node", F.col("ancestor").alias("mid")).join(all_.select(F.col("node").alias("mid"), "ancestor"), "mid")
         found = left.unionByName(right).select("node", "ancestor").where("node <> ancestor").distinct()
-        new = found.join(all_, ["node", "ancestor"], "left_anti").checkpoint()
-        all_ = all_.unionByName(new).checkpoint()
+        new = settled(found.join(all_, ["node", "ancestor"], "left_anti"))
+        all_ = settled(all_.unionByName(new))
     return all_
 
 

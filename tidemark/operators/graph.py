@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import settled
+
 
 def edges_at(prefs: DataFrame, step: int) -> DataFrame:
     """Edges so far."""
@@ -75,8 +77,8 @@ def simple_degree(edges: DataFrame) -> DataFrame:
 
 def degree_with_path(edges: DataFrame, hops: int = 3) -> DataFrame:
     """As simple_degree, but contested only where every out-neighbour reaches back within ``hops``; else dominated."""
-    plain = simple_degree(edges)
-    e = edges.select("src", "dst")
+    e = settled(edges.select("src", "dst").distinct())  # each hop reads them
+    plain = simple_degree(e)
     reach = e.select(F.col("src").alias("origin"), F.col("dst").alias("start"), F.col("dst").alias("at"))  # from each out-neighbour
     back = reach.where("at = origin").select("origin", "start")
     for _ in range(hops):

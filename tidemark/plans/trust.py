@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import domains
 from tidemark.operators import counters, graph, trust
+from tidemark.operators.lineage import settled
 from tidemark.plans import adapter
 from tidemark.plans.adapter import ORIGIN, STEP_US, view
 from tidemark.plans.registry import query
@@ -68,7 +69,7 @@ def mass9(s: SparkSession, d: str) -> DataFrame:
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.edges_at(prefs(s, d), LAST)
+    return settled(graph.edges_at(prefs(s, d), LAST))
 
 
 @query("h1", "SELECT revision_id, replace(trim(coalesce(reference, ''), '\"'), ' ', '%20') AS reference FROM rc")
