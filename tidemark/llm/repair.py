@@ -34,8 +34,8 @@ MAGIC = 0x52505431
 END = 1
 SHARD_TOKENS = 1 << 20
 BUCKET_BITS = 18
-LEAST = 128
-ROUNDS = 6
+LEAST = 64
+ROUNDS = 10
 
 
 def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,22 +148,34 @@ class Shard:
         magic, self.base, r, d, s = numbers[:5].tolist()
         if magic != MAGIC or len(numbers) != 5 + 3 * r + 2 * d + 1 + s:
             raise ValueError("not a shard image")
+        self._ids: tuple[np.ndarray, np.ndarray] | None = None
         self.left, self.right, self.lengths, self.starts, self.counts, self.symbols = np.split(numbers[5:], np.cumsum([r, r, r, d + 1, d]))
 
     def __len__(self) -> int:
         return len(self.counts)
 
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules end to end, and where each rule's begin; a rule only uses symbols before its own."""
+        if self._ids is None:
+            parts: list[np.ndarray] = []
+            for pair in zip(self.left.tolist(), self.right.tolist(), strict=True):
+                parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
+            self._ids = np.concatenate([*parts, np.zeros(1, np.uint32)]), np.cumsum(self.lengths.astype(np.int64)) - self.lengths
+        return self._ids
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
-        while (deep := symbols >= self.base).any():
-            rule = symbols[deep] - self.base
-            place = np.arange(len(symbols)) + np.concatenate([[0], np.cumsum(deep[:-1])])
-            out = np.empty(len(symbols) + int(deep.sum()), np.uint32)
-            out[place] = symbols
-            out[place[deep]] = self.left[rule]
-            out[place[deep] + 1] = self.right[rule]
-            symbols = out
-        return symbols
+        flat, begins = self._flat()
+        deep = np.flatnonzero(symbols >= self.base)
+        rules = (symbols[deep] - self.base).astype(np.int64)
+        lengths = np.ones(len(symbols), np.int64)
+        lengths[deep] = self.lengths[rules]
+        out = np.repeat(symbols, lengths)
+        n = lengths[deep]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        starts = (np.cumsum(lengths) - lengths)[deep]
+        out[np.repeat(starts, n) + place] = flat[np.repeat(begins[rules], n) + place]
+        return out
 
     def documents(self) -> Iterator[np.ndarray]:
         """The ids of each document in turn; the shard is expanded at once."""

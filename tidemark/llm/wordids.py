@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # str.split() also cuts at these, some of which are no white space to the tokenizer
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 TAIL = string.punctuation.replace("'", "")
 ID = np.dtype("<u4")
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and up, in order.
@@ -31,7 +31,7 @@ BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not
 
 def words_of(text: str) -> list[str]:
     """The words between runs of ASCII white space."""
-    return WORD.findall(text) if ODD_SPACE.search(text) else text.split()
+    return WORD.findall(text) if any(c in text for c in ODD_SPACE) else text.split()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ class _Known(dict):
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
