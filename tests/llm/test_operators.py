@@ -204,6 +204,26 @@ def test_substring_finds_what_repeats(spark):
     assert max(shared.values()) == 1
 
 
+@pytest.mark.parametrize("length", [50, 60, 300])
+def test_substring_removes_whole_passages(spark, length):
+    rng = random.Random(length)
+    made = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts, parts = [], {}
+    for k in range(0, 40, 2):
+        passage, before, after = made(length), made(rng.randint(0, 80)), made(rng.randint(1, 80))
+        texts += [(k, " ".join(made(30) + passage + made(30))), (k + 1, " ".join(before + passage + after))]
+        parts[k + 1] = before, passage, after
+    left = {r["doc_id"]: r["text"].split() for r in substring.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, text in texts:
+        if k % 2 == 0:
+            assert left[k] == text.split()
+        else:
+            before, passage, after = parts[k]
+            assert not {*passage} & {*left[k]}
+            # a near paragraph may take two words beside the passage: 20 of 24 shingles are alike
+            assert any(left[k] == before[: len(before) - a] + after[b:] for a in range(3) for b in range(3))
+
+
 def test_substring_similarity_is_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, 20)) for _ in range(60)]

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ from tidemark.llm.wordids import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
-WORDS = 24
-REACH = 27
+WORDS = 26
+REACH = 25  # not above WORDS, or gaps stay between the paragraphs of one passage
+AROUND = WORDS + REACH - 1
 BANDS, ROWS = 4, 3
 LIKE = 0.8
 TILE = 256
@@ -266,29 +268,116 @@ def repeats(docs: DataFrame, like: float = LIKE) -> DataFrame:
     known = classes.join(groups, classes["h"] == groups["node"], "left").where("n > 1 or component is not null")
     known = saved(known.select("h", "first", F.coalesce("component", "h").alias("component")), "classes")
     keeper = known.groupBy("component").agg(F.min("first").alias("keeper"))
-    named = known.join(keeper, "component").select("h", "keeper")
+    named = known.join(keeper, "component").select("h", "keeper", "first")
     return (
         marks.drop("keys")
         .join(named, "h")
-        .select("row", "doc_id", "at", F.col("keeper.doc_id").alias("component_id"), (~((F.col("row") == F.col("keeper.row")) & (F.col("at") == F.col("keeper.at")))).alias("removed"))
+        .select(
+            "row",
+            "doc_id",
+            "at",
+            F.col("keeper.doc_id").alias("component_id"),
+            (~((F.col("row") == F.col("keeper.row")) & (F.col("at") == F.col("keeper.at")))).alias("removed"),
+            F.struct("keeper.row", "keeper.at").alias("keeper"),
+            F.struct("first.row", "first.at").alias("first"),
+        )
     )
 
 
+def runs(paragraphs: DataFrame) -> DataFrame:
+    """(row, start, end, krow, kstart): what removed paragraphs cover of a row, joined where they touch and the earlier text (krow) runs along."""
+    earlier = F.array_distinct(F.array("keeper", "first"))
+    pairs = (
+        paragraphs.where("removed")
+        .select("row", "at", F.explode(earlier).alias("k"))
+        .where("row <> k.row or at <> k.at")
+        .groupBy("row")
+        .agg(F.collect_list(F.struct(F.col("k.row").alias("krow"), (F.col("at") - F.col("k.at")).alias("shift"), "at")).alias("pairs"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pairs = batch["pairs"].flatten()
+            row = np.repeat(batch["row"].to_numpy(), pa.compute.list_value_length(batch["pairs"]).to_numpy())
+            krow, shift, at = (pairs.field(c).to_numpy().astype(np.int64) for c in ("krow", "shift", "at"))
+            order = np.lexsort((at, shift, krow, row))
+            row, krow, shift, at = row[order], krow[order], shift[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (krow[1:] != krow[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + WORDS)
+            first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+            columns = [row[first], at[first], at[last] + WORDS, krow[first], at[first] - shift[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "start", "end", "krow", "kstart"])
+
+    return pairs.mapInArrow(run, "row long, start long, end long, krow long, kstart long")
+
+
+def _around(docs: DataFrame, covered: DataFrame) -> DataFrame:
+    """(krow, kstart, kend, before, after): up to AROUND words on either side of what runs cover of the earlier texts."""
+    rows = docs.select(F.monotonically_increasing_id().alias("krow"), "text")
+    asked = covered.select("krow", "kstart", "kend").distinct().groupBy("krow").agg(F.collect_list(F.struct("kstart", "kend")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            for row, text, asked in zip(part["krow"].to_pylist(), part["text"].to_pylist(), part["asked"], strict=True):
+                words = WORD.findall(text)
+                ends = np.stack([asked.values.field(c).to_numpy() for c in ("kstart", "kend")], 1)
+                for k in range(0, len(ends), 1 << 13):
+                    some = ends[k : k + (1 << 13)].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(some), row, np.int64)),
+                            pa.array([a for a, _ in some], pa.int64()),
+                            pa.array([b for _, b in some], pa.int64()),
+                            pa.array([" ".join(words[max(a - AROUND, 0) : a]) for a, _ in some], pa.string()),
+                            pa.array([" ".join(words[b : b + AROUND]) for _, b in some], pa.string()),
+                        ],
+                        ["krow", "kstart", "kend", "before", "after"],
+                    )
+
+    return rows.join(asked, "krow").mapInArrow(run, "krow long, kstart long, kend long, before string, after string")
+
+
+def grown(words: list[str], run: dict) -> tuple[int, int]:
+    """A run's first word and the one after its last, with the words beside it that the earlier text has there as well.
+
+    Within one row it stays clear of the earlier run, and as far from it as it grows.
+    """
+    start, end = run["start"], run["end"]
+    before, after = WORD.findall(run["before"]), WORD.findall(run["after"])
+    most = max(start - run["kend"], 0) if run["own"] else len(words)
+    left = 0
+    while left < min(len(before), start, most) and before[-1 - left] == words[start - 1 - left]:
+        left += 1
+    right = 0
+    while right < min(len(after), len(words) - end, most - left) and after[right] == words[end + right]:
+        right += 1
+    return start - left, end + right
+
+
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """docs without the removed paragraphs, and without documents of which no word is left by that; n_chars, if there, is counted anew."""
-    spans = repeats(docs, like).where("removed").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("cut"))
+    """docs without what removed paragraphs cover and the equal words beside it, and without documents of which no word is left by that.
+
+    n_chars, if there, is counted anew.
+    """
+    covered = saved(runs(repeats(docs, like)).withColumn("kend", F.col("kstart") + F.col("end") - F.col("start")), "runs")
+    known = covered.join(saved(_around(docs, covered), "around"), ["krow", "kstart", "kend"])
+    run_ = F.struct("start", "end", (F.col("row") == F.col("krow")).alias("own"), "kend", "before", "after")
+    spans = known.groupBy("row").agg(F.collect_list(run_).alias("cut"))
     rows = docs.withColumn("row", F.monotonically_increasing_id()).join(saved(spans, "cuts").hint("merge"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, cut in zip(batch["text"].to_pylist(), batch["cut"].to_pylist(), strict=True):
-                if cut:
+            for text, cut in zip(batch["text"].to_pylist(), batch["cut"], strict=True):
+                if cut.is_valid:
                     places = [m.span() for m in WORD.finditer(text)]
+                    words = [text[a:b] for a, b in places]
                     parts, done = [], 0
-                    for at in cut:
-                        parts.append(text[done : max(places[at][0], done)])
-                        done = max(done, places[at + WORDS - 1][1])
+                    for start, end in sorted({grown(words, c) for c in cut.as_py()}):
+                        parts.append(text[done : max(places[start][0], done)])
+                        done = max(done, places[end - 1][1])
                     text = "".join([*parts, text[done:]])
                     keep.append(bool(WORD.search(text)))
                 else:
