@@ -224,6 +224,35 @@ def test_substring_removes_whole_passages(spark, length):
             assert any(left[k] == before[: len(before) - a] + after[b:] for a in range(3) for b in range(3))
 
 
+def test_substring_finds_near_paragraphs_that_follow_each_other(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(600):  # within 128 words a passage and a copy of it with one other word
+        passage = [f"w{rng.randint(0, 10**9)}" for _ in range(50)]
+        texts.append((k, " ".join(passage + [w if j != k % 50 else "other" for j, w in enumerate(passage)])))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    marks, by, want = substring.saved(substring.found(df), "paragraphs"), defaultdict(list), set()
+    for r in marks.collect():
+        hashes = substring.shingle_hashes(texts[r["doc_id"]][1].split())[r["at"] : r["at"] + substring.WORDS - 4]
+        by[r["doc_id"]].append((r["at"], r["h"], set(hashes.tolist())))
+    count = Counter(h for own in by.values() for _, h, _ in own)  # equal paragraphs are found otherwise
+    for own in by.values():
+        own = [x for x in own if count[x[1]] == 1]
+        want |= {frozenset((h, g)) for at, h, a in own for o, g, b in own if at + substring.WORDS <= o and h != g and len(a & b) >= 0.8 * len(a | b)}
+    got = {frozenset((r["a"], r["b"])) for r in substring.links(marks, df).collect()}
+    root = unions(got, {h for own in by.values() for _, h, _ in own})  # links are a forest, not all pairs
+    assert len(want) > 10 and sum(root(a) == root(b) for a, b in want) >= 0.85 * len(want)
+
+
+@pytest.mark.parametrize("others", [1, 1 << 17])
+def test_substring_leaves_out_only_keys_that_overlap(others):
+    rows = [(1, 5, 0, 0), (1, 6, 0, 25), (2, 5, 0, 0), (2, 6, 0, 26), (3, 5, 0, 0), (3, 6, 1, 0), (4, 5, 0, 0), (4, 5, 9, 0)]
+    rows += [(5, 7, k, 0) for k in range(others)] + [(5, 8, 3, 90)]
+    batches = [substring.pa.RecordBatch.from_pylist([dict(zip(("key", "h", "row", "at"), r, strict=True)) for r in rows[k : k + 50_000]]) for k in range(0, len(rows), 50_000)]
+    got = {(r["key"], r["h"]) for b in substring._mixed_groups(iter(batches)) for r in b.to_pylist()}
+    assert got == {(2, 5), (2, 6), (3, 5), (3, 6), (5, 7), (5, 8)}
+
+
 def test_substring_similarity_is_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, 20)) for _ in range(60)]

@@ -119,9 +119,11 @@ def found(docs: DataFrame) -> DataFrame:
                 ks.append(keys)
             which = pa.array(np.repeat(np.arange(part.num_rows), lengths))
             h = np.concatenate(hs)
-            # of equal paragraphs of this part one has keys: a passage that is everywhere costs little beyond
+            # of equal paragraphs of this part the first and the last have keys, which show whether they stand apart:
+            # a passage that is everywhere costs little beyond
             new = np.zeros(len(h), bool)
             new[np.unique(h, return_index=True)[1]] = True
+            new[len(h) - 1 - np.unique(h[::-1], return_index=True)[1]] = True
             keys = pa.array(np.concatenate(ks)[new].reshape(-1).view(np.int64))
             ends = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -174,38 +176,40 @@ def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float)
 
 
 def _mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h) of the keys with more than one h, from rows in order of their key.
+    """Rows (key, h) of the keys with more than one h, from rows (key, h, row, at) in order of their key.
 
-    Keys of one neighbourhood only are left out: paragraphs that overlap are alike without being repeats.
+    Keys whose paragraphs all overlap in one document are left out: they are alike without being repeats.
     A key's rows are held until the next key comes; of very many, those known to belong go on earlier.
     """
 
-    def out(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], ["key", "h"])
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["key", "h"])
 
-    held = np.zeros((0, 3), np.int64)
+    def apart(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (low[:, 1] != high[:, 1]) & ((low[:, 2] != high[:, 2]) | (high[:, 3] - low[:, 3] >= WORDS))
+
+    held = np.zeros((0, 4), np.int64)
     for batch in batches:
-        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "h", "place")], 1)
+        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "h", "row", "at")], 1)
         rows = np.concatenate([held, rows])
+        if not len(rows):
+            continue
         starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        low, high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
-        mixed = (low[:, 1:] != high[:, 1:]).all(axis=1)
+        mixed = apart(np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts))
         counts = np.diff(np.concatenate([starts, [len(rows)]]))
         held = np.unique(rows[starts[-1] :], axis=0)
         if len(held) < 1 << 16:
             mixed[-1] = False
-        elif mixed[-1]:  # two rows that show what the key is stay
-            held = held[[0, int(np.argmax(held[:, 2] != held[0, 2])), len(held) - 1]]
-        take = np.repeat(mixed, counts)
-        yield out(rows[take, 0], rows[take, 1])
-    if len(held) and (held[0, 1:] != held[:, 1:]).any(axis=0).all():
-        yield out(held[:, 0].copy(), held[:, 1].copy())
+        elif mixed[-1] or held[0, 1] == held[-1, 1]:  # rows that show what the key is stay
+            held = held[np.unique(np.concatenate([held.argmin(axis=0), held.argmax(axis=0)]))]
+        yield out(rows[np.repeat(mixed, counts)])
+    if len(held) and apart(held.min(axis=0)[None], held.max(axis=0)[None])[0]:
+        yield out(held)
 
 
 def links(marks: DataFrame, docs: DataFrame, like: float = LIKE) -> DataFrame:
     """(a, b): links between classes that connect all that share a band and are alike enough."""
-    place = F.hash("row", F.shiftright("at", 7)).alias("place")
-    keyed = marks.where(F.size("keys") > 0).select("h", place, F.explode("keys").alias("key"))
+    keyed = marks.where(F.size("keys") > 0).select("h", "row", "at", F.explode("keys").alias("key"))
     mixed = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_groups, "key long, h long")
     members = saved(mixed.distinct(), "bands")
     wanted = marks.join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("row", "at")).alias("first")).select("h", "first.*")
