@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, quality, simhash, substring
+from tidemark.llm import bpe, minhash, mixing, quality, simhash, substring
+from tidemark.llm.components import components
 from tidemark.llm.queries import word_vocabulary
 from tidemark.llm.storage import release, saved
 
@@ -25,11 +26,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that of the smallest id, the first row of it."""
+    """Keeps one document of each group of near duplicates: that of the smallest id, the first row of it.
+
+    Near are fingerprints within operator 1's radius, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
     marks = simhash.near_duplicates(docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))))
-    kept = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias("_row"))
-    kept = kept.hint("merge")  # as many rows as documents, whatever an estimate says
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
+    same = marks.select(F.col("doc_id.row").alias("a"), F.col("component_id.row").alias("b"))
+    groups = components(same.unionByName(minhash.near_links(docs)))
+    named = rows.select("doc_id", "_row").join(groups.hint("merge"), F.col("_row") == F.col("node"), "left")
+    # as many rows as documents, whatever an estimate says
+    kept = named.groupBy(F.coalesce("component", "_row").alias("c")).agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row").hint("merge")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

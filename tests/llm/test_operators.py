@@ -431,3 +431,23 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(names.values()))
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_near_dedup_finds_near_copies_at_the_wanted_similarity(spark):
+    import corpus_pipeline
+
+    rng, texts = random.Random(12), []
+    for k in range(0, 120, 2):  # copies with 1 to 12 other words, far apart, of 300
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        other = list(words)
+        for j in range(k // 10 + 1):
+            other[10 + 24 * j] = "other"
+        texts += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    shingles = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, t in texts for w in [t.split()]]
+    near = [k + 1 for k in range(0, 120, 2) if len(shingles[k] & shingles[k + 1]) >= 0.8 * len(shingles[k] | shingles[k + 1])]
+    assert 20 < len(near) < 60
+    texts += [(200, None), (200, None), (201, "x y"), (None, texts[0][1])]
+    left = Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), "").collect())
+    assert sum(k in left for k in near) <= 1 and all(k in left for k in range(2, 120, 2))
+    assert sum(k in left for k in range(1, 120, 2) if k not in near) >= 0.9 * (60 - len(near))
+    assert left[200] == 1 and left[201] == 1 and left[None] == 1 and left[0] == 0

@@ -32,6 +32,7 @@ from tidemark.llm.storage import saved
 from tidemark.llm.wordids import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE = 5
 WORDS = 26
 REACH = 25  # not above WORDS, or gaps stay between the paragraphs of one passage
@@ -39,6 +40,7 @@ AROUND = WORDS + REACH - 1
 BANDS, ROWS = 4, 3
 LIKE = 0.8
 TILE = 256
+COLUMNS = 1 << 13
 PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -50,6 +52,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def words_in(text: str, lower: bool = False) -> list[str]:
+    """The words of a text; with lower, A to Z in lower case as in the fingerprints."""
+    return WORD.findall(text.translate(LOWER) if lower else text)
+
+
 def shingle_hashes(words: list[str]) -> np.ndarray:
     """A hash of each SHINGLE-word run, from hashes of the words."""
     from xxhash import xxh64_intdigest
@@ -142,8 +149,8 @@ def found(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"row long, doc_id {kind}, at int, h long, keys array<long>")
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, row, at, shingles) of the wanted (h, row, at)."""
+def _shingles_of(docs: DataFrame, wanted: DataFrame, whole: bool = False) -> DataFrame:
+    """(h, row, at, shingles) of the wanted (h, row, at): of the paragraph there, or of the whole text in lower case."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
 
@@ -151,8 +158,9 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in slices(batches, "text"):
             sets: list[dict] = []
             for row, text, asked in zip(part["row"].to_pylist(), part["text"].to_pylist(), part["asked"].to_pylist(), strict=True):
-                h = shingle_hashes(WORD.findall(text)).view(np.int64)
-                sets += ({"h": a["h"], "row": row, "at": a["at"], "shingles": np.unique(h[a["at"] : a["at"] + WORDS - SHINGLE + 1])} for a in asked)
+                h = shingle_hashes(words_in(text, whole)).view(np.int64)
+                size = len(h) if whole else WORDS - SHINGLE + 1
+                sets += ({"h": a["h"], "row": row, "at": a["at"], "shingles": np.unique(h[a["at"] : a["at"] + size])} for a in asked)
             yield pa.RecordBatch.from_pylist(sets, pa.schema([("h", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
 
     return rows.join(asked, "row").mapInArrow(run, "h long, row long, at int, shingles array<long>")
@@ -161,16 +169,23 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float) -> np.ndarray:
     """Whether sets[i] and other[j] (or sets[j], j > i) have a Jaccard similarity of at least like."""
 
-    def incidence(x: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(x), len(every)), np.float32)
-        out[np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(every, np.concatenate(x))] = 1
+    def places(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(every, np.concatenate(x))
+
+    def incidence(x: list[np.ndarray], places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(x), COLUMNS), np.float32)
+        take = (places[1] >= lo) & (places[1] < lo + COLUMNS)
+        out[places[0][take], places[1][take] - lo] = 1
         return out
 
     every = np.unique(np.concatenate(sets + (other or [])))
-    a = incidence(sets)
-    b = a if other is None else incidence(other)
-    common = a @ b.T
-    union = a.sum(1)[:, None] + b.sum(1)[None, :] - common
+    left, right = places(sets), None if other is None else places(other)
+    common: np.ndarray | float = 0.0
+    for lo in range(0, len(every), COLUMNS):
+        a = incidence(sets, left)
+        common = common + a @ (a if other is None else incidence(other, right)).T
+    sizes = np.array([len(s) for s in sets], np.float32)
+    union = sizes[:, None] + (sizes if other is None else np.array([len(s) for s in other], np.float32))[None, :] - common
     near = common >= np.float32(like) * union - 1e-4
     return np.triu(near, 1) if other is None else near
 
@@ -207,13 +222,13 @@ def _mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(held)
 
 
-def links(marks: DataFrame, docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """(a, b): links between classes that connect all that share a band and are alike enough."""
+def links(marks: DataFrame, docs: DataFrame, like: float = LIKE, whole: bool = False) -> DataFrame:
+    """(a, b): links between classes that connect all that share a band and are alike enough; with whole, classes of whole texts."""
     keyed = marks.where(F.size("keys") > 0).select("h", "row", "at", F.explode("keys").alias("key"))
     mixed = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_groups, "key long, h long")
     members = saved(mixed.distinct(), "bands")
     wanted = marks.join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("row", "at")).alias("first")).select("h", "first.*")
-    sets = saved(_shingles_of(docs, saved(wanted, "wanted")), "shingles")
+    sets = saved(_shingles_of(docs, saved(wanted, "wanted"), whole), "shingles")
     # groups of any size become tiles of about TILE classes, and each two tiles of a group meet once
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiles = (
