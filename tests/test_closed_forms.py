@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -176,3 +177,33 @@ def test_import_refuses_changed_rows(spark, tmp_path):
 def test_upsert_keeps_the_new(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert {tuple(r) for r in tables.upsert(a, spark.createDataFrame([(2, "c")], "k int, v string"), ["k"]).collect()} == {(1, "a"), (2, "c")}
+
+
+def slow_spikes(y, width, threshold, limit, reserved):
+    fine, found, kept = [v is not None and math.isfinite(v) for v in y], [], []
+    known = [v for v, f in zip(y, fine, strict=True) if f]
+    for i in range(1, len(y) - 1):
+        sides = [[y[j] for j in r if fine[j]] for r in (range(max(0, i - width), i), range(i + 1, min(len(y), i + width + 1)))]
+        if fine[i] and all(sides):
+            up, down = y[i] - max(map(min, sides)), min(map(max, sides)) - y[i]
+            most = max(up, down)
+            if most > 0 and most >= threshold * (max(known) - min(known)):
+                found.append((most, abs(y[i]), i, 1 if up >= down else -1))
+    for most, _, i, way in sorted(found, reverse=True):
+        if (reserved is None or abs(i - reserved) > width) and all(abs(i - j) > width for j, _, _ in kept):
+            kept.append((i, most, way))
+            if len(kept) >= limit:
+                break
+    return set(kept)
+
+
+@pytest.mark.parametrize("limit, reserved", [(10**6, None), (2, None), (3, 5)])
+def test_spikes(spark, limit, reserved):
+    rng = random.Random(3)
+    series = {f"m{k}": [rng.choice([0.0, 1.0, -3.0, 4.0, 4.5, float(k), None, float("nan"), float("inf")][: 9 if k % 2 else 6]) for _ in range(k)] for k in range(40)}
+    series |= {"drop": [5.0, 5.0, 5.0, 0.0, 5.0, 5.0, 5.0], "ends": [9.0, 1.0, 1.0, 1.0, 9.0]}
+    rows = [(m, 10 * step, v) for m, y in series.items() for step, v in enumerate(y)]
+    got = analytics.spikes(spark.createDataFrame(rows, "metric string, step long, value double"), 2, 0.2, limit=limit, reserved=reserved).collect()
+    want = {(m, 10 * i, most, way) for m, y in series.items() for i, most, way in slow_spikes(y, 2, 0.2, limit, reserved)}
+    assert {(r["metric"], r["step"], r["prominence"], r["direction"]) for r in got} == want
+    assert reserved == 5 or ("drop", 30, 5.0, -1) in want

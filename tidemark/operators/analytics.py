@@ -29,26 +29,36 @@ def fetch_aggregated(series: DataFrame, dim: str, ids: Sequence, how: str = "sum
     return rows.groupBy("step").agg((F.sum if how == "sum" else F.avg)("value").alias("value"))
 
 
-def spikes(series: DataFrame, width: int, threshold: float, keys: Sequence[str] = ("metric",)) -> DataFrame:
-    """Steps that rise above what surrounds them by threshold times the series' range; of spikes within width the highest stay.
+def spikes(series: DataFrame, width: int, threshold: float, keys: Sequence[str] = ("metric",), limit: int | None = None, reserved: int | None = None) -> DataFrame:
+    """Steps that rise above (direction 1) or drop below (-1) what surrounds them by threshold times the series' range.
 
-    Prominence is a window; picking is greedy from the highest down, in one task a series.
+    A step needs finite values within width places on both sides. Of spikes within width places the most prominent stays, at ties that of
+    the larger absolute value, then the later; at most limit stay. Those within width of the place ``reserved`` are left out and
+    don't count. Prominence is a window; picking is greedy, in one task a series.
     """
     by = Window.partitionBy(*keys).orderBy("step")
     whole = Window.partitionBy(*keys)
-    before, after = F.min("value").over(by.rowsBetween(-width, -1)), F.min("value").over(by.rowsBetween(1, width))
-    prominence = F.col("value") - F.greatest(F.coalesce(before, after), F.coalesce(after, before))
-    range_ = F.max("value").over(whole) - F.min("value").over(whole)
-    found = series.select(*keys, "step", "value", prominence.alias("prominence"), range_.alias("_r")).where((F.col("prominence") >= threshold * F.col("_r")) & (F.col("prominence") > 0)).drop("_r")
+    finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value").cast("double"))
+    rows = series.select(*keys, "step", "value", finite.alias("_v"), (F.row_number().over(by) - 1).alias("_i"), F.count("*").over(whole).alias("_n"))
+    sides = [by.rowsBetween(-width, -1), by.rowsBetween(1, width)]
+    # greatest and least skip nulls, so the place of both sides is asked for below
+    up = F.col("_v") - F.greatest(*(F.min("_v").over(side) for side in sides))
+    down = F.least(*(F.max("_v").over(side) for side in sides)) - F.col("_v")
+    both = F.min("_v").over(sides[0]).isNotNull() & F.min("_v").over(sides[1]).isNotNull()
+    rows = rows.select("*", F.when(both, F.greatest(up, down)).alias("prominence"), F.when(up >= down, 1).otherwise(-1).alias("direction"), (F.max("_v").over(whole) - F.min("_v").over(whole)).alias("_r"))
+    found = rows.where((F.col("_n") >= 3) & (F.col("prominence") >= threshold * F.col("_r")) & (F.col("prominence") > 0)).drop("_r", "_n")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
-        for k, step in pdf.sort_values(["prominence", "step"], ascending=[False, True])["step"].items():
-            if all(abs(step - pdf["step"][j]) > width for j in kept):
+        order = pdf.assign(_v=pdf["_v"].abs()).sort_values(["prominence", "_v", "_i"], ascending=False)
+        for k, place in order["_i"].items():
+            if limit is not None and len(kept) >= max(limit, 1):  # the reference counts after it takes one
+                break
+            if (reserved is None or abs(place - reserved) > width) and all(abs(place - pdf["_i"][j]) > width for j in kept):
                 kept.append(k)
         return pdf.loc[sorted(kept)]
 
-    return found.groupBy(*keys).applyInPandas(pick, found.schema)
+    return found.groupBy(*keys).applyInPandas(pick, found.schema).drop("_v", "_i")
 
 
 def run_metrics(catalogue: DataFrame, store: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ query("j1", "SELECT step, property_id, value FROM ser WHERE property_id IN (31,
     lambda s, d: analytics.fetch_series(named(s, d), 1, ["count_p31", "count_p569"], "property_id", [31, 569]).select("step", "property_id", "value")
 )
 query("j2", "SELECT step, sum(value) AS value FROM ser WHERE property_id IN (31, 569) GROUP BY step")(lambda s, d: analytics.fetch_aggregated(ser(s, d), "property_id", [31, 569]))
-query("j4")(lambda s, d: analytics.spikes(named(s, d).withColumn("value", F.abs(F.sin("value"))), 2, 0.2).select("metric", "step", "prominence"))
+query("j4")(lambda s, d: analytics.spikes(named(s, d).withColumn("value", F.abs(F.sin("value"))), 2, 0.2).select("metric", "step", "prominence", "direction"))
 query("j5", "SELECT DISTINCT concat('count_p', CAST(property_id AS STRING)) AS metric FROM ser")(
     lambda s, d: analytics.run_metrics(named(s, d).select("metric").distinct().unionByName(s.createDataFrame([("never_written",)], "metric string")), named(s, d))
 )
