@@ -387,7 +387,7 @@ def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rows = docs.withColumn("row", F.monotonically_increasing_id()).join(saved(spans, "cuts").hint("merge"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, keep = [], []
             for text, cut in zip(batch["text"].to_pylist(), batch["cut"], strict=True):
                 if cut.is_valid:
