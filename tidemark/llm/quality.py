@@ -2,12 +2,14 @@
 
 Each rule votes good, bad or abstains. Votes are counted by pattern: with R rules there are
 at most 3 ** R patterns whatever the input's size, and only these counts reach the
-driver. Expectation-maximisation on them estimates how accurate each rule is on either class and the share of good
-documents; the posterior probability of a document is then one expression of its votes.
+driver. Expectation-maximisation on them estimates how each rule votes on good and on bad documents and the share of good
+documents; the posterior probability of a document is then one expression of its votes. Nothing but the
+majority of the votes says at the start which documents are good, so a rule that goes against the others loses its weight.
 Only DataFrame functions are used.
 
 Defined results: a null text is an empty one; a text without words fails the base rule;
-repeated rows are judged alike; an empty table gives an empty result; extra columns don't matter.
+repeated rows are judged alike; an empty table gives an empty result; the given columns travel in one
+struct, so whatever their names are they stay as they were.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import packed, saved
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-RATIO = 5.0
-HOLD = 0.1
-MISS = 0.002
+WEIGHT = 1.0  # of the prior on every probability, in documents
+#: Common short words of English, German, French and Spanish.
+COMMON = (
+    "a al and at au das de del den der des die du el en et for in is la las le les los mit of on por que se the to un una und une"
+    " von was with y zu"
+).split()
 
 
 def words(text: Column) -> Column:
@@ -68,27 +75,30 @@ def covered_words(places: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with text never null, and the counts that rules are made of."""
-    text = F.col("_text")
+def measured(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """doc (a struct of the columns to carry) and the counts that rules are made of."""
+    text = F.col("body")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     return (
-        docs.withColumn("_text", F.coalesce("text", F.lit("")))
-        .withColumn("_words", words(text))
-        .withColumn("_lines", lines)
-        .withColumn("_windows", window_hashes(F.col("_words")))
-        .withColumn("_placed", placed_repeats(F.col("_windows")))
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long"),
-                "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": covered_words(repeated_places(F.col("_placed"))).cast("long"),
-            }
+        docs.select(packed(docs.select(*(F.col(f"`{c}`") for c in carry))), F.coalesce("text", F.lit("")).alias("body"))
+        .withColumn("w", words(text))
+        .withColumn("lines", lines)
+        .withColumn("windows", window_hashes(F.col("w")))
+        .withColumn("placed", placed_repeats(F.col("windows")))
+        .select(
+            "doc",
+            F.size("w").cast("long").alias("n_words"),
+            (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            F.size("lines").cast("long").alias("n_lines"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            covered_words(repeated_places(F.col("placed"))).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+            F.size(F.filter("w", lambda x: x.isin(*COMMON))).cast("long").alias("n_common"),
+            F.size(F.filter("w", lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))).cast("long").alias("n_ends"),
+            F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")).cast("long").alias("n_marks"),
+            F.regexp_count(text, F.lit("[0-9]")).cast("long").alias("n_digits"),
         )
-        .drop("_text", "_words", "_lines", "_windows", "_placed")
     )
 
 
@@ -106,13 +116,19 @@ def share(a: str, b: str) -> Column:
 
 
 def default_rules() -> list[Rule]:
+    """Rules that overlap and err: none of them is enough to reject a document by itself."""
+    length = share("word_chars", "n_words")
     return [
         Rule("symbols", share("n_symbols", "n_words"), 0.1, 0.25),
-        Rule("repeats", share("n_repeat_words", "n_words"), 0.3, 0.4),
-        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.3, 0.5),
-        Rule("short", -F.col("n_words"), -20.0, -10.0),
-        Rule("long_words", share("word_chars", "n_words"), 9.0, 14.0),
-        Rule("short_words", F.when(F.col("n_words") > 0, -F.col("word_chars") / F.col("n_words")), -3.0, -2.0),
+        Rule("marks", share("n_marks", "word_chars"), 0.06, 0.1),
+        Rule("digits", share("n_digits", "word_chars"), 0.03, 0.1),
+        Rule("common", -share("n_common", "n_words"), -0.1, -0.05),
+        Rule("repeats", share("n_repeat_words", "n_words"), 0.02, 0.1),
+        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.1, 0.3),
+        Rule("distinct", -share("n_distinct", "n_words"), -0.6, -0.5),
+        Rule("ends", -share("n_ends", "n_words"), -0.05, -0.03),
+        Rule("short", -F.col("n_words"), -30.0, -15.0),
+        Rule("long_words", length, 6.0, 7.0),
     ]
 
 
@@ -127,47 +143,32 @@ def vote(rule: Rule) -> Column:
     return F.coalesce(F.when(rule.value <= rule.good, 1).when(rule.value > rule.bad, -1), F.lit(0)).cast("byte")
 
 
-def _bound(x: dict[int, float], low: float, high: float) -> None:
-    """Keeps the share of bad votes within bounds, at the expense of the others."""
-    held = min(max(x[-1], low), high)
-    rest = (1 - held) / (x[1] + x[0])
-    x[-1], x[1], x[0] = held, x[1] * rest, x[0] * rest
-
-
-def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500) -> Model:
+def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 2000) -> Model:
     """How each rule votes on good and on bad documents, from counts of vote patterns.
 
-    A bad document seldom breaks every rule, so a rule's votes are a distribution over good, bad and
-    abstain for each class rather than one accuracy. The start says which class is the
-    good one. It weighs as much as the share HOLD of the documents, so that the classes don't drift
-    to some other split of them. A rule votes bad on at most the share MISS of good ones, and
-    RATIO times likelier on bad ones.
+    A document's first probability is the share of good among its votes, with one vote for either side added. Each rule's
+    votes on a class are a distribution over good, bad and abstain, as a bad document seldom breaks every rule. The prior is the
+    same for all of them: WEIGHT documents for each vote and class.
     """
-    start_good, start_bad = {1: 0.96, 0: 0.038, -1: 0.002}, {1: 0.75, 0: 0.05, -1: 0.2}
-    good, bad = [dict(start_good) for _ in range(n_rules)], [dict(start_bad) for _ in range(n_rules)]
-    held = 1.0 + HOLD * sum(count for _, count in patterns)
-    prior = 0.8
+    chances = [(1 + v.count(1)) / (2 + v.count(1) + v.count(-1)) for v, _ in patterns]
+    prior, tables = 0.0, [{v: 0.0 for v in (1, 0, -1)} for _ in range(n_rules)]
     for _ in range(rounds):
-        seen_good = [{v: held * x for v, x in start_good.items()} for _ in range(n_rules)]
-        seen_bad = [{v: held * x for v, x in start_bad.items()} for _ in range(n_rules)]
-        n_good, n_bad = held, held / 4
-        for votes, count in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(g[v] / b[v]) for g, b, v in zip(good, bad, votes, strict=True))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+        n_good, n_bad = WEIGHT, WEIGHT
+        good = [{v: WEIGHT for v in (1, 0, -1)} for _ in range(n_rules)]
+        bad = [{v: WEIGHT for v in (1, 0, -1)} for _ in range(n_rules)]
+        for (votes, count), p in zip(patterns, chances, strict=True):
             n_good += p * count
             n_bad += (1 - p) * count
             for r, v in enumerate(votes):
-                seen_good[r][v] += p * count
-                seen_bad[r][v] += (1 - p) * count
-        before = good, bad
-        good, bad = ([{v: k / sum(x.values()) for v, k in x.items()} for x in seen] for seen in (seen_good, seen_bad))
-        for g, b in zip(good, bad, strict=True):
-            _bound(g, 0.0, MISS)
-            _bound(b, RATIO * g[-1], 1.0)
-        prior = min(max(n_good / (n_good + n_bad), 0.05), 0.98)
-        if max(abs(x[v] - y[v]) for old, new in zip(before, (good, bad), strict=True) for x, y in zip(old, new, strict=True) for v in x) < 1e-9:
+                good[r][v] += p * count
+                bad[r][v] += (1 - p) * count
+        prior = math.log(n_good / n_bad)
+        tables = [{v: math.log(g[v] / sum(g.values())) - math.log(b[v] / sum(b.values())) for v in g} for g, b in zip(good, bad, strict=True)]
+        odds = [prior + sum(t[v] for t, v in zip(tables, votes, strict=True)) for votes, _ in patterns]
+        before, chances = chances, [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
+        if max((abs(p - q) for p, q in zip(before, chances, strict=True)), default=0.0) < 1e-12:
             break
-    return Model(math.log(prior / (1 - prior)), [{v: math.log(g[v] / b[v]) for v in g} for g, b in zip(good, bad, strict=True)])
+    return Model(prior, tables)
 
 
 def fit(votes: DataFrame, n_rules: int) -> Model:
@@ -189,17 +190,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, least: float = 0.5, rules: Sequence[Rule] | None = None, keep: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """Columns keep, the counts, votes, quality (posterior) and kept of each row of docs.
+def judge(docs: DataFrame, least: float = 0.5, rules: Sequence[Rule] | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+    """Per row of docs: doc (a struct of its columns, or of those to carry), the counts, votes, quality (posterior), base_failed and kept.
 
     The counts are taken once and written to the shared folder; votes are counted and
     judged from there.
     """
-    from tidemark.llm.storage import saved
-
     rules = default_rules() if rules is None else rules
-    rows = measured(docs.select("text", *keep))
-    counts = saved(rows if with_text else rows.drop("text"), "quality")
+    counts = saved(measured(docs, docs.columns if carry is None else carry), "quality")
     votes = counts.withColumn("votes", F.array(*(vote(r) for r in rules)))
     model = fit(votes, len(rules))
     out = votes.withColumn("quality", posterior(F.col("votes"), model)).withColumn("base_failed", base_failed())

@@ -42,8 +42,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import quality
 
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+    judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
