@@ -34,8 +34,8 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(row, at, h, keys) per text with a shingle; at is 0, h a hash of its words in lower case."""
+def found(rows: DataFrame) -> DataFrame:
+    """(row, h, keys) per text of rows (row, text) with a shingle; h is a hash of its words in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -51,21 +51,48 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, pa.int64()),
-                    pa.array(np.zeros(len(rows), np.int32)),
                     pa.array(np.array(hs, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
                 ],
-                ["row", "at", "h", "keys"],
+                ["row", "h", "keys"],
             )
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "row long, at int, h long, keys array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, h long, keys array<long>")
 
 
-def near_links(docs: DataFrame, like: float = 0.8) -> DataFrame:
-    """(a, b): rows of docs (by monotonically_increasing_id) that connect all whose shingles are alike enough."""
-    marks = saved(found(docs), "texts")
+def near_links(rows: DataFrame, like: float = 0.8) -> DataFrame:
+    """(a, b): rows of rows (row, text; row a number of its own) that connect all whose shingles are alike enough."""
+    marks = saved(found(rows), "texts")
     first = saved(marks.groupBy("h").agg(F.min("row").alias("first")), "equal-texts")
     one = marks.join(first.select(F.col("first").alias("row")), "row", "left_semi")  # of equal texts one is compared
-    pairs = substring.links(one, docs, like, whole=True)
+
+    def payload(asked: DataFrame) -> DataFrame:
+        wanted = first.join(asked, "h", "left_semi").select("h", F.col("first").alias("row"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
+        return substring.numbers_of(rows, wanted, lambda text: np.unique(substring.shingle_hashes(substring.words_in(text, lower=True))), None)
+
+    def compare(left: pa.StructArray, right: pa.StructArray | None) -> list[tuple[int, int]]:
+        def sets(x: pa.StructArray) -> list[np.ndarray]:
+            numbers = x.field("numbers")
+            ends = numbers.offsets.to_numpy()
+            flat = numbers.values.to_numpy()
+            return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+        near = substring.similar(sets(left), None if right is None else sets(right), like)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out, shift = [], 0 if right is None else len(left)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            a, b = root(i), root(j + shift)
+            if a != b:
+                parent[b] = a
+                out.append((i, j))
+        return out
+
+    pairs = substring.links(one.select("h", F.explode("keys").alias("key")), payload, compare)
     near = pairs.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return near.unionByName(marks.join(first, "h").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")))

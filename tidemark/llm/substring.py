@@ -1,25 +1,29 @@
 """Substring dedup by paragraph MinHash banding.
 
-Repeated passages begin and end anywhere, so a paragraph here is a run of ``WORDS`` words from an anchor that
-its own words choose: the smallest hash of a word shingle among ``REACH`` neighbours. Any passage of
-WORDS + REACH - 1 words or more thus has a whole paragraph in every document it stands in, wherever that begins.
+Repeated passages begin and end anywhere, so a paragraph here is a run of ``WORDS`` words from an anchor that its
+own words choose: the smallest hash of a word pair among ``REACH`` neighbours. Any passage of ``AROUND`` words or more thus has
+a whole paragraph in every document it stands in, wherever that begins.
 
-Paragraphs of equal words are one class, by 64-bit hash. Classes whose MinHash signatures (over five-word
-shingles) agree in a band are compared by exact Jaccard similarity, group by group, in tiles of bounded size;
-each comparison returns a spanning forest of its links. Components of the classes are the clusters. Of
-each cluster the paragraph of the smallest document stays, the others are removed.
+Paragraphs of equal words are one class, by 64-bit hash. A band is the anchor and the smallest hash of the
+paragraph's five-word shingles under one of ``BANDS`` functions: near copies begin at the same anchor, so it costs no recall
+and keeps unlike paragraphs apart. One other word in the middle leaves 16 of 26 shingles, of which the bands then miss 2 in 100 pairs.
+Classes that share a band are compared by the exact edit distance of their words, at most ``EDITS`` of ``WORDS`` (a similarity of 0.8), group by
+group, in tiles of bounded size; each comparison returns a spanning forest of its links. Components of the classes are the
+clusters. Of each cluster the paragraph of the smallest document stays, the others are removed.
 
-Bands: BANDS of ROWS values each. At similarity 0.8 a pair meets with probability 0.94, at 0.86 0.98, at 0.93 0.999; equal
-paragraphs always do.
+Documents are put in order of id and text once and written, and a paragraph's place is one number in that order. So results don't
+depend on how the input is dealt, and paragraphs overlap just where their places are less than WORDS apart. Two classes are
+compared unless all their paragraphs overlap.
 
 Defined results: a null text is an empty one; texts of fewer than WORDS words have no paragraph; a repeated row's paragraphs are
-copies of the first row's; a null id sorts first; an empty table gives an empty result; extra columns don't matter.
+copies of the first row's; a null id sorts first; an empty table gives an empty result; other columns travel in one struct,
+so whatever their names are they stay as they were.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import saved
-from tidemark.llm.wordids import slices
+from tidemark.llm.storage import packed, saved, tasks_for
+from tidemark.llm.wordids import _Known, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SHINGLE = 5
-WORDS = 26
-REACH = 25  # not above WORDS, or gaps stay between the paragraphs of one passage
+SHINGLE, START = 5, 2
+WORDS = 25  # a multiple of SHINGLE
+REACH = 22  # not above WORDS, or gaps stay between the paragraphs of one passage
 AROUND = WORDS + REACH - 1
-BANDS, ROWS = 4, 3
-LIKE = 0.8
+EDITS = WORDS // 5
+BRIDGE = 4
+BANDS = 4
 TILE = 256
+WEIGHT = 1 << 20  # numbers in a tile
 COLUMNS = 1 << 13
+TASK = 64 << 20
 PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(7)
-FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+FACTORS = _rng.integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
 WORD_FACTORS = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -57,22 +64,36 @@ def words_in(text: str, lower: bool = False) -> list[str]:
     return WORD.findall(text.translate(LOWER) if lower else text)
 
 
-def shingle_hashes(words: list[str]) -> np.ndarray:
-    """A hash of each SHINGLE-word run, from hashes of the words."""
+def _hash(word: str) -> int:
     from xxhash import xxh64_intdigest
 
-    h = np.array([xxh64_intdigest(w) for w in words], np.uint64)
-    n = len(h) - SHINGLE + 1
+    return xxh64_intdigest(word)
+
+
+_hashes = _Known(_hash, 200_000)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of width words, from the words' hashes."""
+    n = len(h) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE if n > 0 else 0):
+    for k in range(width if n > 0 else 0):
         out += h[k : k + n] * WORD_FACTORS[k]
     return _mix(out)
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Places of shingles that are the smallest of some REACH neighbouring ones, where a paragraph fits."""
+def shingle_hashes(words: list[str]) -> np.ndarray:
+    return run_hashes(word_hashes(words))
+
+
+def anchors(h: np.ndarray, n_words: int) -> np.ndarray:
+    """Places whose hash is the smallest of some REACH neighbouring ones, where a paragraph fits."""
     n = len(h)
-    if n < WORDS - SHINGLE + 1:
+    if n_words < WORDS:
         return np.zeros(0, np.int64)
     span = min(REACH, n)
     out = []
@@ -86,232 +107,292 @@ def anchors(h: np.ndarray) -> np.ndarray:
             width += step
         out.append(np.unique(low & PLACE).astype(np.int64) + lo)
     places = np.unique(np.concatenate(out))
-    return places[places <= n - (WORDS - SHINGLE + 1)]
+    return places[places <= n_words - WORDS]
 
 
 def paragraphs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, hash, band keys) of each paragraph of a text's words."""
-    h = shingle_hashes(words)
-    at = anchors(h)
-    inside = WORDS - SHINGLE + 1
+    each = word_hashes(words)
+    two, five = run_hashes(each, START), run_hashes(each)
+    at = anchors(two, len(words))
     whole, keys = [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.uint64)]
     for k in range(0, len(at), 1 << 14):
-        some = h[at[k : k + (1 << 14), None] + np.arange(inside)]
-        ordered = np.zeros(len(some), np.uint64)
-        for c in range(inside):
-            ordered = _mix(ordered * np.uint64(0xBF58476D1CE4E5B9) + some[:, c])
-        low = np.stack([((some * f) ^ ((some * f) >> np.uint64(32))).min(axis=1) for f in FACTORS], 1)
-        band = np.empty((len(some), BANDS), np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(some), b + 1, np.uint64)
-            for r in range(ROWS):
-                key = _mix(key * np.uint64(0x94D049BB133111EB) + low[:, b * ROWS + r])
-            band[:, b] = key
+        places = at[k : k + (1 << 14)]
+        ordered = np.zeros(len(places), np.uint64)
+        for c in range(0, WORDS, SHINGLE):
+            ordered = _mix(ordered * np.uint64(0xBF58476D1CE4E5B9) + five[places + c])
+        some, begin = five[places[:, None] + np.arange(WORDS - SHINGLE + 1)], two[places]
+        band = np.empty((len(places), BANDS), np.uint64)
+        for b, f in enumerate(FACTORS):
+            scaled = some * f
+            low = (scaled ^ (scaled >> np.uint64(32))).min(axis=1)
+            band[:, b] = _mix(_mix(begin + np.uint64(b + 1)) * np.uint64(0x94D049BB133111EB) + low)
         whole.append(ordered)
         keys.append(band)
     return at, np.concatenate(whole), np.concatenate(keys)
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, h, keys) of all paragraphs of docs."""
+def ordered(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(row, doc_id, text[, doc]) of docs in order of id and text; row + a word's number is a place that no other word has."""
+    columns = ["doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("tie")]
+    if carry:
+        columns += [F.col("text").isNull().alias("none"), packed(docs, "text")]
+    keys = ["doc_id", "mark", "tie"]  # ties are between equal rows alone; they spread very many of them
+    dealt = docs.select(*columns).repartitionByRange(tasks_for(docs, TASK), *keys).sortWithinPartitions(*keys).drop("mark", "tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        free = TaskContext.get().partitionId() << 42  # bytes of one task; a text has fewer words than bytes
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch["text"]).to_numpy().astype(np.int64) + WORDS
+            ends = free + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ends - sizes), *batch.columns], ["row", *batch.schema.names])
+            free = int(ends[-1]) if len(ends) else free
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    return saved(dealt.mapInArrow(run, StructType([StructField("row", LongType()), *dealt.schema.fields])), "rows")
+
+
+def found(rows: DataFrame) -> DataFrame:
+    """(row, pos, doc_id, h, keys) of all paragraphs of rows; pos is the place of its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             lengths, ats, hs, ks = [], [], [], []
             for text in part["text"].to_pylist():
-                at, h, keys = paragraphs(WORD.findall(text or ""))
+                at, h, keys = paragraphs(WORD.findall(text))
                 lengths.append(len(at))
                 ats.append(at)
                 hs.append(h)
                 ks.append(keys)
-            which = pa.array(np.repeat(np.arange(part.num_rows), lengths))
-            h = np.concatenate(hs)
-            # of equal paragraphs of this part the first and the last have keys, which show whether they stand apart:
-            # a passage that is everywhere costs little beyond
+            which = np.repeat(np.arange(part.num_rows), lengths)
+            row, h = part["row"].to_numpy()[which], np.concatenate(hs)
+            # of equal paragraphs of this part the first has keys: a passage that is everywhere costs little beyond
             new = np.zeros(len(h), bool)
             new[np.unique(h, return_index=True)[1]] = True
-            new[len(h) - 1 - np.unique(h[::-1], return_index=True)[1]] = True
             keys = pa.array(np.concatenate(ks)[new].reshape(-1).view(np.int64))
             ends = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part["row"].take(which),
-                    part["doc_id"].take(which),
-                    pa.array(np.concatenate(ats).astype(np.int32)),
-                    pa.array(h.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), keys),
-                ],
-                ["row", "doc_id", "at", "h", "keys"],
+                [pa.array(row), pa.array(row + np.concatenate(ats)), part["doc_id"].take(pa.array(which)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), keys)],
+                ["row", "pos", "doc_id", "h", "keys"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, at int, h long, keys array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, pos long, doc_id {kind}, h long, keys array<long>")
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, whole: bool = False) -> DataFrame:
-    """(h, row, at, shingles) of the wanted (h, row, at): of the paragraph there, or of the whole text in lower case."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
+def numbers_of(rows: DataFrame, wanted: DataFrame, make: Callable[[str], np.ndarray], size: int | None) -> DataFrame:
+    """(h, first, last, numbers) of the wanted (h, row, first, last): what make gives for the row's text, the size numbers from place first."""
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "first", "last")).alias("asked"))
+    kind = pa.schema([("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("numbers", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets: list[dict] = []
+            out: list[dict] = []
             for row, text, asked in zip(part["row"].to_pylist(), part["text"].to_pylist(), part["asked"].to_pylist(), strict=True):
-                h = shingle_hashes(words_in(text, whole)).view(np.int64)
-                size = len(h) if whole else WORDS - SHINGLE + 1
-                sets += ({"h": a["h"], "row": row, "at": a["at"], "shingles": np.unique(h[a["at"] : a["at"] + size])} for a in asked)
-            yield pa.RecordBatch.from_pylist(sets, pa.schema([("h", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
+                numbers = make(text).view(np.int64)
+                for a in asked:
+                    at = a["first"] - row
+                    out.append(a | {"numbers": numbers if size is None else numbers[at : at + size]})
+            yield pa.RecordBatch.from_pylist(out, kind)
 
-    return rows.join(asked, "row").mapInArrow(run, "h long, row long, at int, shingles array<long>")
+    return rows.select("row", "text").join(asked, "row").mapInArrow(run, "h long, first long, last long, numbers array<long>")
 
 
-def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float) -> np.ndarray:
-    """Whether sets[i] and other[j] (or sets[j], j > i) have a Jaccard similarity of at least like."""
-
-    def places(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(every, np.concatenate(x))
+def _common(sets: np.ndarray, which: np.ndarray, n: int, other: np.ndarray | None, other_which: np.ndarray | None, m: int) -> np.ndarray:
+    """How many numbers set i of n and set j of m (or of the same n) share; numbers are distinct within a set, ``which`` names their set."""
+    every, codes = np.unique(sets if other is None else np.concatenate([sets, other]), return_inverse=True)
+    left, right = codes[: len(sets)], codes[len(sets) :]
 
-    def incidence(x: list[np.ndarray], places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(x), COLUMNS), np.float32)
-        take = (places[1] >= lo) & (places[1] < lo + COLUMNS)
-        out[places[0][take], places[1][take] - lo] = 1
+    def incidence(codes: np.ndarray, which: np.ndarray, n: int, lo: int) -> np.ndarray:
+        out = np.zeros((n, min(COLUMNS, len(every) - lo)), np.float32)
+        take = (codes >= lo) & (codes < lo + COLUMNS)
+        out[which[take], codes[take] - lo] = 1
         return out
 
-    every = np.unique(np.concatenate(sets + (other or [])))
-    left, right = places(sets), None if other is None else places(other)
-    common: np.ndarray | float = 0.0
+    common = np.zeros((n, m), np.float32)
     for lo in range(0, len(every), COLUMNS):
-        a = incidence(sets, left)
-        common = common + a @ (a if other is None else incidence(other, right)).T
-    sizes = np.array([len(s) for s in sets], np.float32)
-    union = sizes[:, None] + (sizes if other is None else np.array([len(s) for s in other], np.float32))[None, :] - common
-    near = common >= np.float32(like) * union - 1e-4
+        a = incidence(left, which, n, lo)
+        common += a @ (a if other is None else incidence(right, other_which, m, lo)).T
+    return common
+
+
+def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float) -> np.ndarray:
+    """Whether sets[i] and other[j] (or sets[j], j > i) have a Jaccard similarity of at least like."""
+
+    def flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in x])
+        return np.concatenate(x), np.repeat(np.arange(len(x)), sizes), sizes.astype(np.float32)
+
+    a, which, sizes = flat(sets)
+    b, other_which, other_sizes = (None, None, sizes) if other is None else flat(other)
+    common = _common(a, which, len(sets), b, other_which, len(other_sizes))
+    near = common >= np.float32(like) * (sizes[:, None] + other_sizes[None, :] - common) - 1e-4
     return np.triu(near, 1) if other is None else near
 
 
-def _mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h) of the keys with more than one h, from rows (key, h, row, at) in order of their key.
+def edit_distances(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The edit distance of the words x and those in each row of ys."""
+    steps = np.arange(ys.shape[1] + 1)
+    now = np.tile(steps, (len(ys), 1))
+    for i, word in enumerate(x):
+        best = np.concatenate([np.full((len(ys), 1), i + 1), np.minimum(now[:, :-1] + (ys != word), now[:, 1:] + 1)], 1)
+        now = np.minimum.accumulate(best - steps, axis=1) + steps
+    return now[:, -1]
 
-    Keys whose paragraphs all overlap in one document are left out: they are alike without being repeats.
-    A key's rows are held until the next key comes; of very many, those known to belong go on earlier.
-    """
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["key", "h"])
+def _numbered(words: np.ndarray) -> np.ndarray:
+    """Words of each row made distinct: a word's second coming in a row is another number than its first."""
+    order = np.argsort(words, axis=1, kind="stable")
+    by = np.take_along_axis(words, order, 1)
+    same = np.concatenate([np.zeros((len(words), 1), bool), by[:, 1:] == by[:, :-1]], 1)
+    since = np.arange(words.shape[1]) - np.maximum.accumulate(np.where(same, 0, np.arange(words.shape[1])), axis=1)
+    times = np.empty_like(since)
+    np.put_along_axis(times, order, since, 1)
+    return words + times * np.int64(0x5851F42D4C957F2D)
+
 
-    def apart(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (low[:, 1] != high[:, 1]) & ((low[:, 2] != high[:, 2]) | (high[:, 3] - low[:, 3] >= WORDS))
+def near_paragraphs(words: np.ndarray, ends: np.ndarray, others: np.ndarray | None, other_ends: np.ndarray | None, edits: int = EDITS) -> list[tuple[int, int]]:
+    """A spanning forest of the links (i, j) between rows of words and of others (or of words itself).
 
-    held = np.zeros((0, 4), np.int64)
-    for batch in batches:
-        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "h", "row", "at")], 1)
-        rows = np.concatenate([held, rows])
-        if not len(rows):
+    ends holds the first and the last place of each class. A link is an edit distance of at most edits, of classes that have paragraphs apart from each
+    other. Rows that are linked already aren't compared again, so many near copies of one paragraph cost little more than one pass.
+    """
+    n, width = words.shape
+    m = n if others is None else len(others)
+    bag, who = _numbered(words).reshape(-1), np.repeat(np.arange(n), width)
+    if others is None:
+        common = _common(bag, who, n, None, None, n)
+    else:
+        common = _common(bag, who, n, _numbered(others).reshape(-1), np.repeat(np.arange(m), width), m)
+    right, right_ends, shift = (words, ends, 0) if others is None else (others, other_ends, n)
+    far = np.maximum(right_ends[None, :, 1] - ends[:, None, 0], ends[:, None, 1] - right_ends[None, :, 0]) >= WORDS
+    maybe = far & (common >= width - edits)
+    if others is None:
+        maybe = np.triu(maybe, 1)
+    label = np.arange(n + m if shift else n)
+    out = []
+    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+        js = np.flatnonzero(maybe[i])
+        js = js[label[js + shift] != label[i]]
+        if not len(js):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        mixed = apart(np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts))
-        counts = np.diff(np.concatenate([starts, [len(rows)]]))
-        held = np.unique(rows[starts[-1] :], axis=0)
-        if len(held) < 1 << 16:
-            mixed[-1] = False
-        elif mixed[-1] or held[0, 1] == held[-1, 1]:  # rows that show what the key is stay
-            held = held[np.unique(np.concatenate([held.argmin(axis=0), held.argmax(axis=0)]))]
-        yield out(rows[np.repeat(mixed, counts)])
-    if len(held) and apart(held.min(axis=0)[None], held.max(axis=0)[None])[0]:
-        yield out(held)
-
-
-def links(marks: DataFrame, docs: DataFrame, like: float = LIKE, whole: bool = False) -> DataFrame:
-    """(a, b): links between classes that connect all that share a band and are alike enough; with whole, classes of whole texts."""
-    keyed = marks.where(F.size("keys") > 0).select("h", "row", "at", F.explode("keys").alias("key"))
-    mixed = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_groups, "key long, h long")
-    members = saved(mixed.distinct(), "bands")
-    wanted = marks.join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("row", "at")).alias("first")).select("h", "first.*")
-    sets = saved(_shingles_of(docs, saved(wanted, "wanted"), whole), "shingles")
+        near = (right[js] != words[i]).sum(axis=1) <= edits
+        near[~near] = edit_distances(words[i], right[js[~near]]) <= edits
+        for j in js[near].tolist():
+            if label[j + shift] != label[i]:
+                label[label == label[j + shift]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def links(keyed: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pa.StructArray, pa.StructArray | None], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): links between classes that connect all which share a key and which compare links.
+
+    keyed has (key, h), one row or more for each; payload gives (h, first, last, numbers) of the classes h it is asked for.
+    """
+    # which keys have more than one class is counted before it is shuffled, so no key is too frequent
+    mixed = saved(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    members = saved(keyed.join(mixed, "key").select("key", "h").distinct(), "members")
+    sets = saved(payload(members.select("h").distinct()), "numbers").withColumn("n", F.size("numbers"))
     # groups of any size become tiles of about TILE classes, and each two tiles of a group meet once
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    many = F.greatest(F.count("*") / TILE, F.sum("n") / WEIGHT)
+    sizes = members.join(sets.select("h", "n"), "h").groupBy("key").agg(F.greatest(F.ceil(many), F.lit(1)).cast("int").alias("tiles"))
     tiles = (
         members.join(sizes, "key")
         .join(sets, "h")
         .withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
         .groupBy("key", "tiles", "t")
-        .agg(F.collect_list(F.struct("h", "row", "at", "shingles")).alias("rows"))
+        .agg(F.collect_list(F.struct("h", "first", "last", "numbers")).alias("rows"))
     )
     meetings = (
         tiles.select("key", "t", "rows", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
         .select("key", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "t", "rows")
         .groupBy("key", "x", "y")
         .agg(F.max(F.when(F.col("t") == F.col("x"), F.col("rows"))).alias("left"), F.max(F.when((F.col("t") == F.col("y")) & (F.col("x") != F.col("y")), F.col("rows"))).alias("right"))
+        .where("left is not null and (x = y or right is not null)")
         .select("left", "right")
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(rows: pa.Scalar) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
-            rows = rows.as_py()
-            return [(r["h"], r["row"], r["at"]) for r in rows], [np.array(r["shingles"], np.int64) for r in rows]
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            found = [np.zeros((0, 2), np.int64)]
             for left, right in zip(batch["left"], batch["right"], strict=True):
-                if not left.is_valid:
-                    continue
-                names, sets = unpack(left)
-                others, more = unpack(right) if right.is_valid else (names, None)
-                parent: dict[int, int] = {}
-                for i, j in zip(*(x.tolist() for x in np.nonzero(similar(sets, more, like))), strict=True):
-                    (a, row, at), (b, other_row, other_at) = names[i], others[j]
-                    if row == other_row and abs(at - other_at) < WORDS:
-                        continue  # they overlap, which is no repeat
-                    while parent.get(a, a) != a:
-                        a = parent[a]
-                    while parent.get(b, b) != b:
-                        b = parent[b]
-                    if a != b:
-                        parent[b] = a
-                        out.append((names[i][0], others[j][0]))
-            ends = np.array(out, np.int64).reshape(-1, 2)
+                a = left.values
+                b = right.values if right.is_valid else None
+                pairs = np.array(compare(a, b), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    found.append(np.stack([a.field("h").to_numpy()[pairs[:, 0]], (a if b is None else b).field("h").to_numpy()[pairs[:, 1]]], 1))
+            ends = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
-    return meetings.mapInArrow(compare, "a long, b long")
+    return meetings.mapInArrow(run, "a long, b long")
 
 
-def repeats(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """Paragraphs that are in a cluster with others: row, doc_id, at, component_id and removed.
+def _compare(left: pa.StructArray, right: pa.StructArray | None) -> list[tuple[int, int]]:
+    def parts(rows: pa.StructArray | None) -> tuple:
+        if rows is None:
+            return None, None
+        return rows.field("numbers").flatten().to_numpy().reshape(-1, WORDS), np.stack([rows.field(c).to_numpy() for c in ("first", "last")], 1)
 
-    component_id is the smallest doc_id with a paragraph of the cluster; the first paragraph of it stays.
-    """
-    marks = saved(found(docs), "paragraphs")
-    classes = marks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first"))
-    groups = components(links(marks, docs, like))
+    return near_paragraphs(*parts(left), *parts(right))
+
+
+def paragraph_links(rows: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of marks; classes has h, row, first and last."""
+
+    def payload(asked: DataFrame) -> DataFrame:
+        wanted = classes.join(asked, "h", "left_semi").select("h", "row", "first", "last")
+        return numbers_of(rows, wanted, lambda text: word_hashes(WORD.findall(text)), WORDS)
+
+    return links(marks.where(F.size("keys") > 0).select("h", F.explode("keys").alias("key")), payload, _compare)
+
+
+def classes_of(marks: DataFrame) -> DataFrame:
+    """(h, n, first, last, row, doc): each class's number of paragraphs, its first and last place, and whose the first is."""
+    return marks.groupBy("h").agg(
+        F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("row", "pos").alias("row"), F.min_by("doc_id", "pos").alias("doc")
+    )
+
+
+def clusters(rows: DataFrame) -> DataFrame:
+    """Paragraphs of rows that are in a cluster with others: row, pos, doc_id, component_id, removed, and row and pos of the
+    cluster's first paragraph (keeper) and of the class's."""
+    marks = saved(found(rows), "paragraphs")
+    classes = saved(classes_of(marks), "classes")
+    groups = components(paragraph_links(rows, marks, classes))
     known = classes.join(groups, classes["h"] == groups["node"], "left").where("n > 1 or component is not null")
-    known = saved(known.select("h", "first", F.coalesce("component", "h").alias("component")), "classes")
-    keeper = known.groupBy("component").agg(F.min("first").alias("keeper"))
-    named = known.join(keeper, "component").select("h", "keeper", "first")
+    known = saved(known.select("h", "first", "row", "doc", F.coalesce("component", "h").alias("component")), "clustered")
+    keeper = known.groupBy("component").agg(F.min("first").alias("kpos"), F.min_by("row", "first").alias("krow"), F.min_by("doc", "first").alias("component_id"))
+    named = known.join(keeper, "component").select("h", "kpos", "krow", "component_id", "first", F.col("row").alias("frow"))
     return (
         marks.drop("keys")
         .join(named, "h")
-        .select(
-            "row",
-            "doc_id",
-            "at",
-            F.col("keeper.doc_id").alias("component_id"),
-            (~((F.col("row") == F.col("keeper.row")) & (F.col("at") == F.col("keeper.at")))).alias("removed"),
-            F.struct("keeper.row", "keeper.at").alias("keeper"),
-            F.struct("first.row", "first.at").alias("first"),
-        )
+        .select("row", "pos", "doc_id", "component_id", (F.abs(F.col("pos") - F.col("kpos")) >= WORDS).alias("removed"), "krow", "kpos", "frow", F.col("first").alias("fpos"))
     )
 
 
+def repeats(docs: DataFrame) -> DataFrame:
+    """Paragraphs that are in a cluster with others: doc_id, at (the number of its first word), component_id and removed.
+
+    component_id is the smallest doc_id with a paragraph of the cluster; the first paragraph of it stays, and
+    so does what overlaps it.
+    """
+    return clusters(ordered(docs)).select("doc_id", (F.col("pos") - F.col("row")).alias("at"), "component_id", "removed")
+
+
 def runs(paragraphs: DataFrame) -> DataFrame:
     """(row, start, end, krow, kstart): what removed paragraphs cover of a row, joined where they touch and the earlier text (krow) runs along."""
-    earlier = F.array_distinct(F.array("keeper", "first"))
+    earlier = F.array_distinct(F.array(F.struct(F.col("krow").alias("row"), F.col("kpos").alias("pos")), F.struct(F.col("frow").alias("row"), F.col("fpos").alias("pos"))))
+    at = (F.col("pos") - F.col("row")).alias("at")
     pairs = (
         paragraphs.where("removed")
-        .select("row", "at", F.explode(earlier).alias("k"))
-        .where("row <> k.row or at <> k.at")
+        .select("row", "pos", at, F.explode(earlier).alias("k"))
+        .where("pos <> k.pos")
         .groupBy("row")
-        .agg(F.collect_list(F.struct(F.col("k.row").alias("krow"), (F.col("at") - F.col("k.at")).alias("shift"), "at")).alias("pairs"))
+        .agg(F.collect_list(F.struct(F.col("k.row").alias("krow"), (F.col("at") - (F.col("k.pos") - F.col("k.row"))).alias("shift"), "at")).alias("pairs"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,10 +413,10 @@ def runs(paragraphs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "row long, start long, end long, krow long, kstart long")
 
 
-def _around(docs: DataFrame, covered: DataFrame) -> DataFrame:
+def _around(rows: DataFrame, covered: DataFrame) -> DataFrame:
     """(krow, kstart, kend, before, after): up to AROUND words on either side of what runs cover of the earlier texts."""
-    rows = docs.select(F.monotonically_increasing_id().alias("krow"), "text")
     asked = covered.select("krow", "kstart", "kend").distinct().groupBy("krow").agg(F.collect_list(F.struct("kstart", "kend")).alias("asked"))
+    texts = rows.select(F.col("row").alias("krow"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -355,7 +436,20 @@ def _around(docs: DataFrame, covered: DataFrame) -> DataFrame:
                         ["krow", "kstart", "kend", "before", "after"],
                     )
 
-    return rows.join(asked, "krow").mapInArrow(run, "krow long, kstart long, kend long, before string, after string")
+    return texts.join(asked, "krow").mapInArrow(run, "krow long, kstart long, kend long, before string, after string")
+
+
+def alike(a: list[str], b: list[str]) -> int:
+    """How far a and b run along each other: over equal words, and over one other word where BRIDGE equal ones follow."""
+    n, k = min(len(a), len(b)), 0
+    while k < n:
+        if a[k] == b[k]:
+            k += 1
+        elif k + BRIDGE < n and a[k + 1 : k + 1 + BRIDGE] == b[k + 1 : k + 1 + BRIDGE]:
+            k += 1 + BRIDGE
+        else:
+            break
+    return k
 
 
 def grown(words: list[str], run: dict) -> tuple[int, int]:
@@ -366,47 +460,53 @@ def grown(words: list[str], run: dict) -> tuple[int, int]:
     start, end = run["start"], run["end"]
     before, after = WORD.findall(run["before"]), WORD.findall(run["after"])
     most = max(start - run["kend"], 0) if run["own"] else len(words)
-    left = 0
-    while left < min(len(before), start, most) and before[-1 - left] == words[start - 1 - left]:
-        left += 1
-    right = 0
-    while right < min(len(after), len(words) - end, most - left) and after[right] == words[end + right]:
-        right += 1
+    left = min(alike(before[::-1], words[max(start - AROUND, 0) : start][::-1]), most)
+    right = min(alike(after, words[end : end + AROUND]), most - left)
     return start - left, end + right
 
 
-def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
+def cut_out(text: str, cuts: list[dict]) -> str:
+    """text without what the cuts cover once they have grown."""
+    places = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b] for a, b in places]
+    parts, done = [], 0
+    for start, end in sorted({grown(words, c) for c in cuts}):
+        parts.append(text[done : max(places[start][0], done)])
+        done = max(done, places[end - 1][1])
+    return "".join([*parts, text[done:]])
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without what removed paragraphs cover and the equal words beside it, and without documents of which no word is left by that.
 
     n_chars, if there, is counted anew.
     """
-    covered = saved(runs(repeats(docs, like)).withColumn("kend", F.col("kstart") + F.col("end") - F.col("start")), "runs")
-    known = covered.join(saved(_around(docs, covered), "around"), ["krow", "kstart", "kend"])
+    rows = ordered(docs, carry=True)
+    covered = saved(runs(clusters(rows)).withColumn("kend", F.col("kstart") + F.col("end") - F.col("start")), "runs")
+    known = covered.join(saved(_around(rows, covered), "around"), ["krow", "kstart", "kend"])
     run_ = F.struct("start", "end", (F.col("row") == F.col("krow")).alias("own"), "kend", "before", "after")
     spans = known.groupBy("row").agg(F.collect_list(run_).alias("cut"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(saved(spans, "cuts").hint("merge"), "row", "left")
+    joined = rows.select("row", "text", "none", "doc").join(saved(spans, "cuts").hint("merge"), "row", "left")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, keep = [], []
-            for text, cut in zip(batch["text"].to_pylist(), batch["cut"], strict=True):
+            for text, none, cut in zip(batch["text"].to_pylist(), batch["none"].to_pylist(), batch["cut"], strict=True):
                 if cut.is_valid:
-                    places = [m.span() for m in WORD.finditer(text)]
-                    words = [text[a:b] for a, b in places]
-                    parts, done = [], 0
-                    for start, end in sorted({grown(words, c) for c in cut.as_py()}):
-                        parts.append(text[done : max(places[start][0], done)])
-                        done = max(done, places[end - 1][1])
-                    text = "".join([*parts, text[done:]])
+                    text = cut_out(text, cut.as_py())
                     keep.append(bool(WORD.search(text)))
                 else:
                     keep.append(True)
-                texts.append(text)
-            out = batch.drop_columns(["row", "cut"])
-            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            if "n_chars" in out.schema.names:
-                counts = [None if t is None else len(t) for t in texts]
-                out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array(counts, out.schema.field("n_chars").type))
-            yield out.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, docs.schema)
+                texts.append(None if none else text)
+            yield rebuilt(batch["doc"], names, texts).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def rebuilt(doc: pa.StructArray, names: list[str], texts: list[str | None]) -> pa.RecordBatch:
+    """The documents of the struct doc with other texts; n_chars, if there, is counted anew."""
+    rest = dict(zip((f.name for f in doc.type), doc.flatten(), strict=True))
+    if "n_chars" in rest:
+        rest["n_chars"] = pa.array([None if t is None else len(t) for t in texts], rest["n_chars"].type)
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest[c] for c in names], names)
