@@ -14,30 +14,30 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, minhash, mixing, quality, simhash, substring
 from tidemark.llm.components import components
 from tidemark.llm.queries import word_vocabulary
-from tidemark.llm.storage import release, saved
+from tidemark.llm.storage import Tables, packed, saved
 
 ORACLE_SQL = None  # the stages go beyond SQL; tests/llm hold them against brute force
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the weakly supervised rules keep."""
-    judged = quality.judge(docs, keep=[c for c in docs.columns if c != "text"], with_text=True)
-    return judged.where("kept").select(*docs.columns)
+    return quality.judge(docs).where("kept").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that of the smallest id, the first row of it.
+    """Keeps one document of each group of near duplicates: that of the smallest id, of equal ids that of the smaller hash of its text.
 
     Near are fingerprints within operator 1's radius, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    marks = simhash.near_duplicates(docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))))
+    # rows get their number once, with the text beside it
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("mark"), packed(docs, "text")), "rows")
+    marks = simhash.near_duplicates(rows.select(F.struct("doc_id", "row").alias("doc_id"), "text"))
     same = marks.select(F.col("doc_id.row").alias("a"), F.col("component_id.row").alias("b"))
-    groups = components(same.unionByName(minhash.near_links(docs)))
-    named = rows.select("doc_id", "_row").join(groups.hint("merge"), F.col("_row") == F.col("node"), "left")
+    groups = components(same.unionByName(minhash.near_links(rows)))
+    named = rows.select("doc_id", "mark", "row").join(groups.hint("merge"), F.col("row") == F.col("node"), "left")
     # as many rows as documents, whatever an estimate says
-    kept = named.groupBy(F.coalesce("component", "_row").alias("c")).agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row").hint("merge")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = named.groupBy(F.coalesce("component", "row").alias("c")).agg(F.min(F.struct("doc_id", "mark", "row")).alias("k")).select("k.row").hint("merge")
+    return rows.join(kept, "row", "left_semi").select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,30 +56,41 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_working = Tables()
 
 
 def lean(stage: Stage) -> Stage:
-    """The stage, after the tables of earlier stages that its docs don't read have gone from the shared folder."""
+    """The stage for callers that write each result before they call the next stage: tables that earlier calls of
+    these stages worked on go, but for those that docs reads. Only such tables go."""
 
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, keep=docs)
-        return stage(spark, docs, sf_dir)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _working.release(spark, keep=docs)
+        with _working:
+            return stage(spark, docs, sf_dir)
 
-    return run
+    return call
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", lean(quality_rules)),
-    ("near_dedup", lean(near_dedup)),
-    ("substring_dedup", lean(substring_dedup)),
-    ("source_mix", lean(source_mix)),
-    ("bpe_round_trip", lean(bpe_round_trip)),
+STEPS: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mix", source_mix),
+    ("bpe_round_trip", bpe_round_trip),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, lean(stage)) for name, stage in STEPS]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A run has tables of its own, and drops what no later stage reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    results = Tables()
+    for name, stage in STEPS[:-1]:
+        working = Tables()
+        with working:
+            out = stage(spark, docs, sf_dir)
+        with results:
+            docs = saved(out, name)
+        working.release(spark)
+        results.release(spark, keep=docs)
+    return STEPS[-1][1](spark, docs, sf_dir)
