@@ -93,6 +93,7 @@ def near_links(rows: DataFrame, like: float = 0.8) -> DataFrame:
                 out.append((i, j))
         return out
 
-    pairs = substring.links(one.select("h", F.explode("keys").alias("key")), payload, compare)
+    keyed = one.select("h", F.explode("keys").alias("key"))
+    pairs = substring.links(keyed, payload, lambda left, right: substring.by_group(left, right, compare))
     near = pairs.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return near.unionByName(marks.join(first, "h").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")))

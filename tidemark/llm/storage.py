@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -80,21 +81,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, a finished query's shuffle files go at once, where Spark offers that."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, the session has this setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The query's shuffle files go as soon as it is done, where Spark offers that. batch: how many rows go to Python at once.
+    """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    with freed(spark):
+    with ExitStack() as settings:
+        settings.enter_context(setting(spark, CLEANUP, "true"))
+        if batch is not None:
+            settings.enter_context(setting(spark, BATCH, str(batch)))
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

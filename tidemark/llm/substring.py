@@ -38,8 +38,10 @@ from tidemark.llm.wordids import _Known, slices
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE, START = 5, 2
+SMALL = 16
 WORDS = 25  # a multiple of SHINGLE
-REACH = 22  # not above WORDS, or gaps stay between the paragraphs of one passage
+REACH = 25  # not above WORDS, or gaps stay between the paragraphs of one passage
+STRIDE = 12  # in a run of equal words, where any place would do
 AROUND = WORDS + REACH - 1
 EDITS = WORDS // 5
 BRIDGE = 4
@@ -48,6 +50,7 @@ TILE = 256
 WEIGHT = 1 << 20  # numbers in a tile
 COLUMNS = 1 << 13
 TASK = 64 << 20
+BATCH = 256  # tiles of up to TILE classes go to Python at once
 PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
@@ -107,7 +110,9 @@ def anchors(h: np.ndarray, n_words: int) -> np.ndarray:
             width += step
         out.append(np.unique(low & PLACE).astype(np.int64) + lo)
     places = np.unique(np.concatenate(out))
-    return places[places <= n_words - WORDS]
+    new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    since = places - new[np.searchsorted(new, places, "right") - 1]
+    return places[(places <= n_words - WORDS) & (since % STRIDE == 0)]
 
 
 def paragraphs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,17 +191,22 @@ def found(rows: DataFrame) -> DataFrame:
 def numbers_of(rows: DataFrame, wanted: DataFrame, make: Callable[[str], np.ndarray], size: int | None) -> DataFrame:
     """(h, first, last, numbers) of the wanted (h, row, first, last): what make gives for the row's text, the size numbers from place first."""
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "first", "last")).alias("asked"))
-    kind = pa.schema([("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("numbers", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            out: list[dict] = []
-            for row, text, asked in zip(part["row"].to_pylist(), part["text"].to_pylist(), part["asked"].to_pylist(), strict=True):
-                numbers = make(text).view(np.int64)
-                for a in asked:
-                    at = a["first"] - row
-                    out.append(a | {"numbers": numbers if size is None else numbers[at : at + size]})
-            yield pa.RecordBatch.from_pylist(out, kind)
+            counts = pa.compute.list_value_length(part["asked"]).to_numpy()
+            flat = part["asked"].flatten()
+            first = flat.field("first").to_numpy()
+            at = first - np.repeat(part["row"].to_numpy(), counts)
+            ends, numbers, sizes = np.cumsum(counts), [np.zeros(0, np.int64)], []
+            for text, a, b in zip(part["text"].to_pylist(), ends - counts, ends, strict=True):
+                every = make(text).view(np.int64)
+                some = np.tile(every, b - a) if size is None else every[at[a:b, None] + np.arange(size)].reshape(-1)
+                numbers.append(some)
+                sizes.append(np.full(b - a, len(every) if size is None else size))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(numbers)))
+            yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("first"), flat.field("last"), lists], ["h", "first", "last", "numbers"])
 
     return rows.select("row", "text").join(asked, "row").mapInArrow(run, "h long, first long, last long, numbers array<long>")
 
@@ -234,11 +244,11 @@ def similar(sets: list[np.ndarray], other: list[np.ndarray] | None, like: float)
 
 
 def edit_distances(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """The edit distance of the words x and those in each row of ys."""
+    """The edit distance of the words x and those in each row of ys, or of each row of x and of ys."""
     steps = np.arange(ys.shape[1] + 1)
     now = np.tile(steps, (len(ys), 1))
-    for i, word in enumerate(x):
-        best = np.concatenate([np.full((len(ys), 1), i + 1), np.minimum(now[:, :-1] + (ys != word), now[:, 1:] + 1)], 1)
+    for i in range(x.shape[-1]):
+        best = np.concatenate([np.full((len(ys), 1), i + 1), np.minimum(now[:, :-1] + (ys != x[..., i : i + 1]), now[:, 1:] + 1)], 1)
         now = np.minimum.accumulate(best - steps, axis=1) + steps
     return now[:, -1]
 
@@ -288,7 +298,25 @@ def near_paragraphs(words: np.ndarray, ends: np.ndarray, others: np.ndarray | No
     return out
 
 
-def links(keyed: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pa.StructArray, pa.StructArray | None], list[tuple[int, int]]]) -> DataFrame:
+def near_pairs(words: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """Which of the pairs (i, j) of rows of words are links, as in near_paragraphs."""
+    near = np.maximum(ends[j, 1] - ends[i, 0], ends[i, 1] - ends[j, 0]) >= WORDS
+    for k in range(0, len(i), 1 << 15):
+        some = k + np.flatnonzero(near[k : k + (1 << 15)])
+        x, y = words[i[some]], words[j[some]]
+        fits = (x != y).sum(axis=1) <= edits
+        rest = np.flatnonzero(~fits)
+        both = np.sort(np.concatenate([_numbered(x[rest]), _numbered(y[rest])], 1), axis=1)
+        rest = rest[(both[:, 1:] == both[:, :-1]).sum(axis=1) >= words.shape[1] - edits]
+        fits[rest] = edit_distances(x[rest], y[rest]) <= edits
+        near[some] = fits
+    return near
+
+
+Compare = Callable[[pa.ListArray, pa.ListArray], tuple[np.ndarray, np.ndarray]]
+
+
+def links(keyed: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
     """(a, b): links between classes that connect all which share a key and which compare links.
 
     keyed has (key, h), one row or more for each; payload gives (h, first, last, numbers) of the classes h it is asked for.
@@ -300,15 +328,20 @@ def links(keyed: DataFrame, payload: Callable[[DataFrame], DataFrame], compare:
     # groups of any size become tiles of about TILE classes, and each two tiles of a group meet once
     many = F.greatest(F.count("*") / TILE, F.sum("n") / WEIGHT)
     sizes = members.join(sets.select("h", "n"), "h").groupBy("key").agg(F.greatest(F.ceil(many), F.lit(1)).cast("int").alias("tiles"))
-    tiles = (
-        members.join(sizes, "key")
-        .join(sets, "h")
-        .withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
-        .groupBy("key", "tiles", "t")
-        .agg(F.collect_list(F.struct("h", "first", "last", "numbers")).alias("rows"))
-    )
+    sizes = saved(sizes, "sizes")
+
+    def tiled(which: str) -> DataFrame:
+        return (
+            members.join(sizes.where(which), "key")
+            .join(sets, "h")
+            .withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
+            .groupBy("key", "tiles", "t")
+            .agg(F.collect_list(F.struct("h", "first", "last", "numbers")).alias("rows"))
+        )
+
     meetings = (
-        tiles.select("key", "t", "rows", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+        tiled("tiles > 1")
+        .select("key", "t", "rows", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
         .select("key", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "t", "rows")
         .groupBy("key", "x", "y")
         .agg(F.max(F.when(F.col("t") == F.col("x"), F.col("rows"))).alias("left"), F.max(F.when((F.col("t") == F.col("y")) & (F.col("x") != F.col("y")), F.col("rows"))).alias("right"))
@@ -318,26 +351,51 @@ def links(keyed: DataFrame, payload: Callable[[DataFrame], DataFrame], compare:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                a = left.values
-                b = right.values if right.is_valid else None
-                pairs = np.array(compare(a, b), np.int64).reshape(-1, 2)
-                if len(pairs):
-                    found.append(np.stack([a.field("h").to_numpy()[pairs[:, 0]], (a if b is None else b).field("h").to_numpy()[pairs[:, 1]]], 1))
-            ends = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
-
-    return meetings.mapInArrow(run, "a long, b long")
-
-
-def _compare(left: pa.StructArray, right: pa.StructArray | None) -> list[tuple[int, int]]:
-    def parts(rows: pa.StructArray | None) -> tuple:
-        if rows is None:
-            return None, None
-        return rows.field("numbers").flatten().to_numpy().reshape(-1, WORDS), np.stack([rows.field(c).to_numpy() for c in ("first", "last")], 1)
-
-    return near_paragraphs(*parts(left), *parts(right))
+            a, b = compare(batch["left"], batch["right"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    alone = tiled("tiles = 1").select(F.col("rows").alias("left"), F.lit(None).cast(meetings.schema["right"].dataType).alias("right"))
+    return saved(alone.unionByName(meetings).mapInArrow(run, "a long, b long"), "links", batch=BATCH)
+
+
+def by_group(left: pa.ListArray, right: pa.ListArray, forest: Callable[[pa.StructArray, pa.StructArray | None], list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links that forest finds in each tile, or between each two."""
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y in zip(left, right, strict=True):
+        a = x.values
+        b = y.values if y.is_valid else a
+        pairs = np.array(forest(a, b if y.is_valid else None), np.int64).reshape(-1, 2)
+        if len(pairs):
+            found.append(np.stack([a.field("h").to_numpy()[pairs[:, 0]], b.field("h").to_numpy()[pairs[:, 1]]], 1))
+    ends = np.concatenate(found)
+    return ends[:, 0].copy(), ends[:, 1].copy()
+
+
+def _parts(rows: pa.StructArray | None) -> tuple:
+    if rows is None:
+        return None, None
+    return rows.field("numbers").flatten().to_numpy().reshape(-1, WORDS), np.stack([rows.field(c).to_numpy() for c in ("first", "last")], 1)
+
+
+def _compare(left: pa.ListArray, right: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of paragraphs; the many small groups are compared together, pair by pair."""
+    sizes = pa.compute.list_value_length(left).to_numpy()
+    small = (sizes <= SMALL) & ~right.is_valid().to_numpy(zero_copy_only=False)
+    large = pa.array(~small)
+    a, b = by_group(left.filter(large), right.filter(large), lambda x, y: near_paragraphs(*_parts(x), *_parts(y)))
+    rows = left.filter(pa.array(small))
+    flat = rows.flatten()
+    words, ends = _parts(flat)
+    sizes = sizes[small]
+    begins, i, j = np.cumsum(sizes) - sizes, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes).tolist():
+        x, y = np.triu_indices(n, 1)
+        at = begins[sizes == n][:, None]
+        i.append((at + x).reshape(-1))
+        j.append((at + y).reshape(-1))
+    i, j = np.concatenate(i), np.concatenate(j)
+    near, h = near_pairs(words, ends, i, j), flat.field("h").to_numpy()
+    return np.concatenate([a, h[i[near]]]), np.concatenate([b, h[j[near]]])
 
 
 def paragraph_links(rows: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
