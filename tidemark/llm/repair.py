@@ -2,18 +2,20 @@
 
 Documents are dealt by ranges of their id to partitions, encoded, and cut into shards of about
 ``shard_tokens`` ids. In each shard frequent pairs of neighbouring ids are replaced by
-nonterminals, round after round, until no pair comes ``least`` times (or for ``rounds`` rounds, which only costs size). A shard's image holds the
-rules with their expansion lengths, the compressed ids, the place in them at which each document begins, and each
-document's id count; so one document can be decoded without the ids before it.
+nonterminals, round after round, until no pair comes ``least`` times. After the first round only pairs with a new symbol, and
+those that were frequent and lost a place to another pair, can be frequent, so later rounds look at these alone. A shard's image holds the
+rules with their expansion lengths, the compressed ids, and how many symbols and ids each document has;
+so one document, or one id of it, can be decoded without the ids before it.
 
 A shard's image is one binary cell of a Parquet table in the shared folder: only Spark's own writers reach
 every store, and their commits survive lost executors.
 
-Image: little-endian unsigned 32-bit numbers: magic, base (the first nonterminal), rules r, documents d, symbols s;
-then r left symbols, r right symbols, r expansion lengths, d + 1 first symbols, d id counts, s symbols.
+Image: little-endian unsigned 32-bit numbers: magic, base (the first nonterminal), rules r, documents d, symbols s, and the
+bits that a number of each kind takes: symbols, lengths, symbol counts, id counts. Then, packed to that many bits, each kind from a
+whole byte on: r left symbols, r right symbols, r expansion lengths, d symbol counts, d id counts, s symbols.
 
 Defined results: a null text is an empty one with only the end id; a null id sorts first; repeated rows are
-written as often as they come, in order of their text; an empty table writes no shard; extra columns
+written as often as they come, in order of their text's hash; an empty table writes no shard; extra columns
 don't matter. Pairs across documents are never replaced.
 """
 
@@ -27,31 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import new_path
+from tidemark.llm.storage import new_path, tasks_for
 from tidemark.llm.wordids import ID, encoder, slices
 
-MAGIC = 0x52505431
+MAGIC = 0x52505432
 END = 1
 SHARD_TOKENS = 1 << 20
+TASK = 64 << 20
 BUCKET_BITS = 18
-LEAST = 64
-ROUNDS = 10
+LEAST = 16
 
 
-def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, rank of the pair at each, pairs by rank) of all pairs that come at least ``least`` times.
+def _ranked(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, rank of the pair at each, pairs by rank, their counts) of the pairs at ``at`` that come there at least ``least`` times.
 
     Pairs are first counted by hash bucket; a pair can't be frequent where its bucket isn't. A
     frequent bucket nearly always holds one pair; what else lies in it is sorted. Counts are exact.
     """
-    a, b = seq[:-1], seq[1:]
+    a, b = seq[at], seq[at + 1]
     bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
-    bucket[barrier] = 0
-    often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least
-    often[0] = False
-    places = np.flatnonzero(often[bucket])
-    key = a[places].astype(np.uint64) << np.uint64(32) | b[places]
-    slot = bucket[places]
+    some = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket])
+    key = a[some].astype(np.uint64) << np.uint64(32) | b[some]
+    slot = bucket[some]
     one = np.zeros(1 << BUCKET_BITS, np.uint64)
     one[slot] = key
     same = one[slot] == key
@@ -71,7 +70,7 @@ def _ranked(seq: np.ndarray, barrier: np.ndarray, least: int) -> tuple[np.ndarra
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     keep = index >= 0
-    return places[keep], rank[index[keep]], pairs[order]
+    return at[some[keep]], rank[index[keep]], pairs[order], n[order]
 
 
 def _chosen(places: np.ndarray, rank: np.ndarray, seq_len: int) -> np.ndarray:
@@ -94,30 +93,38 @@ def _chosen(places: np.ndarray, rank: np.ndarray, seq_len: int) -> np.ndarray:
     return take
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document, rules as rows of left, right) of a shard's ids."""
     seq, starts = seq.astype(np.uint32), starts.astype(np.int64)
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        barrier = starts[(starts > 0) & (starts < len(seq))] - 1
-        places, rank, pairs = _ranked(seq, barrier, least)
+    n_rules, at = 0, np.arange(max(len(seq) - 1, 0))
+    while True:
+        inside = np.ones(len(seq) + 1, bool)  # pairs within a document
+        inside[starts[starts > 0] - 1] = False
+        inside[max(len(seq) - 1, 0) :] = False
+        places, rank, pairs, n = _ranked(seq, at[inside[at]], least)
         if not len(pairs):
             break
         take = _chosen(places, rank, len(seq))
         counts = np.bincount(rank[take], minlength=len(pairs))
-        used = np.flatnonzero(counts)
+        worth = counts >= max(least // 4, 1)  # a rule that hardly has a place isn't; the most frequent pair always is
+        take &= worth[rank]
+        used = np.flatnonzero(worth)
         symbol = np.zeros(len(pairs), np.uint32)
         symbol[used] = base + n_rules + np.arange(len(used))
-        new = pairs[used]
-        rules.append(np.stack([(new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)], 1))
+        rules.append(np.stack([(pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)], 1))
         n_rules += len(used)
-        places = places[take]
-        seq[places] = symbol[rank[take]]
-        starts = starts - np.searchsorted(places, starts - 1)
-        seq = np.delete(seq, places + 1)
+        open_ = ~take & (n - counts * worth >= least)[rank]
+        chosen, over = places[take], places[open_]
+        seq[chosen] = symbol[rank[take]]
+        gone = np.zeros(len(seq) + 1, bool)
+        gone[chosen + 1] = True
+        over = over[~gone[over] & ~gone[over + 1]]  # both symbols are still there, or have become new ones
+        seq = seq[~gone[: len(seq)]]
+        starts = starts - np.searchsorted(chosen, starts - 1)
+        new = chosen - np.arange(len(chosen))
+        at = np.unique(np.concatenate([new - 1, new, over - np.searchsorted(chosen, over - 1, "right")]))
+        at = at[at >= 0]
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -134,22 +141,62 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def bits_for(values: np.ndarray) -> int:
+    return int(values.max()).bit_length() if len(values) else 0
+
+
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """The lower bits of each value, one after the other, up to a whole byte."""
+    if bits in (8, 16, 32):
+        return values.astype(f"<u{bits // 8}").tobytes()
+    if bits == 0:
+        return b""
+    each = np.unpackbits(np.ascontiguousarray(values.astype(ID)).view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(each[:, :bits], bitorder="little").tobytes()
+
+
+def unpack(data: bytes, offset: int, bits: int, first: int, last: int) -> np.ndarray:
+    """Values first to last of those packed from offset on; nothing else is read."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", last - first, offset + first * bits // 8).astype(np.uint32)
+    if bits == 0 or first >= last:
+        return np.zeros(max(last - first, 0), np.uint32)
+    begin = first * bits // 8
+    some = np.frombuffer(data, np.uint8, (last * bits + 7) // 8 - begin, offset + begin)
+    skip = first * bits - 8 * begin
+    each = np.zeros((last - first, 32), np.uint8)
+    each[:, :bits] = np.unpackbits(some, bitorder="little")[skip : skip + (last - first) * bits].reshape(-1, bits)
+    return np.packbits(each, axis=1, bitorder="little").view(ID).reshape(-1)
+
+
 def image(seq: np.ndarray, starts: np.ndarray, counts: np.ndarray, rules: np.ndarray, base: int) -> bytes:
-    head = np.array([MAGIC, base, len(rules), len(counts), len(seq)], ID)
-    parts = [head, rules[:, 0], rules[:, 1], expansion_lengths(rules, base), starts, counts, seq]
-    return b"".join(np.ascontiguousarray(p).astype(ID).tobytes() for p in parts)
+    lengths, symbols = expansion_lengths(rules, base), np.diff(starts)
+    w = max(bits_for(seq), bits_for(rules.reshape(-1)))
+    bits = [w, bits_for(lengths), bits_for(symbols), bits_for(counts)]
+    head = np.array([MAGIC, base, len(rules), len(counts), len(seq), *bits], ID)
+    parts = zip((rules[:, 0], rules[:, 1], lengths, symbols, counts, seq), (w, w, *bits[1:], w), strict=True)
+    return head.tobytes() + b"".join(pack(p, n) for p, n in parts)
 
 
 class Shard:
     """A shard's image, decoded document by document."""
 
     def __init__(self, data: bytes):
-        numbers = np.frombuffer(data, ID)
-        magic, self.base, r, d, s = numbers[:5].tolist()
-        if magic != MAGIC or len(numbers) != 5 + 3 * r + 2 * d + 1 + s:
+        if len(data) < 36 or np.frombuffer(data, ID, 1)[0] != MAGIC:
             raise ValueError("not a shard image")
+        self.base, r, d, s, w, *rest = np.frombuffer(data, ID, 9)[1:].tolist()
+        self._data, self._bits, self._size, at, parts = data, w, s, 36, []
+        for n, bits in zip((r, r, r, d, d), (w, w, *rest), strict=True):
+            parts.append(unpack(data, at, bits, 0, n))
+            at += (n * bits + 7) // 8
+        if len(data) != at + (s * w + 7) // 8:
+            raise ValueError("not a shard image")
+        self.left, self.right, self.lengths, counts, self.counts = parts
+        self._at, self.starts = at, np.concatenate([[0], np.cumsum(counts.astype(np.int64))]).tolist()
         self._ids: tuple[np.ndarray, np.ndarray] | None = None
-        self.left, self.right, self.lengths, self.starts, self.counts, self.symbols = np.split(numbers[5:], np.cumsum([r, r, r, d + 1, d]))
+
+    def symbols(self, first: int, last: int) -> np.ndarray:
+        return unpack(self._data, self._at, self._bits, first, last)
 
     def __len__(self) -> int:
         return len(self.counts)
@@ -179,16 +226,16 @@ class Shard:
 
     def documents(self) -> Iterator[np.ndarray]:
         """The ids of each document in turn; the shard is expanded at once."""
-        ids, ends = self.expand(self.symbols), np.cumsum(self.counts.astype(np.int64)).tolist()
+        ids, ends = self.expand(self.symbols(0, self._size)), np.cumsum(self.counts.astype(np.int64)).tolist()
         for a, b in zip([0, *ends], ends, strict=False):
             yield ids[a:b]
 
     def document(self, k: int) -> np.ndarray:
-        return self.expand(self.symbols[self.starts[k] : self.starts[k + 1]])
+        return self.expand(self.symbols(self.starts[k], self.starts[k + 1]))
 
     def token(self, k: int, i: int) -> int:
         """The i-th id of document k, by way of expansion lengths alone."""
-        for x in self.symbols[self.starts[k] : self.starts[k + 1]].tolist():
+        for x in self.symbols(self.starts[k], self.starts[k + 1]).tolist():
             n = int(self.lengths[x - self.base]) if x >= self.base else 1
             if i >= n:
                 i -= n
@@ -204,9 +251,9 @@ class Shard:
 def write(docs: DataFrame, vocabulary: str, path: str, partitions: int | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END) -> None:
     """Writes the shards of docs (doc_id, text), in ascending order of doc_id, to the table at path."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    dealt = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:2]).sortWithinPartitions(*order)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("tie"))
+    order = ["doc_id", "mark", "tie"]  # ties are between equal rows alone; they spread very many of them
+    dealt = rows.repartitionByRange(partitions or tasks_for(docs, TASK), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
