@@ -2,12 +2,13 @@
 
 A text's payload becomes an 8-bit greyscale image (binary PGM, ``WIDTH`` samples a row). The image's bytes are cut where a
 rolling gear hash of the last 32 bytes has its top bits zero, so equal stretches give equal chunks wherever they
-begin. Chunk digests are counted and given one owner each; a Spark join with the owners leaves one copy of a chunk in the
-store, with the ordered chunk lists (image, place) that it belongs to. Images are then put together from the store
-in the order of their lists, checked against the digest in their name, and read.
+begin. Spark joins on chunk digests find which chunks are in several places and give each one owner. The store has a row per distinct
+image: its ordered chunk list (every chunk's size, and the digests of those that are in several places), and the bytes of the chunks that it owns, compressed together. Chunks that another
+image owns are fetched by their digests; the image is put together in the order of its list, checked against its own digest, and read.
 
-Shuffled are the chunks once into the store and once out of it; equal images within a task are cut only once. A chunk in
-very many lists is stored once per ``LISTS`` of them, so that none gathers in one task.
+An image is known by the digest of its text, so nothing depends on how rows are numbered or dealt. Texts are shuffled once, compressed, into
+the store, where equal ones become one; out of it only the pieces of images with chunks of others are. A chunk that very many lists share is handed
+out in parts of ``LISTS``, so that none gathers in one task.
 
 Defined results: a null text is an empty one; equal texts share an image and its values; null ids and repeated rows
 are rows like others; an empty table gives an empty result; extra columns don't matter.
@@ -28,8 +29,9 @@ from tidemark.llm.storage import saved
 from tidemark.llm.wordids import slices
 
 FRAME, WIDTH = 576, 24
-LEAST, MOST, BITS = 8192, 1 << 17, 14
-LISTS = 1024
+LEAST, MOST, BITS = 64, 1 << 13, 7
+DIGEST = 16
+LISTS = 256
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -67,50 +69,135 @@ def name_of(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode()).digest()
 
 
-def chunks(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """(row, name, media, seq, n, digest[, data]) of each chunk; media is the image's digest, null where the
-    image is one chunk and so has the chunk's. An image that a task has met is left out."""
+def _pieces(whole: bytes) -> list[bytes]:
+    ends = cuts(whole)
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _digest(piece: bytes) -> bytes:
+    return hashlib.sha256(piece).digest()[:DIGEST]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"))
+
+
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """(name, digests): the ordered chunk list of each distinct image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for part in slices(batches, "text"):
+            names, lists = [], []
+            for text in part["text"].to_pylist():
+                name = name_of(text)
+                if name not in met:
+                    met.add(name)
+                    names.append(name)
+                    lists.append([_digest(p) for p in _pieces(image(payload(text)))])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["name", "digests"])
+
+    return _texts(docs).mapInArrow(run, "name binary, digests array<binary>").dropDuplicates(["name"])
+
+
+def shared_chunks(lists: DataFrame) -> DataFrame:
+    """(name, shared): per image the (seq, mine, digest) of its chunks that are in more than one place; of a chunk's places one is the owner's."""
+    chunks = lists.select("name", F.posexplode("digests").alias("seq", "digest")).withColumn("key", F.xxhash64("name", "seq"))
+    several = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1").select("digest", "owner")
+    found = chunks.join(several, "digest").select("name", F.struct("seq", (F.col("key") == F.col("owner")).alias("mine"), "digest").alias("s"))
+    return found.groupBy("name").agg(F.collect_list("s").alias("shared"))
+
+
+SHARED = "array<struct<seq:int,mine:boolean,digest:binary>>"
+STORED = f"name binary, media binary, sizes array<int>, shared {SHARED}, own_bytes long, own binary"
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """(name, media, sizes, shared, own_bytes, own) per distinct image: the image's digest, the sizes of its chunks in order, those that are in
+    several places (and whether this is the owner's), and how many bytes it owns and these bytes in order, compressed."""
+    shared = shared_chunks(saved(chunk_lists(docs), "chunk-lists"))
+
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer, met = zstandard.ZstdCompressor(level=12), set()
-        for part in slices(batches, "text", 1_000_000):
-            rows = []
-            for row, text in zip(part["row"].to_pylist(), part["text"].to_pylist(), strict=True):
+        packer, met = zstandard.ZstdCompressor(level=6), set()
+        for part in slices(batches, "text"):
+            names, bodies = [], []
+            for text in part["text"].to_pylist():
                 name = name_of(text)
-                if name in met:
-                    continue
-                met.add(name)
-                whole = image(payload(text))
-                ends, start = cuts(whole), 0
-                media = hashlib.sha256(whole).digest() if len(ends) > 1 else None
-                for seq, end in enumerate(ends):
-                    piece = whole[start:end]
-                    rows.append((row, name, media, seq, len(ends), hashlib.sha256(piece).digest(), packer.compress(piece) if with_bytes else None))
-                    start = end
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "name", "media", "seq", "n", "digest", "data"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, "row long, name binary, media binary, seq int, n int, digest binary, data binary")
-    return out if with_bytes else out.drop("data")
+                if name not in met:
+                    met.add(name)
+                    names.append(name)
+                    bodies.append(packer.compress(text.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["name", "body"])
 
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def store(docs: DataFrame) -> DataFrame:
-    """(digest, data, lists): each distinct chunk with the (name, media, seq, n) of the lists it is in."""
-    marks = chunks(docs, False).groupBy("digest", "name", "media", "seq", "n").agg(F.min("row").alias("row"))
-    marks = saved(marks, "chunk-lists")
-    owners = marks.groupBy("digest").agg(F.min(F.struct("row", "seq")).alias("owner"), F.ceil(F.count("*") / LISTS).cast("int").alias("parts"))
-    lists = (
-        marks.join(owners, "digest")
-        .groupBy("digest", "owner", F.pmod(F.xxhash64("name", "seq"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("name", "media", "seq", "n")).alias("lists"))
-        .select(F.col("owner.row").alias("row"), F.col("owner.seq").alias("seq"), "digest", "lists")
-    )
-    owned = chunks(docs, True).select("row", "seq", "data").join(lists, ["row", "seq"]).select("digest", "data", "lists")
-    return saved(owned, "chunk-store", "none")
+        packer, unpacker = zstandard.ZstdCompressor(level=12), zstandard.ZstdDecompressor()
+        for part in slices(batches, "body", 1_000_000):
+            rows = []
+            for name, body, some in zip(part["name"].to_pylist(), part["body"].to_pylist(), part["shared"].to_pylist(), strict=True):
+                whole = image(payload(unpacker.decompress(body).decode()))
+                pieces, foreign = _pieces(whole), {s["seq"] for s in some or () if not s["mine"]}
+                own = [p for k, p in enumerate(pieces) if k not in foreign]
+                rows.append((name, hashlib.sha256(whole).digest(), list(map(len, pieces)), some or [], sum(map(len, own)), packer.compress(b"".join(own))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), part.schema.field("shared").type, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "media", "sizes", "shared", "own_bytes", "own"])
+
+    bodies = _texts(docs).mapInArrow(compressed, "name binary, body binary").dropDuplicates(["name"])
+    return saved(bodies.join(shared.hint("merge"), "name", "left").mapInArrow(built, STORED), "chunk-store", "none")
+
+
+def _owned(row: dict, unpacker) -> list[tuple[int, bytes]]:
+    """(seq, chunk) of the chunks that a row of the store owns."""
+    foreign, data, at, out = {s["seq"] for s in row["shared"] if not s["mine"]}, unpacker.decompress(row["own"]), 0, []
+    for k, n in enumerate(row["sizes"]):
+        if k not in foreign:
+            out.append((k, data[at : at + n]))
+            at += n
+    return out
+
+
+VALUES = "name binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
+def _values(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [c.split()[0] for c in VALUES.split(", ")])
+
+
+class _Reader:
+    """Takes an image's chunks in order and makes its values."""
+
+    def __init__(self, name: bytes, media: bytes):
+        self.name, self.want = name, media
+        self.media, self.samples, self.counts = hashlib.sha256(), hashlib.sha256(), np.zeros(16, np.int64)
+        self.size = self.kept = 0
+        self.head: bytes | None = b""
+        self.tail = b""
+
+    def add(self, piece: bytes) -> None:
+        self.media.update(piece)
+        self.size += len(piece)
+        if self.head is not None:  # the samples begin after the third line end
+            self.head += piece
+            if self.head.count(b"\n") < 3:
+                return
+            piece, self.head = self.head.split(b"\n", 3)[3], None
+        self.samples.update(piece)
+        self.kept += len(piece)
+        self.tail = (self.tail + piece)[-FRAME:]
+        self.counts += np.bincount(np.frombuffer(piece, np.uint8) >> 4, minlength=16)
+
+    def values(self) -> tuple:
+        if self.media.digest() != self.want:
+            raise ValueError(f"image {self.name.hex()} differs from what was stored")
+        n_bytes = self.kept - (len(self.tail) - len(self.tail.rstrip(b"\xff")))  # a byte that UTF-8 never has
+        feature = ",".join(map(str, self.counts.tolist()))
+        return self.name, n_bytes, self.kept, self.samples.hexdigest(), crc32(self.tail[-32:]), self.size, self.media.hexdigest(), feature
 
 
 def read(chunk_store: DataFrame) -> DataFrame:
@@ -118,43 +205,72 @@ def read(chunk_store: DataFrame) -> DataFrame:
 
     feature counts the samples by their upper four bits. An image that doesn't have its digest is an error.
     """
-    placed = chunk_store.select("data", "digest", F.explode("lists").alias("at")).select("at.name", F.coalesce("at.media", "digest").alias("media"), "at.seq", "at.n", "data")
-    # an image of one chunk is whole where it lies; the others' chunks come together in order
-    several = placed.where("n > 1").repartition("name").sortWithinPartitions("name", "seq")
+    foreign = F.exists("shared", lambda s: ~s["mine"])
+    whole, partial = chunk_store.where(~foreign), chunk_store.where(foreign)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        fields = [("name", pa.binary()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-        expected = 0
+        for part in slices(batches, "own", 1_000_000):
+            out = []
+            for name, media, own in zip(*(part[c].to_pylist() for c in ("name", "media", "own")), strict=True):
+                reader = _Reader(name, media)
+                reader.add(unpacker.decompress(own))
+                out.append(reader.values())
+            yield _values(out)
+
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        for part in slices(batches, "own", 1_000_000):
+            for row in part.to_pylist():
+                mine = {s["seq"]: s["digest"] for s in row["shared"] if s["mine"]}
+                some = [(mine[k], packer.compress(p)) for k, p in _owned(row, unpacker) if k in mine]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], ["digest", "data"])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        for part in slices(batches, "own", 1_000_000):
+            for row in part.to_pylist():
+                some = [(-1, row["media"] + len(row["sizes"]).to_bytes(4, "little"))]
+                some += [(k, packer.compress(p)) for k, p in _owned(row, unpacker)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["name"]] * len(some), pa.binary()), pa.array([k for k, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], ["name", "seq", "data"])
+
+    wanted = partial.select("name", F.explode("shared").alias("s")).where("not s.mine").select("name", "s.seq", "s.digest")
+    often = wanted.groupBy("digest").agg(F.ceil(F.count("*") / LISTS).cast("int").alias("parts")).where("parts > 1")
+    asked = wanted.join(often, "digest", "left").withColumn("part", F.pmod(F.xxhash64("name", "seq"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    given = chunk_store.where(F.exists("shared", lambda s: s["mine"])).mapInArrow(lent, "digest binary, data binary").join(often, "digest", "left")
+    given = given.select("digest", "data", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    fetched = asked.join(given, ["digest", "part"]).select("name", "seq", "data")
+    pieces = partial.mapInArrow(owned, "name binary, seq int, data binary").unionByName(fetched)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpacker, reader, expected, n = zstandard.ZstdDecompressor(), None, -1, 0
         for part in slices(batches, "data", 1_000_000):
             out = []
-            for name, digest, seq, n, data in zip(*(part[c].to_pylist() for c in ("name", "media", "seq", "n", "data")), strict=True):
+            for name, seq, data in zip(*(part[c].to_pylist() for c in ("name", "seq", "data")), strict=True):
                 if seq != expected:
                     raise ValueError(f"chunk {expected} of image {name.hex()} is missing")
-                expected = (seq + 1) % n
-                piece = unpacker.decompress(data)
-                if seq == 0:
-                    media, samples, counts, size, kept, tail, text_bytes = hashlib.sha256(), hashlib.sha256(), np.zeros(16, np.int64), 0, 0, b"", 0
-                media.update(piece)
-                size += len(piece)
-                if seq == 0:
-                    piece = piece.split(b"\n", 3)[3]
-                samples.update(piece)
-                kept += len(piece)
-                tail = (tail + piece)[-FRAME:]
-                counts += np.bincount(np.frombuffer(piece, np.uint8) >> 4, minlength=16)
-                if expected == 0:
-                    if media.digest() != digest:
-                        raise ValueError(f"image {name.hex()} differs from what was stored")
-                    text_bytes = kept - (len(tail) - len(tail.rstrip(b"\xff")))  # a byte that UTF-8 never has
-                    out.append((name, text_bytes, kept, samples.hexdigest(), crc32(tail[-32:]), size, media.hexdigest(), ",".join(map(str, counts.tolist()))))
-            columns = list(zip(*out, strict=True)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
-
-    kind = "name binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return placed.where("n = 1").mapInArrow(run, kind).unionByName(several.mapInArrow(run, kind))
+                if seq < 0:
+                    reader, n = _Reader(name, data[:32]), int.from_bytes(data[32:], "little")
+                else:
+                    reader.add(unpacker.decompress(data))
+                expected = seq + 1
+                if expected == n:
+                    out.append(reader.values())
+                    expected = -1
+            yield _values(out)
+        if expected != -1:
+            raise ValueError(f"chunk {expected} is missing")
+
+    in_order = pieces.repartition("name").sortWithinPartitions("name", "seq")
+    return whole.mapInArrow(in_place, VALUES).unionByName(in_order.mapInArrow(together, VALUES))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
