@@ -46,8 +46,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes sources to the target weights; a document taken twice in full comes twice."""
-    return mixing.mixed(docs)
+    """Mixes sources to the target weights: a row per slot of the mix and document in it, shard by shard."""
+    return mixing.documents(mixing.mixed(docs), docs.columns)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
