@@ -574,6 +574,50 @@ def test_urls(spark):
     assert min(cut[0], default=9) > max(cut[1], default=-9)
 
 
+def slow_scores(rows):
+    """Scores by models as loops over strings: rows are (url, label or None)."""
+    import math
+
+    def symbols(url):
+        return [1] * urls.ORDER + [urls.ALPHABET.find(c) + 2 if c in urls.ALPHABET else 0 for c in (url or "").lower()]
+
+    def model(some):
+        seen = defaultdict(Counter)
+        for url in some:
+            x = symbols(url)
+            for i in range(urls.ORDER, len(x)):
+                for k in range(urls.ORDER + 1):
+                    seen[tuple(x[i - k : i])][x[i]] += 1
+        return seen
+
+    def p(seen, context, symbol):
+        out = 1 / urls.SYMBOLS
+        for k in range(urls.ORDER + 1):
+            c = seen.get(tuple(context[len(context) - k :]), Counter())
+            if c.total() >= (urls.ENOUGH if k else 1):
+                out = (c[symbol] + len(c) * out) / (c.total() + len(c))
+        return out
+
+    good, bad = (model([u for u, v in rows if v == want]) for want in ("allow", "block"))
+    out = []
+    for url, _ in rows:
+        x = symbols(url)
+        each = [math.log(p(good, x[i - urls.ORDER : i], x[i])) - math.log(p(bad, x[i - urls.ORDER : i], x[i])) for i in range(urls.ORDER, len(x))]
+        out.append(sum(each) / len(each) if each else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 16])
+def test_url_scores_against_loops(spark, hot, monkeypatch):
+    monkeypatch.setattr(urls, "HOT", hot)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").limit(60).unionByName(spark.createDataFrame([(900, None), (901, "")], "page_id long, url string"))
+    given = {r["page_id"]: r["url"] for r in pages.collect()}
+    got = urls.judge(pages, RULES).collect()
+    verdicts = {r.name: r.verdict for r in RULES}
+    want = dict(zip(given, slow_scores([(u, verdicts.get(slow_judge(u)[2].name) if slow_judge(u)[2] else None) for u in given.values()]), strict=True))
+    assert len(got) == len(given) and all(r["score"] == pytest.approx(want[r["page_id"]], abs=1e-6) for r in got)
+
+
 def test_url_model_tells_held_out_urls_apart(spark):
     rng = random.Random(8)
     make = lambda good: "http://" + "".join(rng.choice("abcde" if good else "vwxyz") for _ in range(12)) + ("/good/" if good else "/bad/")

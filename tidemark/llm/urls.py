@@ -1,13 +1,14 @@
 """URL filter: host/path rules first, then a character language-model ratio.
 
-Two smoothed Markov models of order 0 to 2 over a folded alphabet, one of accepted
-and one of rejected URLs, score what no rule decides. Each order is smoothed by
-the one below it (Witten-Bell), so contexts that were never seen fall back to
-shorter ones. The verdict compares the length-normalised log-likelihood difference with a
-threshold calibrated on the labelled URLs. Only DataFrame functions are used.
+Two smoothed Markov models of variable order over a folded alphabet, one of accepted
+and one of rejected URLs, score what no rule decides. A context of up to ``ORDER`` symbols acts where its class has met it ``ENOUGH``
+times; each order is smoothed by the one below it (Witten-Bell), down to single symbols. All labelled URLs are counted.
+The verdict compares the length-normalised log-likelihood difference with a
+threshold. That is calibrated out of sample: labelled URLs are dealt to two halves by hash, and each half is scored by
+models of the other. Only DataFrame functions are used.
 
-The models are tables of ``SYMBOLS ** 3`` numbers whatever the input's size, so
-handing them to every task as one array (``0.5 MB``) has a fixed bound.
+Weights of the grams that occur meet the URLs' grams in a join. Grams that make up over 1 / HOT of all positions, at most HOT by
+that, are broadcast; the others are shuffled, and none of them is frequent. Weights are whole numbers, so sums don't depend on their order.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and gets the method's verdict of its text (null: of the empty text). An empty text
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 #: The folded alphabet. 0 stands for any other character, 1 for the start of a URL.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-?&=_:%#"
 SYMBOLS = len(ALPHABET) + 2
+ORDER = 4
+ENOUGH = 4
+HOT = 1 << 16
+UNIT = 1e9  # weights are whole numbers of 1 / UNIT
 BINS = 4096
 SPAN = 8.0  # scores are per character, so within +- log(probability ratio); beyond it they share a bin
 
@@ -61,67 +66,68 @@ def with_rule(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def codes(url: Column) -> Column:
-    """The URL as symbols, after two start symbols."""
+    """The URL as symbols, after ORDER start symbols."""
     letters = F.split(F.lower(F.coalesce(url, F.lit(""))), "")
     known = F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) + 1).otherwise(0))
-    return F.concat(F.array(F.lit(1), F.lit(1)), known)
+    return F.concat(F.array_repeat(F.lit(1), ORDER), known)
 
 
 def grams(c: Column) -> Column:
-    """Index of each (two symbols of context, symbol) in the model's table."""
-    n = SYMBOLS
-    return F.transform(
-        F.slice(c, F.lit(3), F.greatest(F.size(c) - 2, F.lit(0))),
-        lambda x, i: F.element_at(c, i + 1) * (n * n) + F.element_at(c, i + 2) * n + x,
-    )
-
+    """A number for each (ORDER symbols of context, symbol); its last k + 1 digits to the base SYMBOLS are that of order k."""
 
-def train(labelled: DataFrame) -> DataFrame:
-    """One row: weights, an array with log P(accepted) - log P(rejected) of each gram.
+    def gram(i: Column) -> Column:
+        return sum((F.get(c, i + k).cast("long") * SYMBOLS ** (ORDER - k) for k in range(ORDER + 1)), F.lit(0).cast("long"))
 
-    labelled has grams and verdict. All of it is counted; the counts shuffle as at most
-    SYMBOLS ** 3 rows per task and class.
-    """
-    n = SYMBOLS
-    counts = labelled.select("verdict", F.explode("grams").alias("g")).groupBy("verdict", "g").agg(F.count("*").cast("double").alias("k"))
-    classes = labelled.sparkSession.createDataFrame([("allow",), ("block",)], "verdict string")
-    every = labelled.sparkSession.range(n * n * n).withColumnRenamed("id", "g").join(F.broadcast(classes))
-    full = (
-        every.join(counts, ["verdict", "g"], "left")
-        .withColumn("k", F.coalesce("k", F.lit(0.0)))
-        .withColumn("c", F.pmod("g", F.lit(n)))
-        .withColumn("bc", F.pmod("g", F.lit(n * n)))
-        .withColumn("ab", F.expr(f"g div {n}"))
-        .withColumn("b", F.expr(f"(g div {n}) % {n}"))
-    )
+    return F.transform(F.slice(c, F.lit(ORDER + 1), F.greatest(F.size(c) - ORDER, F.lit(0))), lambda _, i: gram(i))
 
-    # counts of the lower orders, and how many symbols follow each context
-    def over(*by: str) -> Column:
-        return F.sum("k").over(Window.partitionBy("verdict", *by))
 
-    full = full.select("*", over("c").alias("k1"), over().alias("n1"), over("bc").alias("k2"), over("b").alias("n2"), over("ab").alias("n3"))
+def counted(labelled: DataFrame) -> DataFrame:
+    """(model, g, a, b): how often a gram comes in accepted and in rejected URLs of a half (models 0 and 1) or of both (model 2).
 
-    def kinds(of: str, n_of: str, *by: str) -> Column:
-        return F.size(F.collect_set(F.when(F.col(of) > 0, F.col("c"))).over(Window.partitionBy("verdict", *by))).cast("double").alias(n_of)
-
-    full = full.select("*", kinds("k1", "d1"), kinds("k2", "d2", "b"), kinds("k", "d3", "ab"))
-
-    def step(k: str, total: str, d: str, below: Column) -> Column:
-        low = F.greatest(F.col(d), F.lit(1.0))
-        return (F.col(k) + low * below) / (F.col(total) + low)
+    labelled has grams, verdict and half. Counts are added up before they are shuffled.
+    """
+    each = labelled.select("half", "verdict", F.explode("grams").alias("g")).groupBy("half", "g")
+    halves = each.agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
+    return halves.select(F.explode(F.array("half", F.lit(2))).alias("model"), "g", "a", "b").groupBy("model", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-    p = step("k", "n3", "d3", step("k2", "n2", "d2", step("k1", "n1", "d1", F.lit(1.0 / n))))
-    ratio = full.groupBy("g").agg((F.max(F.when(F.col("verdict") == "allow", F.log(p))) - F.max(F.when(F.col("verdict") == "block", F.log(p)))).alias("w"))
-    both = counts.agg((F.countDistinct("verdict") == 2).alias("both"))
-    weights = ratio.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "w"))), lambda x: x["w"]).alias("weights"))
-    return weights.select(F.when(both.scalar(), F.col("weights")).otherwise(F.array_repeat(F.lit(0.0), n * n * n)).alias("weights"))
 
+def weighed(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, w0, w1, w2): each wanted gram's log P(accepted) - log P(rejected) by each model, in units of 1 / UNIT."""
+    n = SYMBOLS
+    now = wanted.select("g", F.explode(F.array(*(F.lit(m) for m in range(3)))).alias("model")).withColumns({"pa": F.lit(1.0 / n), "pb": F.lit(1.0 / n), "both": F.lit(False)})
+    for k in range(ORDER + 1):
+        own = counts.groupBy("model", F.pmod("g", F.lit(n ** (k + 1))).alias("own")).agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
+        context = own.groupBy("model", F.expr(f"own div {n}").alias("context")).agg(
+            F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.count_if(F.col("ca") > 0).alias("da"), F.count_if(F.col("cb") > 0).alias("db")
+        )
+        now = now.withColumn("own", F.pmod("g", F.lit(n ** (k + 1)))).withColumn("context", F.expr(f"own div {n}"))
+        now = now.join(own, ["model", "own"], "left").join(context, ["model", "context"], "left")
+
+        def step(v: str, least: int) -> Column:
+            below, c, m, d = F.col(f"p{v}"), F.coalesce(f"c{v}", F.lit(0)), F.coalesce(f"n{v}", F.lit(0)), F.coalesce(f"d{v}", F.lit(0))
+            return F.when(m >= least, (c + d * below) / (m + d)).otherwise(below)
+
+        both = (F.coalesce("na", F.lit(0)) > 0) & (F.coalesce("nb", F.lit(0)) > 0) if k == 0 else F.col("both")
+        least = ENOUGH if k else 1
+        now = now.select("g", "model", step("a", least).alias("pa"), step("b", least).alias("pb"), both.alias("both"))
+    w = F.when(F.col("both"), F.round((F.log("pa") - F.log("pb")) * UNIT)).otherwise(0.0).cast("long")
+    return now.groupBy("g").agg(*(F.max(F.when(F.col("model") == m, w)).alias(f"w{m}") for m in range(3)))
+
+
+def with_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds score and held (by the other half's models): log-likelihood differences per character. rows has row, half and grams."""
+    from tidemark.llm.storage import saved
 
-def with_score(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Adds score: the log-likelihood difference per character of column grams."""
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("weights"), g))
-    mean = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0))
-    return rows.withColumn("weights", weights.scalar()).withColumn("score", mean).drop("weights")
+    places = rows.select("row", F.explode("grams").alias("g"))
+    often = places.groupBy("g").agg(F.count("*").alias("n"))
+    total = often.agg(F.sum("n").alias("n"))
+    frequent = saved(often.where(F.col("n") * HOT > total.scalar()).join(weights, "g").select("g", F.struct("w0", "w1", "w2").alias("hot")).coalesce(1), "hot-grams")
+    known = places.join(F.broadcast(frequent), "g", "left")  # at most HOT rows
+    found = known.where("hot is not null").select("row", "hot.*").unionByName(known.where("hot is null").select("row", "g").join(weights, "g").select("row", "w0", "w1", "w2"))
+    sums = found.groupBy("row").agg(F.count("*").alias("n"), *(F.sum(f"w{m}").alias(f"s{m}") for m in range(3)))
+    held = F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0"))
+    joined = rows.drop("grams").join(sums, "row", "left")
+    return joined.withColumn("score", F.coalesce(F.col("s2") / F.col("n") / UNIT, F.lit(0.0))).withColumn("held", F.coalesce(held / F.col("n") / UNIT, F.lit(0.0))).drop("n", "s0", "s1", "s2")
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
@@ -155,12 +161,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     from tidemark.llm.storage import saved
 
     # codes is a column of its own: within grams' lambda its expression would run once per character
-    marked = with_rule(pages.select("page_id", "url"), rules).withColumn("codes", codes(F.col("url")))
-    ruled = saved(marked.withColumn("grams", grams(F.col("codes"))).drop("codes", "url"), "ruled-pages")
-    labelled = ruled.where(F.col("rule").isNotNull()).select(F.col("rule_verdict").alias("verdict"), "grams")
-    weights = saved(train(labelled).coalesce(1), "url-model")
-    scored = with_score(labelled, weights).select("verdict", "score")
-    threshold = saved(calibrate(scored).coalesce(1), "url-threshold")
-    out = with_score(ruled, weights)
+    marked = with_rule(pages.select("page_id", "url", F.monotonically_increasing_id().alias("row")), rules).withColumn("codes", codes(F.col("url")))
+    half = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
+    ruled = saved(marked.withColumn("half", half).withColumn("grams", grams(F.col("codes"))).drop("codes", "url"), "ruled-pages")
+    labelled = ruled.where(F.col("rule").isNotNull()).select(F.col("rule_verdict").alias("verdict"), "half", "grams")
+    counts = saved(counted(labelled), "url-counts")
+    weights = saved(weighed(counts, ruled.select(F.explode("grams").alias("g")).distinct()), "url-model")
+    scored = saved(with_scores(ruled, weights), "url-scores")
+    held = scored.where(F.col("rule").isNotNull()).select(F.col("rule_verdict").alias("verdict"), F.col("held").alias("score"))
+    threshold = saved(calibrate(held).coalesce(1), "url-threshold")
     chosen = F.when(F.col("score") >= threshold.scalar(), "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", "score", F.coalesce("rule_verdict", chosen).alias("verdict"))
+    return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("rule_verdict", chosen).alias("verdict"))
