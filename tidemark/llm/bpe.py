@@ -6,7 +6,8 @@ up the tree, a window around each join is encoded again and grows until it agree
 with both sides: until it has a piece in common with each, at the same place and
 with the same ids, from which the tokenizer's state on both sides is the same.
 A window that never agrees ends as the whole of both sides, so results are
-always those of the undivided text.
+always those of the undivided text. FAN leaves that follow each other are joined in one task; a text of more has its
+nodes joined in another. Texts are only cut for vocabularies whose tokenizer drops white space and splits at it; for others each text is encoded whole.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes
 to an empty text; repeated rows are each encoded; columns other than id and text
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.wordids import ID, WORD, encoder, slices
+from tidemark.llm.wordids import ID, WORD, by_words, encoder, slices
 
 LEAF = 1 << 15
+FAN = 64
 UNSPLIT = 256  # longer words are kept as single tokens with their places
 WINDOW = 64
 EDGE = 512
@@ -187,6 +189,21 @@ def encode(
             ids = encoder(path).encode(part["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([part["id"], *finish(ids)], names)
 
+    if not by_words(path):
+        return rows.mapInArrow(short, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for k in range(batch.num_rows):
+                text, one = batch["text"][k].as_py(), batch.slice(k, 1)
+                n = -(-len(text) // leaf)
+                for a in range(0, n, FAN):
+                    some = range(a, min(a + FAN, n))
+                    same = [pa.concat_arrays([one[c]] * len(some)) for c in ("id", "row")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*same, pa.array(some, pa.int32()), pa.array([n] * len(some), pa.int32()), pa.array([text[i * leaf : (i + 1) * leaf] for i in some])], ["id", "row", "k", "n", "text"]
+                    )
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts, places = part["text"].to_pylist(), part["k"].to_pylist()
@@ -194,35 +211,38 @@ def encode(
             columns = [pa.array(list(c), pa.binary()) for c in zip(*packed, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "starts", "ends", "lengths", "ids"])
 
-    def tree(rows: pa.Table) -> pa.Table:
+    def joined(rows: pa.Table) -> pa.Table:
+        """The node of the nodes in rows, which follow each other; its k is that of the first."""
         rows = rows.sort_by("k")
         col = {c: rows[c].to_pylist() for c in ("k", "text", "starts", "ends", "lengths", "ids")}
-        text = "".join(col["text"])
+        text, begin = "".join(col["text"]), col["k"][0] * leaf
         parts = [_unpack(*x) for x in zip(col["starts"], col["ends"], col["lengths"], col["ids"], strict=True)]
-        bounds = [*(k * leaf for k in col["k"]), len(text)]
-        ids = b"".join(concatenate(text, parts, bounds, path).ids)
-        return pa.table([rows["id"].slice(0, 1), *finish([ids])], names)
+        parts = [Pieces([x - begin for x in p.starts], [x - begin for x in p.ends], p.ids) for p in parts]
+        whole = concatenate(text, parts, [*(k * leaf - begin for k in col["k"]), len(text)], path)
+        whole = Pieces([x + begin for x in whole.starts], [x + begin for x in whole.ends], whole.ids)
+        return pa.table([*(rows[c].slice(0, 1) for c in ("id", "row", "k", "n")), [text], *([x] for x in _pack(whole))], rows.schema.names)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids"):
+            yield pa.RecordBatch.from_arrays([batch["id"], *finish(batch["ids"].to_pylist())], names)
 
-    out = f"id {id_type}, {columns}"
+    out, cell = f"id {id_type}, {columns}", f"id {id_type}, row long, k int, n int, text string"
+    node = f"{cell}, starts binary, ends binary, lengths binary, ids binary"
     long = F.length("text") > leaf
-    cut = (
-        rows.where(long)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("id", "row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))).alias("k"))
-        .select("id", "row", "k", F.substring("text", F.col("k") * leaf + 1, F.lit(leaf)).alias("text"))
-        .repartition("row", "k")
-        .mapInArrow(leaves, f"id {id_type}, row long, k int, text string, starts binary, ends binary, lengths binary, ids binary")
-    )
-    joined = cut.groupBy("row").applyInArrow(tree, out)
-    return rows.where(~long).mapInArrow(short, out).unionByName(joined).withColumnRenamed("id", id_col)
+    cells = rows.where(long).withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text").mapInArrow(cut, cell)
+    nodes = cells.repartition("row", "k").mapInArrow(leaves, node).groupBy("row", F.expr(f"k div {FAN}")).applyInArrow(joined, node)
+    roots = nodes.where(F.col("n") <= FAN).unionByName(nodes.where(F.col("n") > FAN).groupBy("row").applyInArrow(joined, node))
+    return rows.where(~long).mapInArrow(short, out).unionByName(roots.mapInArrow(finished, out)).withColumnRenamed("id", id_col)
 
 
 _tables: dict[str, list[str]] = {}
 
 
 def decode(ids: bytes, path: str) -> str:
-    """The library's decode(ids, skip_special_tokens=False) for a vocabulary without a decoder:
+    """The library's decode(ids, skip_special_tokens=False); for a vocabulary without a decoder that is
     its tokens, separated by spaces."""
+    if not by_words(path):
+        return encoder(path).tokenizer.decode(np.frombuffer(ids, ID).tolist(), skip_special_tokens=False)
     if path not in _tables:
         t = encoder(path).tokenizer
         _tables[path] = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]

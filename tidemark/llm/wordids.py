@@ -1,18 +1,19 @@
 """Token ids of whole texts, by way of the distinct words in them.
 
-The tokenizer drops white space and never merges across it, so the ids of a
-text are the ids of its white-space-separated words in turn. Words come from the
-tokenizers library once and are then looked up. ``tests/llm`` holds this
+A tokenizer that drops white space and never merges across it gives a text the ids of its white-space-separated words in turn. Words come from the
+tokenizers library once and are then looked up. ``by_words`` tells from a vocabulary's file whether this holds; texts go to the library whole where it doesn't. ``tests/llm`` holds this
 against the library over whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,6 +30,32 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+#: The steps of a tokenizer that the lookup of words holds for.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+
+
+@cache
+def by_words(path: str) -> bool:
+    """Whether the vocabulary's tokenizer has just the steps that looking up words and cutting texts rely on."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    whole = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"])) for t in found["added_tokens"])
+    return whole and all(found[k] == v for k, v in STEPS.items()) and all(model.get(k) == v for k, v in plain.items())
+
+
 def words_of(text: str) -> list[str]:
     """The words between runs of ASCII white space."""
     return WORD.findall(text) if any(c in text for c in ODD_SPACE) else text.split()
@@ -72,14 +99,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = by_words(path)
         self._tokenize = self.tokenizer.model.tokenize
         self.words = _Known(self._word, limit)
         self.cores = _Known(self._core, limit)
 
     def _word(self, w: str) -> bytes:
-        """Letters and the punctuation after them are separate pre-tokens, so 'word,' is 'word' and ','."""
+        """Letters and the punctuation after them are separate pre-tokens, so 'word,' is 'word' and ','.
+
+        Not where a letter's lower case ends in a mark, which then belongs to the punctuation.
+        """
         core = w.rstrip(TAIL)
-        if len(core) < len(w) and core.isalpha():
+        if len(core) < len(w) and core.isalpha() and core.lower().isalpha():
             return self.cores[core] + self.cores[w[len(core) :]]
         return self.cores[w]
 
@@ -99,6 +130,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         get = self.words.__getitem__
         return [b"".join(map(get, words_of(text))) for text in texts]
 
