@@ -240,7 +240,7 @@ def test_repair_round_trips():
 
 @pytest.mark.parametrize("limit", [2000, 20_000, 10**9])
 def test_sharding(docs, rows, limit):
-    got = sharding.sharded(crowded(docs).drop("shard"), limit).collect()
+    got = sharding.sharded(crowded(docs), limit).collect()
     assert Counter((r["doc_id"], r["doc_bytes"]) for r in got) == Counter((i, len((t or "").encode())) for i, t in rows)
     size, count = Counter(), Counter()
     for r in got:
@@ -252,6 +252,29 @@ def test_sharding(docs, rows, limit):
     assert all(not b.startswith(a) for a, b in zip(prefixes, prefixes[1:], strict=False))
 
 
+def slow_directory(rows, limit, prefix=""):
+    """{prefix: bytes}: the buckets that splitting from the root on gives; rows are (bits, bytes)."""
+    if sum(n for _, n in rows) <= limit or len(rows) == 1 or len(prefix) == sharding.BITS:
+        return {prefix: sum(n for _, n in rows)}
+    halves = [[r for r in rows if r[0].startswith(prefix + b)] for b in "01"]
+    return {k: v for b, half in zip("01", halves, strict=True) if half for k, v in slow_directory(half, limit, prefix + b).items()}
+
+
+@pytest.mark.parametrize("limit", [700, 5000, 60_000, 10**9])
+def test_directory_is_that_of_splits_from_the_root(docs, limit):
+    hashed = sharding.saved(sharding._hashed(crowded(docs)), "hashed").select("bits", "bytes")
+    got = {r["prefix"]: r["bytes"] for r in sharding.directory(hashed, limit).collect()}
+    assert got == slow_directory([tuple(r) for r in hashed.collect()], limit)
+
+
+def test_directory_with_one_heavy_side(spark):
+    """Nearly all bytes are in a few rows, so most of the buckets at the depth that the total asks for fit earlier."""
+    heavy = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 36, F.lit("x")).otherwise(F.repeat(F.lit("y"), 5000)).alias("text"))
+    hashed = sharding.saved(sharding._hashed(heavy), "hashed").select("bits", "bytes")
+    got = {r["prefix"]: r["bytes"] for r in sharding.directory(hashed, 100).collect()}
+    assert got == slow_directory([tuple(r) for r in hashed.collect()], 100)
+
+
 def test_sharding_splits_equal_rows(spark, docs):
     same = spark.range(64).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
     got = sharding.sharded(same, 1000).groupBy("shard").agg(F.sum("doc_bytes").alias("n")).collect()
@@ -428,6 +451,28 @@ def test_bpe(docs, rows, vocabulary, leaf):
     assert Counter(map(tuple, bpe.round_trip(crowded(some), vocabulary, leaf).collect())) == want
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_bpe_of_many_leaves(spark, vocabulary, fan, monkeypatch):
+    monkeypatch.setattr(bpe, "FAN", fan)
+    rng = random.Random(fan)
+    texts = [(k, "".join(rng.choice(PARTS) + rng.choice(["", " "]) for _ in range(150 * k))) for k in range(7)]
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.round_trip(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary, 50).collect()}
+    assert got == {k: hashlib.sha256(library_ids(vocabulary, t)[1].tobytes()).hexdigest() for k, t in texts}
+
+
+def test_bpe_of_another_vocabulary(spark):
+    """Where words can't be looked up, texts go to the library whole."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not wordids.by_words(path)
+    texts = [(1, "two  spaces\n\nand lines " * 30), (2, None), (3, "é ß 12")]
+    got = {r["doc_id"]: (r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(spark.createDataFrame(texts, "doc_id long, text string"), path, 40).collect()}
+    for k, t in texts:
+        tokenizer, ids = library_ids(path, t)
+        assert got[k] == (hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()).hexdigest())
+
+
 PARTS = ["a", "the", "ing", "e\u0301", "é", "ß", "'s", "'", "''", "<|endoftext|>", "<|start", "1", "23", " ", "\n", "\u3000", "\x1c", "日本", "\u1112\u1161", "≠", "=\u0338", "%%%", "Σ", "İ", "<", "|", "\x85", "\xa0"]
 
 
@@ -697,22 +742,84 @@ def test_quality_of_nothing(empty):
     assert quality.judge(empty).count() == 0
 
 
+def slow_near_dedup(rows):
+    """Ids that stay: of each group by fingerprints within 4 bits or shingles alike to 0.8, the row of smallest id and hash."""
+    fps = [slow_fingerprint(t) for _, t in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, t in rows for w in [substring.words_in(t or "", True)]]
+    n = range(len(rows))
+    near = [(i, j) for i in n for j in n if i < j and ((fps[i] ^ fps[j]).bit_count() <= 4 or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    root, least = unions(near, n), {}
+    for i in n:
+        key = (rows[i][0] is not None, rows[i][0] or 0)
+        least[root(i)] = min(least.get(root(i), key), key)
+    return Counter(i if known else None for known, i in least.values())
+
+
+def test_pipeline_stages_over_odd_and_crowded_rows(spark, docs, rows):
+    """Each stage against its operator or a loop, with values of clashing columns kept."""
+    import corpus_pipeline
+
+    stage, full = dict(corpus_pipeline.STAGES), crowded(docs)
+
+    def run(name, given):
+        out = stage[name](spark, given, SF)
+        if name != "bpe_round_trip":
+            assert out.columns == given.columns
+            assert out.where(" or ".join(f"`{c}` is null or `{c}` <> 'x'" for c in EXTRA)).count() == 0
+        return substring.saved(out, name)
+
+    kept = run("quality_rules", full)
+    judged = Counter(r["doc"]["doc_id"] for r in quality.judge(full).where("kept").collect())
+    assert Counter(r["doc_id"] for r in kept.collect()) == judged and sum(judged.values()) < len(rows)
+    everything = [(r["doc_id"], r["text"]) for r in full.collect()]
+    assert Counter(r["doc_id"] for r in run("near_dedup", full).collect()) == slow_near_dedup(everything)
+    once = run("near_dedup", kept)
+    assert Counter(r["doc_id"] for r in once.collect()) == slow_near_dedup([(r["doc_id"], r["text"]) for r in kept.collect()])
+    cut = run("substring_dedup", once)
+    removed = {r["doc_id"] for r in substring.repeats(once).where("removed").collect()}
+    before, after = ([r for r in x.collect() if (r["doc_id"] in removed)] for x in (once, cut))
+    assert Counter(map(tuple, once.collect())) - Counter(map(tuple, before)) == Counter(map(tuple, cut.collect())) - Counter(map(tuple, after))
+    assert sum(len(r["text"]) for r in after) < sum(len(r["text"]) for r in before) and all(r["n_chars"] == len(r["text"]) for r in after)
+    mix = run("source_mix", cut)
+    assert sum(len(WORD.findall(r["text"])) for r in mix.collect()) == sum(r["taken"] for r in mixing.taken(cut).collect())
+    coded = Counter((r["doc_id"], r["n_tokens"]) for r in run("bpe_round_trip", mix).collect())
+    tokenizer, _ = library_ids(Q.word_vocabulary(), "")
+    assert coded == Counter((r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids)) for r in mix.collect())
+    for name in stage:
+        assert stage[name](spark, full.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    stage = dict(corpus_pipeline.STAGES)
-    kept = stage["quality_rules"](spark, docs, SF)
-    assert kept.columns == docs.columns
-    judged = {r["doc"]["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, k in judged.items() if k}
-    once = stage["near_dedup"](spark, kept, SF)
-    names = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept).collect()}
-    assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(names.values()))
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
 
 
+def test_stages_leave_results_of_others_alone(spark, docs):
+    import corpus_pipeline
+
+    live = simhash.near_duplicates(docs)
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality_rules"](spark, docs, SF)  # read by the next stage without having been written
+    assert stage["near_dedup"](spark, kept, SF).count() > 0
+    corpus_pipeline.run(spark, SF).count()
+    assert live.count() == docs.count()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from tidemark.llm.storage import shared_dir
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_near_dedup_finds_near_copies_at_the_wanted_similarity(spark):
     import corpus_pipeline
 

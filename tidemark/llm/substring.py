@@ -537,7 +537,7 @@ def cut_out(text: str, cuts: list[dict]) -> str:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without what removed paragraphs cover and the equal words beside it, and without documents of which no word is left by that.
 
-    n_chars, if there, is counted anew.
+    n_chars, if there, is counted anew where words were removed.
     """
     rows = ordered(docs, carry=True)
     covered = saved(runs(clusters(rows)).withColumn("kend", F.col("kstart") + F.col("end") - F.col("start")), "runs")
@@ -557,14 +557,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 else:
                     keep.append(True)
                 texts.append(None if none else text)
-            yield rebuilt(batch["doc"], names, texts).filter(pa.array(keep, pa.bool_()))
+            yield rebuilt(batch["doc"], names, texts, batch["cut"].is_valid()).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
 
 
-def rebuilt(doc: pa.StructArray, names: list[str], texts: list[str | None]) -> pa.RecordBatch:
-    """The documents of the struct doc with other texts; n_chars, if there, is counted anew."""
+def rebuilt(doc: pa.StructArray, names: list[str], texts: list[str | None], changed: pa.Array | None = None) -> pa.RecordBatch:
+    """The documents of the struct doc with other texts; n_chars, if there, is counted anew where the text has changed."""
     rest = dict(zip((f.name for f in doc.type), doc.flatten(), strict=True))
     if "n_chars" in rest:
-        rest["n_chars"] = pa.array([None if t is None else len(t) for t in texts], rest["n_chars"].type)
+        counts = pa.array([None if t is None else len(t) for t in texts], rest["n_chars"].type)
+        rest["n_chars"] = counts if changed is None else pa.compute.if_else(changed, counts, rest["n_chars"])
     return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest[c] for c in names], names)
