@@ -15,7 +15,7 @@ bits that a number of each kind takes: symbols, lengths, symbol counts, id count
 whole byte on: r left symbols, r right symbols, r expansion lengths, d symbol counts, d id counts, s symbols.
 
 Defined results: a null text is an empty one with only the end id; a null id sorts first; repeated rows are
-written as often as they come, in order of their text's hash; an empty table writes no shard; extra columns
+written as often as they come, and rows of one id in the input's order; an empty table writes no shard; extra columns
 don't matter. Pairs across documents are never replaced.
 """
 
@@ -34,7 +34,7 @@ from tidemark.llm.wordids import ID, encoder, slices
 
 MAGIC = 0x52505432
 END = 1
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 TASK = 64 << 20
 BUCKET_BITS = 18
 LEAST = 16
@@ -47,7 +47,7 @@ def _ranked(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np
     frequent bucket nearly always holds one pair; what else lies in it is sorted. Counts are exact.
     """
     a, b = seq[at], seq[at + 1]
-    bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
+    bucket = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)).astype(np.intp)
     some = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket])
     key = a[some].astype(np.uint64) << np.uint64(32) | b[some]
     slot = bucket[some]
@@ -123,8 +123,10 @@ def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST)
         seq = seq[~gone[: len(seq)]]
         starts = starts - np.searchsorted(chosen, starts - 1)
         new = chosen - np.arange(len(chosen))
-        at = np.unique(np.concatenate([new - 1, new, over - np.searchsorted(chosen, over - 1, "right")]))
-        at = at[at >= 0]
+        marked = np.zeros(len(seq) + 1, bool)
+        marked[new] = marked[np.maximum(new - 1, 0)] = True
+        marked[over - np.searchsorted(chosen, over - 1, "right")] = True
+        at = np.flatnonzero(marked[:-1])
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -251,8 +253,8 @@ class Shard:
 def write(docs: DataFrame, vocabulary: str, path: str, partitions: int | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END) -> None:
     """Writes the shards of docs (doc_id, text), in ascending order of doc_id, to the table at path."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("tie"))
-    order = ["doc_id", "mark", "tie"]  # ties are between equal rows alone; they spread very many of them
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = ["doc_id", "tie"]  # very many rows of one id are dealt over several tasks
     dealt = rows.repartitionByRange(partitions or tasks_for(docs, TASK), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

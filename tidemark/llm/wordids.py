@@ -58,7 +58,8 @@ def by_words(path: str) -> bool:
 
 def words_of(text: str) -> list[str]:
     """The words between runs of ASCII white space."""
-    return WORD.findall(text) if any(c in text for c in ODD_SPACE) else text.split()
+    odd = ODD_SPACE[:4] if text.isascii() else ODD_SPACE
+    return WORD.findall(text) if any(c in text for c in odd) else text.split()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ class _Known(dict):
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -102,30 +103,24 @@ class WordEncoder:
         self.by_words = by_words(path)
         self._tokenize = self.tokenizer.model.tokenize
         self.words = _Known(self._word, limit)
-        self.cores = _Known(self._core, limit)
 
     def _word(self, w: str) -> bytes:
-        """Letters and the punctuation after them are separate pre-tokens, so 'word,' is 'word' and ','.
-
-        Not where a letter's lower case ends in a mark, which then belongs to the punctuation.
-        """
-        core = w.rstrip(TAIL)
-        if len(core) < len(w) and core.isalpha() and core.lower().isalpha():
-            return self.cores[core] + self.cores[w[len(core) :]]
-        return self.cores[w]
-
-    def _core(self, w: str) -> bytes:
         """Ids by the library: by its BPE model alone where the steps before it are plain.
 
         A word of letters is one pre-token, and normalisation only lower-cases it if it is
-        composed already; what is left is the byte-level alphabet.
+        composed already; what is left is the byte-level alphabet. Letters and the punctuation after them are separate
+        pre-tokens, so 'word,' is 'word' and ','; not where a letter's lower case ends in a mark, which then belongs to the punctuation.
         """
+        low = w.lower()
         if w.isalpha():
-            low = w.lower()
             if w.isascii():
                 return array("I", [t.id for t in self._tokenize(low)]).tobytes()
             if len(low) == len(w) and low.isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low):
                 return array("I", [t.id for t in self._tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        else:
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core.isalpha() and core.lower().isalpha():
+                return self.words[core] + self.words[w[len(core) :]]
         return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
