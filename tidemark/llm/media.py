@@ -29,7 +29,7 @@ from tidemark.llm.storage import saved
 from tidemark.llm.wordids import slices
 
 FRAME, WIDTH = 576, 24
-LEAST, MOST, BITS = 64, 1 << 13, 7
+LEAST, MOST, BITS = 128, 1 << 13, 8
 DIGEST = 16
 LISTS = 256
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
@@ -66,7 +66,8 @@ def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = BITS) ->
 
 
 def name_of(text: str | None) -> bytes:
-    return hashlib.sha256((text or "").encode()).digest()
+    """What an image is known by."""
+    return hashlib.sha256((text or "").encode()).digest()[:DIGEST]
 
 
 def _pieces(whole: bytes) -> list[bytes]:
@@ -102,9 +103,9 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 def shared_chunks(lists: DataFrame) -> DataFrame:
     """(name, shared): per image the (seq, mine, digest) of its chunks that are in more than one place; of a chunk's places one is the owner's."""
-    chunks = lists.select("name", F.posexplode("digests").alias("seq", "digest")).withColumn("key", F.xxhash64("name", "seq"))
-    several = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1").select("digest", "owner")
-    found = chunks.join(several, "digest").select("name", F.struct("seq", (F.col("key") == F.col("owner")).alias("mine"), "digest").alias("s"))
+    chunks, key = lists.select("name", F.posexplode("digests").alias("seq", "digest")), F.xxhash64("name", "seq")
+    several = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("owner")).where("n > 1").select("digest", "owner")
+    found = chunks.join(saved(several, "several"), "digest").select("name", F.struct("seq", (key == F.col("owner")).alias("mine"), "digest").alias("s"))
     return found.groupBy("name").agg(F.collect_list("s").alias("shared"))
 
 
@@ -115,7 +116,7 @@ STORED = f"name binary, media binary, sizes array<int>, shared {SHARED}, own_byt
 def store(docs: DataFrame) -> DataFrame:
     """(name, media, sizes, shared, own_bytes, own) per distinct image: the image's digest, the sizes of its chunks in order, those that are in
     several places (and whether this is the owner's), and how many bytes it owns and these bytes in order, compressed."""
-    shared = shared_chunks(saved(chunk_lists(docs), "chunk-lists"))
+    shared = saved(shared_chunks(saved(chunk_lists(docs), "chunk-lists")), "shared")
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -200,6 +201,31 @@ class _Reader:
         return self.name, n_bytes, self.kept, self.samples.hexdigest(), crc32(self.tail[-32:]), self.size, self.media.hexdigest(), feature
 
 
+class _Whole(_Reader):
+    """Puts an image together from its own bytes and chunks of others, which come in order."""
+
+    def __init__(self, name: bytes, media: bytes, sizes: list[int], foreign: list[int], own: bytes):
+        super().__init__(name, media)
+        self.sizes, self.waits, self.own, self.at, self.k = sizes, sorted(foreign, reverse=True), own, 0, 0
+
+    def _up_to(self, k: int) -> None:
+        n = sum(self.sizes[self.k : k])
+        if n:
+            self.add(self.own[self.at : self.at + n])
+        self.at, self.k = self.at + n, k
+
+    def take(self, seq: int, chunk: bytes) -> None:
+        if not self.waits or seq != self.waits.pop():
+            raise ValueError(f"a chunk before {seq} of image {self.name.hex()} is missing")
+        self._up_to(seq)
+        self.add(chunk)
+        self.k = seq + 1
+
+    def values(self) -> tuple:
+        self._up_to(len(self.sizes))
+        return super().values()
+
+
 def read(chunk_store: DataFrame) -> DataFrame:
     """Per distinct image: name, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature.
 
@@ -230,44 +256,38 @@ def read(chunk_store: DataFrame) -> DataFrame:
                 some = [(mine[k], packer.compress(p)) for k, p in _owned(row, unpacker) if k in mine]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], ["digest", "data"])
 
-    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
-        for part in slices(batches, "own", 1_000_000):
-            for row in part.to_pylist():
-                some = [(-1, row["media"] + len(row["sizes"]).to_bytes(4, "little"))]
-                some += [(k, packer.compress(p)) for k, p in _owned(row, unpacker)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["name"]] * len(some), pa.binary()), pa.array([k for k, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], ["name", "seq", "data"])
-
     wanted = partial.select("name", F.explode("shared").alias("s")).where("not s.mine").select("name", "s.seq", "s.digest")
     often = wanted.groupBy("digest").agg(F.ceil(F.count("*") / LISTS).cast("int").alias("parts")).where("parts > 1")
     asked = wanted.join(often, "digest", "left").withColumn("part", F.pmod(F.xxhash64("name", "seq"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     given = chunk_store.where(F.exists("shared", lambda s: s["mine"])).mapInArrow(lent, "digest binary, data binary").join(often, "digest", "left")
     given = given.select("digest", "data", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     fetched = asked.join(given, ["digest", "part"]).select("name", "seq", "data")
-    pieces = partial.mapInArrow(owned, "name binary, seq int, data binary").unionByName(fetched)
+    # an image's own bytes come first, then what it takes from others, in order
+    seqs = F.transform(F.filter("shared", lambda s: ~s["mine"]), lambda s: s["seq"]).alias("foreign")
+    own = partial.select("name", F.lit(-1).alias("seq"), F.col("own").alias("data"), "media", "sizes", seqs)
+    pieces = own.unionByName(fetched, allowMissingColumns=True)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpacker, reader, expected, n = zstandard.ZstdDecompressor(), None, -1, 0
+        unpacker, whole = zstandard.ZstdDecompressor(), None
         for part in slices(batches, "data", 1_000_000):
             out = []
-            for name, seq, data in zip(*(part[c].to_pylist() for c in ("name", "seq", "data")), strict=True):
-                if seq != expected:
-                    raise ValueError(f"chunk {expected} of image {name.hex()} is missing")
+            for name, seq, data, media, sizes, foreign in zip(*(part[c].to_pylist() for c in ("name", "seq", "data", "media", "sizes", "foreign")), strict=True):
                 if seq < 0:
-                    reader, n = _Reader(name, data[:32]), int.from_bytes(data[32:], "little")
+                    if whole is not None:
+                        raise ValueError(f"chunks of image {whole.name.hex()} are missing")
+                    whole = _Whole(name, media, sizes, foreign, unpacker.decompress(data))
+                elif whole is None:
+                    raise ValueError(f"image {name.hex()} is missing")
                 else:
-                    reader.add(unpacker.decompress(data))
-                expected = seq + 1
-                if expected == n:
-                    out.append(reader.values())
-                    expected = -1
+                    whole.take(seq, unpacker.decompress(data))
+                if not whole.waits:
+                    out.append(whole.values())
+                    whole = None
             yield _values(out)
-        if expected != -1:
-            raise ValueError(f"chunk {expected} is missing")
+        if whole is not None:
+            raise ValueError(f"chunks of image {whole.name.hex()} are missing")
 
     in_order = pieces.repartition("name").sortWithinPartitions("name", "seq")
     return whole.mapInArrow(in_place, VALUES).unionByName(in_order.mapInArrow(together, VALUES))
@@ -276,5 +296,5 @@ def read(chunk_store: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores the images of docs' texts and returns, per row of docs, doc_id and what ``read`` makes of its image."""
     values = read(store(docs.select("doc_id", "text")))
-    rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("name"))
+    rows = docs.select("doc_id", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, DIGEST).alias("name"))
     return rows.join(values, "name").drop("name")
