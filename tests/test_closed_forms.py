@@ -63,15 +63,17 @@ def test_domain_fold(spark):
     rows = [(t, f"d{k}", rng.choice([-1, 1, 1])) for k in range(60) for t in range(10) if rng.random() < 0.6]
     marks, want = [3, 6], {}
     for k in range(60):
-        s = 0
+        s = c = 0
         for t in range(10):
-            s += sum(d for a, b, d in rows if (a, b) == (t, f"d{k}"))
+            here = [d for a, b, d in rows if (a, b) == (t, f"d{k}")]
+            s, c = s + sum(here), c + sum(d > 0 for d in here)
             if t in marks and s <= 1:
-                s = 0
-            if s:
-                want[t, f"d{k}"] = s
-    out = trust.domain_counts(spark.createDataFrame(rows, "step long, domain string, d long"), spark.range(10).withColumnRenamed("id", "step"), marks)
-    assert {(r["step"], r["domain"]): r["count"] for r in out.collect()} == want
+                s = c = 0
+            if s or c:
+                want[t, f"d{k}"] = s, c
+    signed = spark.createDataFrame(rows, "step long, domain string, d long").withColumn("c", (F.col("d") > 0).cast("long"))
+    out = trust.domain_counts(signed, spark.range(10).withColumnRenamed("id", "step"), marks)
+    assert {(r["step"], r["domain"]): (r["count"], r["creates"]) for r in out.collect()} == want
 
 
 @pytest.mark.parametrize(
@@ -128,11 +130,65 @@ def test_flatten_skips_shape_or_and_extra():
     assert schema.flatten_schema(1, '{"type":"Schema","start":{"type":"ShapeOr","shapeExprs":[]},"shapes":[]}') == []
 
 
-def test_compliance_nodes():
-    either = {"type": "ShapeOr", "shapeExprs": [{"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q5"]}, {"type": "Odd"}]}
-    assert schema.complies(either, '"Q5"', "wikibase-entityid")
-    assert not schema.complies(either, '"Q6"', "wikibase-entityid")
-    assert schema.complies("http://other/shape", "x", "string")
+ENTITY, STRING, DATE = "http://www.wikidata.org/entity/", "http://www.w3.org/2001/XMLSchema#string", "http://www.w3.org/2001/XMLSchema#dateTime"
+
+
+def node(**parts):
+    return {"type": "NodeConstraint"} | parts
+
+
+@pytest.mark.parametrize(
+    ("rule", "value", "want"),
+    [
+        ({"type": "ShapeOr", "shapeExprs": [node(values=[ENTITY + "Q5"]), {"type": "Odd"}]}, "Q5", True),
+        ({"type": "ShapeOr", "shapeExprs": [node(values=[ENTITY + "Q5"]), {"type": "Odd"}]}, "Q6", False),
+        ("http://other/shape", "x", True),
+        (None, 7, True),
+        (node(), 7, False),  # whole numbers and lists are no values
+        (node(), 7.5, True),
+        (node(values=[ENTITY + "Q5"], datatype=STRING), "Q5", True),  # both must hold
+        (node(values=[ENTITY + "Q5"], datatype=DATE), "Q5", False),
+        (node(values=[{"type": "IriStem", "stem": ENTITY}]), "Q1", True),
+        (node(values=[{"type": "IriStem", "stem": ENTITY}, ENTITY + "x"]), "x", False),  # the stem decides
+        (node(values=[{"type": "IriStem", "stem": "http://elsewhere/"}, ENTITY + "x"]), "x", True),  # an unknown one doesn't
+        (node(values=[{"type": "IriStem", "stem": "http://commons.wikimedia.org/wiki/Special:FilePath"}]), "a.jpg", True),
+        (node(values=[{"type": "Language", "languageTag": "en"}]), "text", True),
+        (node(values=[{"type": "Language", "languageTag": "de"}, {"type": "Language", "languageTag": "en"}]), "text", False),
+        (node(datatype=DATE), "+2024-01-05T00:00:00Z", True),
+        (node(datatype=DATE), "2024-01-05", True),
+        (node(datatype=DATE), "+2024-00-00T00:00:00Z", False),
+        (node(datatype="http://www.w3.org/2001/XMLSchema#decimal"), "+12.5", True),
+        (node(datatype="http://www.w3.org/2001/XMLSchema#decimal"), "Q12", False),
+        (node(datatype="http://www.opengis.net/ont/geosparql#wktLiteral"), {"longitude": 1.5, "latitude": 2}, True),
+        (node(datatype="http://www.opengis.net/ont/geosparql#wktLiteral"), {"longitude": "1", "latitude": 2}, False),
+        ({"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/direct/P31", "valueExpr": node(values=[])}, "x", False),
+        ({"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/direct/P32", "valueExpr": node(values=[])}, "x", True),  # of another property
+        ({"type": "Shape", "expression": {"type": "EachOf", "expressions": [node(datatype=STRING), node(datatype=DATE)]}}, "x", False),
+        ({"type": "ShapeAnd", "shapeExprs": [node(datatype=STRING), "http://other/shape"]}, "x", True),
+        ({"type": "Shape"}, "x", True),
+    ],
+)
+def test_compliance_nodes(rule, value, want):
+    assert schema.complies(rule, value, 31) == want
+
+
+def test_wilson_with_an_uneven_exposure(spark):
+    """Three domains by hand: one with most of the mass and few creations has its bar raised, one without mass counts as 0."""
+    flow = spark.createDataFrame([(0, "old", 40, 10), (0, "new", 5, 45), (0, "gone", 30, 0)], "step long, domain string, out_weight long, in_weight long")
+    mass = spark.createDataFrame([(0, "old", 900.0), (0, "new", 100.0)], "step long, domain string, mass double")
+    creates = spark.createDataFrame([(0, "old", 100), (0, "new", 300)], "step long, domain string, creates long")
+    got = {r["domain"]: r for r in trust.flow_wilson(flow, mass, creates).collect()}
+    assert got["old"]["p0"] == pytest.approx((0.9 + 1 / 3) / (0.9 + 1 / 3 + 0.25 + 1 / 3)) and got["gone"]["p0"] == pytest.approx(0.5)
+    tilted = 0.7 / 0.3 * got["old"]["p0"] / (1 - got["old"]["p0"])
+    assert got["old"]["bar"] == pytest.approx(tilted / (1 + tilted)) and got["new"]["bar"] == got["gone"]["bar"] == 0.7
+    assert got["old"]["deff"] == pytest.approx(1 + math.log1p(0.9)) and got["gone"]["deff"] == 1
+    assert {d: r["class"] for d, r in got.items()} == {"old": "contested", "new": "dominating", "gone": "dominated"}
+
+
+def test_class_values(spark):
+    mass = spark.createDataFrame([(0, d, float(9 - k)) for k, d in enumerate("abcd")], "step long, domain string, mass double")
+    classes = spark.createDataFrame([(0, "a", 9.0, "dominated"), (0, "b", 8.0, "contested"), (0, "c", 7.0, "dominating")], "step long, domain string, mass double, class string")
+    assert [r["class_value"] for r in trust.top_classes(classes, mass).orderBy("rank").collect()] == [-1, 0, 1, 2]
 
 
 def test_missing_series_is_an_error(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import exp_decay, in_scope, parse_time_value
+from tidemark.operators.steps import floor_div, spread
 
 DAY_US = 86400 * 1000000
 EXPIRY_DAYS = 90
@@ -26,11 +27,20 @@ def active(events: DataFrame, spine: DataFrame, origin_us: int, step_us: int, da
     into the steps that end in that interval; no state is carried.
     """
     nxt = F.lead("us").over(Window.partitionBy("value_id").orderBy("us", "revision_id"))
-    spans = events.withColumn("_until", F.least(F.coalesce(nxt, F.lit(2**62)), F.col("us") + days * DAY_US - 1)).where("value_at is not null")
-    ends = F.broadcast(spine.select("step", (F.lit(origin_us) + (F.col("step") + 1) * step_us).alias("_end")))
     # last event < T and T - days < written; the next event, if before T, ends it
-    alive = (F.col("_end") > F.col("us")) & (F.col("_end") <= F.col("_until"))
-    return spans.join(ends, alive).select("step", "value_id", "property_id", "us", "value_at")
+    end = F.least(F.coalesce(nxt, F.lit(2**62)), F.col("us") + days * DAY_US - 1)
+    spans = events.withColumns({"step": first_end(F.col("us"), origin_us, step_us), "until": last_end(end, origin_us, step_us) + 1}).where("value_at is not null")
+    return spread(spans, spine).where("step >= 0").select("step", "value_id", "property_id", "us", "value_at")
+
+
+def first_end(us: Column, origin_us: int, step_us: int) -> Column:
+    """The first step that ends after us."""
+    return floor_div(us - origin_us, step_us)
+
+
+def last_end(us: Column, origin_us: int, step_us: int) -> Column:
+    """The last step that ends at us or before."""
+    return floor_div(us - origin_us, step_us) - 1
 
 
 def age_scores(alive: DataFrame) -> DataFrame:
@@ -73,16 +83,27 @@ def time_happened_changes(changes: DataFrame, types: DataFrame, mapping: DataFra
     return rows.groupBy("revision_id", "entity_id", "value_id", "us", "action", "new_value").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_set("class_id")).alias("classes")).where("rank is not null")
 
 
-def currency(happened: DataFrame, complete: DataFrame, spine: DataFrame, origin_us: int, step_us: int) -> DataFrame:
-    """(step, entity_id, age_seconds, score): how long after it happened a complete entity was complete; negative ages are dropped."""
-    ends = F.broadcast(spine.select("step", (F.lit(origin_us) + (F.col("step") + 1) * step_us).alias("_end")))
-    nxt = F.lead("us").over(Window.partitionBy("entity_id", "value_id").orderBy("us", "revision_id"))
-    spans = happened.withColumn("_next", F.coalesce(nxt, F.lit(2**62)))
+def happened_states(happened: DataFrame, origin_us: int, step_us: int) -> DataFrame:
+    """(entity_id, step, until, t): the latest time of the best rank among an entity's values, from a step on and until another; null where it has none."""
+    nxt = F.coalesce(F.lead("us").over(Window.partitionBy("entity_id", "value_id").orderBy("us", "revision_id")), F.lit(2**62))
     at = F.unix_micros(parse_time_value(F.col("new_value")))
-    live = spans.join(ends, (F.col("us") < F.col("_end")) & (F.col("_end") <= F.col("_next"))).where("action <> 'DELETE'").withColumn("_t", at).where("_t is not null")
-    by = live.groupBy("step", "entity_id", "rank").agg(F.max("_t").alias("t")).groupBy("step", "entity_id").agg(F.min_by("t", "rank").alias("t"))
-    done = complete.join(by, ["step", "entity_id"]).withColumn("age_seconds", (F.lit(origin_us) + (F.col("since") + 1) * step_us - F.col("t")) / 1e6)
-    return done.where("age_seconds >= 0").select("step", "entity_id", "age_seconds", exp_decay(F.col("age_seconds")).alias("score"))
+    spans = happened.select("entity_id", "rank", "action", at.alias("t"), first_end(F.col("us"), origin_us, step_us).alias("first"), last_end(nxt, origin_us, step_us).alias("last"))
+    spans = spans.where("action <> 'DELETE' and t is not null and first <= last").drop("action")
+    cuts = spans.select("entity_id", F.explode(F.array("first", F.col("last") + 1)).alias("step")).distinct()
+    live = cuts.join(spans, "entity_id").where("step between first and last").groupBy("entity_id", "step", "rank").agg(F.max("t").alias("t"))
+    best = live.groupBy("entity_id", "step").agg(F.min_by("t", "rank").alias("t"))
+    return cuts.join(best, ["entity_id", "step"], "left").withColumn("until", F.lead("step").over(Window.partitionBy("entity_id").orderBy("step")))
+
+
+def currency(happened: DataFrame, complete: DataFrame, spine: DataFrame, origin_us: int, step_us: int) -> DataFrame:
+    """(step, entity_id, age_seconds, score): how long after it happened a complete entity was complete; negative ages are dropped.
+
+    complete has states (entity_id, step, until, since). An age is the same for as long as both states last, so steps are only spread out at the end.
+    """
+    t = happened_states(happened, origin_us, step_us).select("entity_id", F.col("step").alias("tfrom"), F.coalesce("until", F.lit(2**62)).alias("tuntil"), "t").where("t is not null")
+    both = complete.withColumn("until", F.coalesce("until", F.lit(2**62))).join(t, "entity_id").withColumns({"step": F.greatest("step", "tfrom", F.lit(0)), "until": F.least("until", "tuntil")})
+    done = both.where("step < until").withColumn("age_seconds", (F.lit(origin_us) + (F.col("since") + 1) * step_us - F.col("t")) / 1e6).where("age_seconds >= 0")
+    return spread(done, spine).select("step", "entity_id", "age_seconds", exp_decay(F.col("age_seconds")).alias("score"))
 
 
 def currency_means(rows: DataFrame, types: DataFrame | None = None) -> DataFrame:

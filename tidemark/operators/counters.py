@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.steps import accumulated, spread
+
 
 def assign_step(df: DataFrame, ts: str, origin_us: int, step_us: int) -> DataFrame:
     """Adds step: an event exactly at a boundary belongs to the step that begins there. Arithmetic, not a range join."""
@@ -38,15 +40,14 @@ def running(diffs: DataFrame, spine: DataFrame, keys: Sequence[str] = (), floore
     floored: a sum that falls below 0 in a step goes on from 0 - the running sum less its smallest value below 0 so far.
     """
     if keys:
-        first = diffs.groupBy(*keys).agg(F.min("step").alias("_first"))
-        grid = first.join(F.broadcast(spine), F.col("step") >= F.col("_first")).drop("_first")
+        every = accumulated(diffs, keys, ["d"]).withColumnRenamed("d", "s")
     else:
-        grid = spine
-    filled = grid.join(diffs, ["step", *keys], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        filled = spine.join(diffs, "step", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        every = accumulated(filled, keys, ["d"]).withColumnRenamed("d", "s")
     so_far = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    out = filled.withColumn("s", F.sum("d").over(so_far))
     value = F.col("s") - F.least(F.lit(0), F.min("s").over(so_far)) if floored else F.col("s")
-    return out.select("step", *keys, value.cast("double").alias("value"))
+    out = every.withColumn("value", value.cast("double")).drop("s")
+    return (spread(out, spine) if keys else out).select("step", *keys, "value")
 
 
 def entity_count(changes: DataFrame, spine: DataFrame) -> DataFrame:

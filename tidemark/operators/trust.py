@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import wilson
+from tidemark.operators.steps import accumulated, spread
 
 
 def edit_stream(references: DataFrame) -> DataFrame:
@@ -63,10 +64,8 @@ def flows(prefs: DataFrame, spine: DataFrame) -> DataFrame:
         prefs.select("step", F.col("dst").alias("domain"), F.lit(0).cast("long").alias("o"), F.col("weight").alias("i"))
     )
     by = ends.groupBy("step", "domain").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-    grid = by.groupBy("domain").agg(F.min("step").alias("_f")).join(F.broadcast(spine), F.col("step") >= F.col("_f")).drop("_f")
-    so_far = Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(by, ["step", "domain"], "left").na.fill(0)
-    return filled.select("step", "domain", F.sum("o").over(so_far).alias("out_weight"), F.sum("i").over(so_far).alias("in_weight"))
+    sums = accumulated(by, ["domain"], ["o", "i"])
+    return spread(sums, spine).select("step", "domain", F.col("o").alias("out_weight"), F.col("i").alias("in_weight"))
 
 
 def discard_steps(steps: int, step_days: float, every_days: float) -> list[int]:
@@ -80,20 +79,25 @@ def discard_steps(steps: int, step_days: float, every_days: float) -> list[int]:
 
 
 def domain_counts(signed: DataFrame, spine: DataFrame, marks: Sequence[int], least: int = 1) -> DataFrame:
-    """(step, domain, count): net references so far; at each mark domains with ``least`` or fewer start again from nothing.
+    """(step, domain, count, creates): net and created references so far; at each mark domains with a count of ``least`` or less start again from nothing.
 
-    signed has step, domain and d. One array of steps per domain, folded in order.
+    signed has step, domain, d and c. One array of steps per domain, folded in order.
     """
     n = spine.count()
-    by = signed.groupBy("domain", "step").agg(F.sum("d").alias("d")).groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("step", "d"))).alias("m"))
+    by = signed.groupBy("domain", "step").agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
+    by = by.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("d", "c")))).alias("m"))
     at_mark = F.array(*(F.lit(int(m)) for m in marks)) if marks else F.array().cast("array<int>")
+    zero = F.lit(0).cast("long")
 
     def fold(acc: Column, t: Column) -> Column:
-        s = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + F.coalesce(F.try_element_at(F.col("m"), t.cast("long")), F.lit(0).cast("long"))
-        return F.concat(acc, F.array(F.when(F.array_contains(at_mark, t) & (s <= least), 0).otherwise(s)))
+        last, move = F.try_element_at(acc, F.lit(-1)), F.try_element_at(F.col("m"), t.cast("long"))
+        s, c = (F.coalesce(last[x], zero) + F.coalesce(move[x], zero) for x in ("d", "c"))
+        gone = F.array_contains(at_mark, t) & (s <= least)
+        return F.concat(acc, F.array(F.struct(F.when(gone, zero).otherwise(s).alias("d"), F.when(gone, zero).otherwise(c).alias("c"))))
 
-    folded = by.select("domain", F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<bigint>"), fold).alias("v"))
-    return folded.select("domain", F.posexplode("v").alias("step", "count")).where("count <> 0").select(F.col("step").cast("long").alias("step"), "domain", "count")
+    start = F.array().cast("array<struct<d:bigint,c:bigint>>")
+    folded = by.select("domain", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, fold)).alias("step", "v"))
+    return folded.select(F.col("step").cast("long").alias("step"), "domain", F.col("v.d").alias("count"), F.col("v.c").alias("creates")).where("count <> 0 or creates <> 0")
 
 
 def domain_fractions(kept: DataFrame, totals: DataFrame) -> DataFrame:
@@ -120,40 +124,53 @@ def supermajority(flow: DataFrame, mass: DataFrame, majority: float = 0.6, thres
 def class_fractions(classes: DataFrame, mass: DataFrame) -> DataFrame:
     """(step, class, fraction) of all mass, with 'unclassified' for the rest."""
     total = mass.groupBy("step").agg(F.sum("mass").alias("total"))
-    by = classes.groupBy("step", "class").agg(F.sum("mass").alias("m")).join(total, "step").select("step", "class", F.try_divide("m", "total").alias("fraction"))
+    share = F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(0.0)
+    by = classes.groupBy("step", "class").agg(F.sum("mass").alias("m")).join(total, "step").select("step", "class", share.alias("fraction"))
     rest = total.select("step").join(by.groupBy("step").agg(F.sum("fraction").alias("f")), "step", "left")
     return by.unionByName(rest.select("step", F.lit("unclassified").alias("class"), F.greatest(F.lit(0.0), 1 - F.coalesce("f", F.lit(0.0))).alias("fraction")))
 
 
+#: What a class is written as. Unclassified is off the axis from dominated to dominating.
+CLASS_VALUES = {"dominated": -1, "contested": 0, "dominating": 1, "unclassified": 2}
+
+
 def top_classes(classes: DataFrame, mass: DataFrame, k: int = 1000) -> DataFrame:
-    """Top k domains by mass per step, ties by name, with -1 unclassified, 0 dominated, 1 contested, 2 dominating."""
+    """Top k domains by mass per step, ties by name, with their class as a number (CLASS_VALUES)."""
     rank = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("mass"), "domain"))
     top = mass.withColumn("rank", rank).where(F.col("rank") <= k)
-    code = F.when(F.col("class") == "dominated", 0).when(F.col("class") == "contested", 1).when(F.col("class") == "dominating", 2).otherwise(-1)
+    code = F.lit(CLASS_VALUES["unclassified"])
+    for name in ("dominated", "contested", "dominating"):
+        code = F.when(F.col("class") == name, CLASS_VALUES[name]).otherwise(code)
     return top.join(classes.drop("mass"), ["step", "domain"], "left").select("step", "domain", "mass", "rank", code.alias("class_value"))
 
 
-def flow_wilson(flow: DataFrame, mass: DataFrame, creates: DataFrame, majority: float = 0.7, lam: float = 0.5, z: float = 1.96, clamp: float = 0.02) -> DataFrame:
+def flow_wilson(flow: DataFrame, mass: DataFrame, creates: DataFrame, majority: float = 0.7, lam: float = 1.0, z: float = 1.645, clamp: float = 0.02) -> DataFrame:
     """Classes by Wilson bounds of the replaced share, with the sample thinned by a design effect and the bar raised by exposure.
 
-    The null share of a domain is its share of mass against its share of creations, each with one added per domain.
+    Every domain that was replaced or preferred counts; without mass or creations these are 0. The null share of a domain is its share of mass against
+    its share of creations, each with 1 / (domains of the step) added. A mass below 0 counts as 0 there.
     """
     of_step = Window.partitionBy("step")
-    rows = flow.join(mass, ["step", "domain"]).join(creates, ["step", "domain"], "left").na.fill(0, ["creates"]).where((F.col("out_weight") + F.col("in_weight") > 0) & (F.col("mass") > 0))
-    n = F.count("*").over(of_step)
+    rows = flow.join(mass, ["step", "domain"], "left").join(creates, ["step", "domain"], "left").na.fill(0, ["mass", "creates"]).where(F.col("out_weight") + F.col("in_weight") > 0)
+    held = F.greatest(F.col("mass"), F.lit(0.0))
+
+    def share(x: Column) -> Column:
+        total = F.sum(x).over(of_step)
+        return F.when(total > 0, x / total).otherwise(0.0) + F.lit(1.0) / F.count("*").over(of_step)
+
     rows = rows.withColumns(
         {
             "total": F.col("out_weight") + F.col("in_weight"),
-            "deff": 1 + lam * F.log(1 + F.col("mass") / 1000),
-            "mass_share": (F.col("mass") + 1) / (F.sum("mass").over(of_step) + n),
-            "create_share": (F.col("creates") + 1) / (F.sum("creates").over(of_step) + n),
+            "deff": 1 + lam * F.log1p(held / 1000),
+            "mass_share": share(held),
+            "create_share": share(F.col("creates").cast("double")),
         }
     )
     rows = rows.withColumn("p0", F.greatest(F.lit(clamp), F.least(F.lit(1 - clamp), F.col("mass_share") / (F.col("mass_share") + F.col("create_share")))))
     rows = rows.withColumn("bar", F.greatest(F.col("p0") * majority / (F.col("p0") * majority + (1 - F.col("p0")) * (1 - majority)), F.lit(majority)))
     low, high = wilson(F.col("out_weight") / F.col("deff"), F.col("total") / F.col("deff"), z)
     rows = rows.withColumns({"low": low, "high": high})
-    kind = F.when(F.col("low") >= F.col("bar"), "dominated").when(F.col("high") <= 1 - majority, "dominating").otherwise("contested")
+    kind = F.when(F.col("high") <= 1 - majority, "dominating").when(F.col("low") >= F.col("bar"), "dominated").otherwise("contested")
     return rows.select("step", "domain", "mass", "deff", "p0", "bar", "low", "high", kind.alias("class"))
 
 
@@ -162,7 +179,7 @@ def wilson_diagnostics(classes: DataFrame, majority: float = 0.7) -> DataFrame:
     m = F.sum("mass")
     return classes.groupBy("step").agg(
         F.percentile("deff", F.lit(0.5)).alias("median_deff"),
-        (F.sum(F.col("mass") * F.col("deff")) / m).alias("mean_deff"),
-        (F.sum(F.col("mass") * (F.col("high") - F.col("low"))) / m).alias("mean_width"),
+        F.try_divide(F.sum(F.col("mass") * F.col("deff")), m).alias("mean_deff"),
+        F.try_divide(F.sum(F.col("mass") * (F.col("high") - F.col("low"))), m).alias("mean_width"),
         F.count_if(F.col("bar") > majority).alias("raised"),
     )

@@ -38,11 +38,12 @@ CTES = {
     "et": "SELECT DISTINCT entity_id, CAST(entity_id % 25 AS BIGINT) AS class_id FROM ev",
     "sc": """SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS entity_id, CAST(100 + n_regionkey AS BIGINT) AS class_id FROM nation
   UNION SELECT CAST(100 + r_regionkey AS BIGINT), CAST(200 AS BIGINT) FROM region""",
-    "es": """SELECT * FROM (VALUES (1, 31, 1, CAST(NULL AS INT), 'entity'), (1, 569, CAST(NULL AS INT), 2, 'time'), (2, 279, 0, 3, CAST(NULL AS STRING)),
+    "es": """SELECT * FROM (VALUES (1, 31, 1, CAST(NULL AS INT), 'entity'), (1, 569, CAST(NULL AS INT), 2, 'time'), (2, 279, 0, 3, 'some'), (1, 279, 0, 3, CAST(NULL AS STRING)), (1, -1, 0, 1, 'english'), (3, -1, 0, CAST(NULL AS INT), 'german'),
   (2, 31, 1, 1, 'entity'), (3, 1081, 0, 1, 'number'), (3, 569, 1, CAST(NULL AS INT), 'time')) t(entity_schema_id, property_id, min, max, value_constraint)""",
     "scm": "SELECT CAST(n_nationkey AS BIGINT) AS class_id, CAST(1 + n_nationkey % 3 AS INT) AS entity_schema_id FROM nation",
 }
 ORDER = list(CTES)
+RECURSIVE = {"dfold"}
 
 
 def sql(text: str, engine: str) -> str:
@@ -57,10 +58,10 @@ def sql(text: str, engine: str) -> str:
     if not need:
         return text
     ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in ORDER if n in need).replace("<us>", MICROS[engine])
-    body = text.strip()
+    body, begin = text.strip(), "WITH RECURSIVE" if need & RECURSIVE else "WITH"
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"{begin} {ctes},\n{body[5:]}"
+    return f"{begin} {ctes}\n{body}"
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -29,7 +29,7 @@ def named(s: SparkSession, d: str) -> DataFrame:
 
 
 def cls(s: SparkSession, d: str) -> DataFrame:
-    return trust.classes(s, d)
+    return trust.classes(s, d)[0]
 
 
 query("j1", "SELECT step, property_id, value FROM ser WHERE property_id IN (31, 569)")(
@@ -78,7 +78,7 @@ query("j16", "SELECT property_id, arg_max(value, step) FILTER (WHERE step <= 6)
 query("j17", "SELECT coalesce(a.class, 'unclassified') AS class_a, coalesce(b.class, 'unclassified') AS class_b, count(*) AS domains FROM (SELECT * FROM sm WHERE step = 3) a FULL JOIN (SELECT * FROM sm WHERE step = 9) b ON a.domain = b.domain GROUP BY 1, 2")(
     lambda s, d: analytics.compare_classifiers(cls(s, d).where("step = 3"), cls(s, d).where("step = 9"))
 )
-query("j18", "SELECT step, sum(CASE WHEN domain LIKE '%.example.org' THEN mass ELSE 0 END) AS mass, sum(CASE WHEN domain LIKE '%.example.org' THEN mass ELSE 0 END) / sum(mass) AS share FROM mass GROUP BY step")(
+query("j18", "SELECT step, sum(CASE WHEN domain = 'example.org' THEN mass ELSE 0 END) AS mass, sum(CASE WHEN domain = 'example.org' THEN mass ELSE 0 END) / sum(mass) AS share FROM mass GROUP BY step")(
     lambda s, d: analytics.group_share(trust.mass(s, d), suffixes=["example.org"])
 )
 query("j22", "SELECT a.step, a.value AS a, b.value AS b FROM ser a JOIN ser b ON a.step = b.step WHERE a.property_id = 31 AND b.property_id = 279 AND a.step < 8")(

@@ -102,7 +102,7 @@ CLOSE = """WITH RECURSIVE up AS (SELECT entity_id AS node, class_id AS ancestor
 
 def recursive(text: str) -> str:
     whole = adapter.sql(text.replace("WITH RECURSIVE", "WITH", 1), "duckdb")
-    return whole.replace("WITH ", "WITH RECURSIVE ", 1)
+    return whole if whole.startswith("WITH RECURSIVE") else whole.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 BAD = """,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import age, schema
+from tidemark.operators.lineage import settled
 from tidemark.plans import adapter
 from tidemark.plans.adapter import ORIGIN, STEP_US, view
 from tidemark.plans.registry import query
@@ -16,13 +17,15 @@ adapter.CTES |= {
   FROM vc v JOIN et t ON t.entity_id = v.entity_id JOIN rules r ON r.class_id = t.class_id AND r.property_id = v.property_id""",
     "d5": """SELECT DISTINCT v.step, r.entity_schema_id, v.entity_id, r.property_id, coalesce(r.min, 0) <= 0 AS within FROM vc v JOIN et t ON t.entity_id = v.entity_id JOIN rules r ON r.class_id = t.class_id
   WHERE v.action = 'CREATE' AND v.target = 'ENTITY'""",
-    "okd": """SELECT *, CASE value_constraint WHEN 'entity' THEN new_value LIKE 'Q%' WHEN 'time' THEN new_value LIKE '+%' WHEN 'number' THEN new_value <> '{}' ELSE true END AS ok_new,
-  CASE value_constraint WHEN 'entity' THEN old_value LIKE 'Q%' WHEN 'time' THEN old_value LIKE '+%' WHEN 'number' THEN old_value <> '{}' ELSE true END AS ok_old FROM d4""",
+    "okd": """SELECT *, CASE value_constraint WHEN 'entity' THEN new_value LIKE 'Q%' WHEN 'time' THEN new_value LIKE '+%' WHEN 'number' THEN new_value <> '{}'
+    WHEN 'some' THEN new_value IN ('Q7', 'Q8', 'Q9') WHEN 'german' THEN false ELSE true END AS ok_new,
+  CASE value_constraint WHEN 'entity' THEN old_value LIKE 'Q%' WHEN 'time' THEN old_value LIKE '+%' WHEN 'number' THEN old_value <> '{}'
+    WHEN 'some' THEN old_value IN ('Q7', 'Q8', 'Q9') WHEN 'german' THEN false ELSE true END AS ok_old FROM d4""",
     "mv": """SELECT step, entity_schema_id, entity_id, property_id,
   sum((CASE WHEN ok_new AND action <> 'DELETE' THEN 1 ELSE 0 END) - (CASE WHEN ok_old AND action <> 'CREATE' THEN 1 ELSE 0 END)) AS c,
   sum((CASE WHEN NOT ok_new AND action <> 'DELETE' THEN 1 ELSE 0 END) - (CASE WHEN NOT ok_old AND action <> 'CREATE' THEN 1 ELSE 0 END)) AS n FROM okd GROUP BY step, entity_schema_id, entity_id, property_id
   UNION ALL SELECT step, entity_schema_id, entity_id, property_id, 0, 0 FROM d5""",
-    "d6": """SELECT x.step, x.entity_schema_id, x.entity_id, x.property_id, compliant, noncompliant, compliant + noncompliant >= coalesce(e.min, 0) AND (e.max IS NULL OR compliant + noncompliant <= e.max) AS within
+    "d6": """SELECT x.step, x.entity_schema_id, x.entity_id, x.property_id, compliant, noncompliant, (e.min IS NULL OR compliant >= e.min) AND (e.max IS NULL OR compliant <= e.max) AS within
   FROM (SELECT s.step, m.entity_schema_id, m.entity_id, m.property_id, CAST(sum(m.c) AS BIGINT) AS compliant, CAST(sum(m.n) AS BIGINT) AS noncompliant FROM spine s JOIN mv m ON m.step <= s.step GROUP BY s.step, m.entity_schema_id, m.entity_id, m.property_id) x
   JOIN es e ON e.entity_schema_id = x.entity_schema_id AND e.property_id = x.property_id""",
     "d12": """SELECT step, entity_id, coalesce(last_bad + 1, f) AS since FROM (SELECT step, entity_id, whole, max(CASE WHEN NOT whole THEN step END) OVER w AS last_bad, min(step) OVER w AS f
@@ -39,11 +42,17 @@ adapter.CTES |= {
   ON h.step = z.step AND h.entity_id = z.entity_id""",
 }
 adapter.ORDER[:] = list(adapter.CTES)
-#: What the adapter's short constraint names stand for.
+#: What the adapter's short constraint names stand for, in ShEx's JSON form.
 NODES = {
-    "entity": '{"type": "NodeConstraint", "values": [{"type": "IriStem", "stem": "http://www.wikidata.org/entity/Q"}]}',
+    "entity": '{"type": "NodeConstraint", "values": [{"type": "IriStem", "stem": "http://www.wikidata.org/entity/"}]}',
     "time": '{"type": "NodeConstraint", "datatype": "http://www.w3.org/2001/XMLSchema#dateTime"}',
     "number": '{"type": "NodeConstraint", "datatype": "http://www.w3.org/2001/XMLSchema#decimal"}',
+    "some": """{"type": "ShapeOr", "shapeExprs": [{"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q7", "http://www.wikidata.org/entity/Q8"],
+"datatype": "http://www.w3.org/2001/XMLSchema#string"}, {"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q6"], "datatype": "http://www.w3.org/2001/XMLSchema#decimal"},
+{"type": "Shape", "expression": {"type": "EachOf", "expressions": [{"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/direct/P31", "valueExpr": {"type": "Odd"}},
+{"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/statement/P279", "valueExpr": {"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q9"]}}]}}]}""",
+    "german": '{"type": "NodeConstraint", "values": [{"type": "Language", "languageTag": "de"}, {"type": "Language", "languageTag": "en"}]}',
+    "english": '{"type": "NodeConstraint", "values": [{"type": "Language", "languageTag": "en"}]}',
 }
 
 
@@ -59,32 +68,38 @@ def parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Dat
 
 
 def edits(s: SparkSession, d: str) -> DataFrame:
-    rows = schema.schema_edits(*parts(s, d))
-    judged = schema.with_compliance(rows, "new_value", "datatype", "ok_new")
-    kind = F.when(F.col("old_value") != "{}", F.col("datatype")).otherwise(F.lit("none"))
-    return schema.with_compliance(judged.withColumn("old_kind", kind), "old_value", "old_kind", "ok_old")
+    return schema.with_compliance(schema.schema_edits(*parts(s, d)))
 
 
-def counts(s: SparkSession, d: str) -> DataFrame:
-    return schema.fulfilment_counts(edits(s, d), schema.schema_created(*parts(s, d)), rules(s, d), view(s, d, "spine"))
+def states(s: SparkSession, d: str) -> DataFrame:
+    return schema.fulfilment_states(edits(s, d), schema.schema_created(*parts(s, d)), rules(s, d))
+
+
+def spine(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "spine")
 
 
 query("d3", "SELECT revision_id, entity_schema_id, ok_new, ok_old FROM okd")(lambda s, d: edits(s, d).select("revision_id", "entity_schema_id", "ok_new", "ok_old"))
 query("d4", "SELECT revision_id, entity_schema_id, entity_id, property_id, action FROM d4")(lambda s, d: schema.schema_edits(*parts(s, d)).select("revision_id", "entity_schema_id", "entity_id", "property_id", "action"))
 query("d5", "SELECT * FROM d5")(lambda s, d: schema.schema_created(*parts(s, d)))
-query("d6", "SELECT * FROM d6")(counts)
+query("d6", "SELECT * FROM d6")(lambda s, d: schema.fulfilment_counts(states(s, d), spine(s, d)))
 OK = "bool_and(noncompliant = 0 AND within <o>)"
 D7 = "SELECT step, avg(share) AS value FROM (SELECT step, entity_id, avg(CASE WHEN ok THEN 1.0e0 ELSE 0 END) AS share FROM (SELECT step, entity_id, property_id, " + OK + " AS ok FROM d6 GROUP BY step, entity_id, property_id) x GROUP BY step, entity_id) y GROUP BY step"
 D9 = "SELECT step, entity_schema_id, avg(share) AS value FROM (SELECT step, entity_schema_id, entity_id, avg(CASE WHEN noncompliant = 0 AND within <o> THEN 1.0e0 ELSE 0 END) AS share FROM d6 GROUP BY step, entity_schema_id, entity_id) x GROUP BY step, entity_schema_id"
-query("d7", D7.replace("<o>", ""))(lambda s, d: schema.fulfilment(counts(s, d)))
-query("d8", D7.replace("<o>", "AND compliant >= 1"))(lambda s, d: schema.fulfilment(counts(s, d), optional=True))
-query("d9", D9.replace("<o>", ""))(lambda s, d: schema.fulfilment_per_schema(counts(s, d)))
-query("d10", D9.replace("<o>", "AND compliant >= 1"))(lambda s, d: schema.fulfilment_per_schema(counts(s, d), optional=True))
-query("d11", "SELECT step, entity_schema_id, property_id, avg(CASE WHEN compliant > 0 OR noncompliant > 0 THEN 1.0e0 ELSE 0 END) AS value FROM d6 GROUP BY step, entity_schema_id, property_id")(lambda s, d: schema.property_occurrence(counts(s, d)))
-query("d12", "SELECT * FROM d12")(lambda s, d: schema.time_complete(counts(s, d)))
-query("d13", "SELECT step, value AS stored, value + 1 AS again FROM (" + D7.replace("<o>", "") + ") z WHERE step = 9")(
-    lambda s, d: schema.replay(schema.fulfilment(counts(s, d)), schema.fulfilment(counts(s, d)).withColumn("value", F.when(F.col("step") == 9, F.col("value") + 1).otherwise(F.col("value"))))
-)
+query("d7", D7.replace("<o>", ""))(lambda s, d: schema.fulfilment(states(s, d), spine(s, d)))
+query("d8", D7.replace("<o>", "AND compliant >= 1"))(lambda s, d: schema.fulfilment(states(s, d), spine(s, d), optional=True))
+query("d9", D9.replace("<o>", ""))(lambda s, d: schema.fulfilment_per_schema(states(s, d), spine(s, d)))
+query("d10", D9.replace("<o>", "AND compliant >= 1"))(lambda s, d: schema.fulfilment_per_schema(states(s, d), spine(s, d), optional=True))
+query("d11", "SELECT step, entity_schema_id, property_id, avg(CASE WHEN compliant > 0 OR noncompliant > 0 THEN 1.0e0 ELSE 0 END) AS value FROM d6 GROUP BY step, entity_schema_id, property_id")(lambda s, d: schema.property_occurrence(states(s, d), spine(s, d)))
+query("d12", "SELECT * FROM d12")(lambda s, d: schema.time_complete(states(s, d), spine(s, d)))
+@query("d13", "SELECT step, value AS stored, value + 1 AS again FROM (" + D7.replace("<o>", "") + ") z WHERE step = 9")
+def d13(s: SparkSession, d: str) -> DataFrame:
+    """A stored series against one that differs in its last step."""
+    series = settled(schema.fulfilment(states(s, d), spine(s, d)))
+    return schema.replay(series, series.withColumn("value", F.when(F.col("step") == 9, F.col("value") + 1).otherwise(F.col("value"))))
+
+
+#: Fixed value: a small ShExJ document.
 SHEX = """{"type": "Schema", "start": "s", "shapes": [{"type": "Shape", "id": "s", "extra": ["http://www.wikidata.org/prop/direct/P5"], "expression": {"type": "EachOf", "expressions": [
 {"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/direct/P31", "valueExpr": {"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q5"]}},
 {"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/P569", "min": 0, "max": -1},
@@ -130,7 +145,7 @@ def happened(s: SparkSession, d: str) -> DataFrame:
 
 
 def current(s: SparkSession, d: str) -> DataFrame:
-    return age.currency(happened(s, d), schema.time_complete(counts(s, d)), view(s, d, "spine"), ORIGIN, STEP_US)
+    return age.currency(happened(s, d), schema.complete_states(states(s, d)), spine(s, d), ORIGIN, STEP_US)
 
 
 query("e6", "SELECT entity_schema_id, property_id, CAST(rank AS INT) AS rank FROM (SELECT e.*, r.rank, row_number() OVER (PARTITION BY entity_schema_id ORDER BY rank, e.property_id) AS p FROM es e JOIN (VALUES (569, 1), (1081, 2)) r(property_id, rank) ON r.property_id = e.property_id) x WHERE p = 1")(

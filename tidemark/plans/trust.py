@@ -17,7 +17,7 @@ LAST = 9
 MARKS = trust.discard_steps(10, 3, 9)  # 3, 6, 9
 
 adapter.CTES |= {
-    "rd": """SELECT *, regexp_extract(reference, '://([^/?#]+)', 1) AS domain, CASE WHEN action = 'CREATE' THEN 1 ELSE -1 END AS sign FROM rc""",
+    "rd": """SELECT *, regexp_extract(regexp_extract(reference, '://([^/?#:]+)', 1), '[^.]+[.][^.]+$') AS domain, CASE WHEN action = 'CREATE' THEN 1 ELSE -1 END AS sign FROM rc""",
     "ses0": "SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY statement ORDER BY us, revision_id) > 172800000000 THEN 1 ELSE 0 END AS isnew FROM rd",
     "ses": "SELECT *, CAST(sum(isnew) OVER (PARTITION BY statement ORDER BY us, revision_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM ses0",
     "net": "SELECT statement, session, reference, domain, CAST(sum(sign) AS BIGINT) AS net FROM ses GROUP BY statement, session, reference, domain",
@@ -28,7 +28,13 @@ adapter.CTES |= {
   ON o.statement = n.statement AND o.session = n.session AND o.domain <> n.domain JOIN clo c ON c.statement = o.statement AND c.session = o.session GROUP BY c.step, o.domain, n.domain""",
     "ends": "SELECT step, src AS domain, weight AS o, 0 AS i FROM pref UNION ALL SELECT step, dst, 0, weight FROM pref",
     "flow": """SELECT s.step, e.domain, CAST(sum(e.o) AS BIGINT) AS out_weight, CAST(sum(e.i) AS BIGINT) AS in_weight FROM spine s JOIN ends e ON e.step <= s.step GROUP BY s.step, e.domain""",
-    "mass": """SELECT s.step, r.domain, CAST(sum(CASE WHEN r.action = 'CREATE' THEN 1 ELSE 0 END) AS DOUBLE) AS mass FROM spine s JOIN rd r ON r.step <= s.step GROUP BY s.step, r.domain""",
+    "dmove": """SELECT s.step, k.domain, CAST(coalesce(sum(r.sign), 0) AS BIGINT) AS d, CAST(count(CASE WHEN r.sign > 0 THEN 1 END) AS BIGINT) AS c FROM spine s CROSS JOIN (SELECT DISTINCT domain FROM rd) k
+  LEFT JOIN rd r ON r.step = s.step AND r.domain = k.domain GROUP BY s.step, k.domain""",
+    "dfold": """SELECT step, domain, CASE WHEN step IN (3, 6, 9) AND d <= 1 THEN 0 ELSE d END AS v, CASE WHEN step IN (3, 6, 9) AND d <= 1 THEN 0 ELSE c END AS c FROM dmove g WHERE step = 0
+  UNION ALL SELECT g.step, g.domain, CASE WHEN g.step IN (3, 6, 9) AND f.v + g.d <= 1 THEN 0 ELSE f.v + g.d END, CASE WHEN g.step IN (3, 6, 9) AND f.v + g.d <= 1 THEN 0 ELSE f.c + g.c END
+  FROM dfold f JOIN dmove g ON g.step = f.step + 1 AND g.domain = f.domain""",
+    "mass": "SELECT step, domain, CAST(v AS DOUBLE) AS mass FROM dfold WHERE v <> 0",
+    "tot": "SELECT s.step, CAST(sum(r.sign) AS DOUBLE) AS value FROM spine s JOIN rd r ON r.step <= s.step GROUP BY s.step",
     "sm": """SELECT f.step, f.domain, m.mass, CASE WHEN out_weight >= 0.6 * (out_weight + in_weight) THEN 'dominated' WHEN in_weight >= 0.6 * (out_weight + in_weight) THEN 'dominating' ELSE 'contested' END AS class
   FROM flow f JOIN mass m ON m.step = f.step AND m.domain = f.domain WHERE m.mass > 0 AND out_weight + in_weight > 0 AND out_weight + in_weight >= 0.05 * m.mass""",
     "edges": "SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM pref WHERE step <= 9 GROUP BY src, dst",
@@ -38,7 +44,7 @@ adapter.ORDER[:] = list(adapter.CTES)
 
 
 def refs(s: SparkSession, d: str) -> DataFrame:
-    return trust.edit_stream(view(s, d, "rc").withColumn("domain", F.regexp_extract("reference", "://([^/?#]+)", 1)))
+    return trust.edit_stream(domains.with_domain(view(s, d, "rc")))
 
 
 def sessions(s: SparkSession, d: str) -> DataFrame:
@@ -49,19 +55,30 @@ def closes(s: SparkSession, d: str) -> DataFrame:
     return trust.session_close(sessions(s, d), GAP, ORIGIN, STEP_US)
 
 
-def prefs(s: SparkSession, d: str) -> DataFrame:
-    x = sessions(s, d)
+def prefs_of(r: DataFrame) -> DataFrame:
+    x = settled(trust.sessionize(r, GAP))
     return trust.preferences(trust.session_net(x), trust.session_close(x, GAP, ORIGIN, STEP_US))
 
 
+def prefs(s: SparkSession, d: str) -> DataFrame:
+    return prefs_of(refs(s, d))
+
+
 def spine(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "spine")
 
 
+def counts_of(r: DataFrame, spine: DataFrame) -> DataFrame:
+    return trust.domain_counts(r.select("step", "domain", F.col("sign").cast("long").alias("d"), (F.col("sign") > 0).cast("long").alias("c")), spine, MARKS)
+
+
+def mass_of(counts: DataFrame) -> DataFrame:
+    """Net references of each domain, without those that were discarded."""
+    return counts.where("count <> 0").select("step", "domain", F.col("count").cast("double").alias("mass"))
+
+
 def mass(s: SparkSession, d: str) -> DataFrame:
-    """Creations so far of each domain, from its first reference on."""
-    by = refs(s, d).groupBy("step", "domain").agg(F.count_if(F.col("action") == "CREATE").alias("d"))
-    return counters.running(by, spine(s, d), ["domain"]).withColumnRenamed("value", "mass")
+    return mass_of(counts_of(refs(s, d), spine(s, d)))
 
 
 def mass9(s: SparkSession, d: str) -> DataFrame:
@@ -87,28 +104,6 @@ def h3(s, d):
     return domains.with_domain(view(s, d, "rc").select("reference").distinct()).select("reference", "domain")
 
 
-H4 = """WITH RECURSIVE g AS (SELECT s.step, k.domain, CAST(coalesce(sum(r.sign), 0) AS BIGINT) AS d FROM spine s CROSS JOIN (SELECT DISTINCT domain FROM rd) k
-  LEFT JOIN rd r ON r.step = s.step AND r.domain = k.domain GROUP BY s.step, k.domain),
-fold AS (SELECT step, domain, CASE WHEN step IN (3, 6, 9) AND d <= 1 THEN 0 ELSE d END AS v FROM g WHERE step = 0
-  UNION ALL SELECT g.step, g.domain, CASE WHEN g.step IN (3, 6, 9) AND f.v + g.d <= 1 THEN 0 ELSE f.v + g.d END FROM fold f JOIN g ON g.step = f.step + 1 AND g.domain = f.domain)
-"""
-TOTALS = "tot AS (SELECT s.step, CAST(sum(r.sign) AS DOUBLE) AS value FROM spine s JOIN rd r ON r.step <= s.step GROUP BY s.step)\n"
-
-
-def recursive(text: str) -> str:
-    """The recursive CTE after the adapter's, with RECURSIVE said first."""
-    whole = adapter.sql(text.replace("WITH RECURSIVE", "WITH", 1), "duckdb")
-    return whole.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
-def kept(s: SparkSession, d: str) -> DataFrame:
-    return trust.domain_counts(refs(s, d).withColumn("d", F.col("sign").cast("long")), spine(s, d), MARKS)
-
-
-def totals(s: SparkSession, d: str) -> DataFrame:
-    return counters.created_less_deleted(refs(s, d), spine(s, d))
-
-
 def raw_query(name: str, sql: str):
     from tidemark.plans import registry
 
@@ -120,18 +115,20 @@ def raw_query(name: str, sql: str):
     return register
 
 
-raw_query("h4", recursive(H4 + "SELECT step, domain, v AS count FROM fold WHERE v <> 0"))(lambda s, d: kept(s, d))
-raw_query("h5", recursive(H4.rstrip() + ",\n" + TOTALS + "SELECT f.step, f.domain, f.v AS count, f.v / t.value AS fraction FROM fold f JOIN tot t ON t.step = f.step WHERE f.v <> 0"))(
-    lambda s, d: trust.domain_fractions(kept(s, d), totals(s, d))
-)
-raw_query(
+def kept(s: SparkSession, d: str) -> DataFrame:
+    return counts_of(refs(s, d), spine(s, d)).where("count <> 0").select("step", "domain", "count")
+
+
+def totals(s: SparkSession, d: str) -> DataFrame:
+    return counters.created_less_deleted(refs(s, d), spine(s, d))
+
+
+query("h4", "SELECT step, domain, v AS count FROM dfold WHERE v <> 0")(kept)
+query("h5", "SELECT f.step, f.domain, f.v AS count, f.v / t.value AS fraction FROM dfold f JOIN tot t ON t.step = f.step WHERE f.v <> 0")(lambda s, d: trust.domain_fractions(kept(s, d), totals(s, d)))
+query(
     "h5_tail",
-    recursive(
-        H4.rstrip()
-        + ",\n"
-        + TOTALS
-        + "SELECT t.step, t.value AS total, t.value - coalesce(h.held, 0) AS tail, (t.value - coalesce(h.held, 0)) / t.value AS tail_fraction FROM tot t LEFT JOIN (SELECT step, CAST(sum(v) AS DOUBLE) AS held FROM fold GROUP BY step) h ON h.step = t.step"
-    ),
+    """SELECT t.step, t.value AS total, t.value - coalesce(h.held, 0) AS tail, (t.value - coalesce(h.held, 0)) / t.value AS tail_fraction
+FROM tot t LEFT JOIN (SELECT step, CAST(sum(v) AS DOUBLE) AS held FROM dfold GROUP BY step) h ON h.step = t.step""",
 )(lambda s, d: trust.tail(kept(s, d), totals(s, d)))
 query("h6", "SELECT statement, us, revision_id, reference, sign FROM rd")(lambda s, d: refs(s, d).select("statement", "us", "revision_id", "reference", "sign"))
 query("h7", "SELECT revision_id, statement, session FROM ses")(lambda s, d: sessions(s, d).select("revision_id", "statement", "session"))
@@ -147,55 +144,65 @@ FROM b WINDOW w AS (ORDER BY step)""",
 query("h11", "SELECT * FROM flow")(lambda s, d: trust.flows(prefs(s, d), spine(s, d)))
 
 
-def classes(s: SparkSession, d: str) -> DataFrame:
-    return trust.supermajority(trust.flows(prefs(s, d), spine(s, d)), mass(s, d))
+def flow_and_counts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Flows, and counts per domain; what both read is settled once."""
+    r = settled(refs(s, d).select("statement", "us", "revision_id", "reference", "domain", "sign", "step"))
+    return trust.flows(prefs_of(r), spine(s, d)), settled(counts_of(r, spine(s, d)))
 
 
-query("h12", "SELECT * FROM sm")(classes)
+def classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Classes by supermajority, and the masses."""
+    flow, counts = flow_and_counts(s, d)
+    return trust.supermajority(flow, mass_of(counts)), mass_of(counts)
+
+
+query("h12", "SELECT * FROM sm")(lambda s, d: classes(s, d)[0])
 query(
     "h12_fractions",
-    """WITH t AS (SELECT step, sum(mass) AS total FROM mass GROUP BY step), b AS (SELECT sm.step, class, sum(mass) / max(t.total) AS fraction FROM sm JOIN t ON t.step = sm.step GROUP BY sm.step, class)
+    """WITH t AS (SELECT step, sum(mass) AS total FROM mass GROUP BY step), b AS (SELECT sm.step, class, CASE WHEN max(t.total) > 0 THEN sum(mass) / max(t.total) ELSE 0 END AS fraction FROM sm JOIN t ON t.step = sm.step GROUP BY sm.step, class)
 SELECT * FROM b UNION ALL SELECT t.step, 'unclassified', greatest(0, 1 - coalesce((SELECT sum(fraction) FROM b WHERE b.step = t.step), 0)) FROM t""",
-)(lambda s, d: trust.class_fractions(classes(s, d), mass(s, d)))
+)(lambda s, d: trust.class_fractions(*classes(s, d)))
 query(
     "h13",
-    """SELECT m.step, m.domain, m.mass, CAST(m.rank AS INT) AS rank, CASE sm.class WHEN 'dominated' THEN 0 WHEN 'contested' THEN 1 WHEN 'dominating' THEN 2 ELSE -1 END AS class_value
+    """SELECT m.step, m.domain, m.mass, CAST(m.rank AS INT) AS rank, CASE sm.class WHEN 'dominated' THEN -1 WHEN 'contested' THEN 0 WHEN 'dominating' THEN 1 ELSE 2 END AS class_value
 FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY mass DESC, domain) AS rank FROM mass) m LEFT JOIN sm ON sm.step = m.step AND sm.domain = m.domain WHERE m.rank <= 10""",
-)(lambda s, d: trust.top_classes(classes(s, d), mass(s, d), 10))
+)(lambda s, d: trust.top_classes(*classes(s, d), 10))
 
-W = """low_high AS (SELECT *, out_weight / deff AS k, (out_weight + in_weight) / deff AS n FROM x),
+W = """low_high AS (SELECT *, out_weight / deff AS k, (out_weight + in_weight) / deff AS n, 1.645e0 * 1.645e0 AS z2 FROM x),
 w AS (SELECT *, k / n AS p FROM low_high),
-w2 AS (SELECT *, (p + 3.8416 / (2 * n)) AS c, 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n) AS s FROM w),
-w3 AS (SELECT *, greatest((c - s) / (1 + 3.8416 / n), 0) AS low, least((c + s) / (1 + 3.8416 / n), 1) AS high FROM w2)
+w2 AS (SELECT *, (p + z2 / (2 * n)) AS c, 1.645e0 * sqrt((p * (1 - p) + z2 / (4 * n)) / n) AS s FROM w),
+w3 AS (SELECT *, greatest((c - s) / (1 + z2 / n), 0) AS low, least((c + s) / (1 + z2 / n), 1) AS high FROM w2)
 """
 H15 = (
-    """WITH v AS (SELECT f.*, m.mass, c.creates FROM flow f JOIN mass m ON m.step = f.step AND m.domain = f.domain
-  LEFT JOIN (SELECT step, domain, mass AS creates FROM mass) c ON c.step = f.step AND c.domain = f.domain WHERE out_weight + in_weight > 0 AND m.mass > 0),
-y AS (SELECT *, 1 + 0.5 * ln(1 + mass / 1000) AS deff, (mass + 1) / (sum(mass) OVER q + count(*) OVER q) AS ms, (creates + 1) / (sum(creates) OVER q + count(*) OVER q) AS cs FROM v WINDOW q AS (PARTITION BY step)),
-z AS (SELECT *, greatest(0.02, least(0.98, ms / (ms + cs))) AS p0 FROM y),
-x AS (SELECT *, greatest(p0 * 0.7e0 / (p0 * 0.7e0 + (1 - p0) * 0.3e0), 0.7) AS bar FROM z),
+    """WITH v AS (SELECT f.*, greatest(coalesce(m.v, 0), 0) AS held, coalesce(m.v, 0) AS mass, coalesce(m.c, 0) AS creates FROM flow f LEFT JOIN dfold m ON m.step = f.step AND m.domain = f.domain WHERE out_weight + in_weight > 0),
+y AS (SELECT *, 1 + ln(1 + held / 1000.0e0) AS deff, CASE WHEN sum(held) OVER q > 0 THEN held / CAST(sum(held) OVER q AS DOUBLE) ELSE 0 END + 1.0e0 / count(*) OVER q AS ms,
+  CASE WHEN sum(creates) OVER q > 0 THEN creates / CAST(sum(creates) OVER q AS DOUBLE) ELSE 0 END + 1.0e0 / count(*) OVER q AS cs FROM v WINDOW q AS (PARTITION BY step)),
+z AS (SELECT *, greatest(0.02e0, least(0.98e0, ms / (ms + cs))) AS p0 FROM y),
+x AS (SELECT *, greatest(p0 * 0.7e0 / (p0 * 0.7e0 + (1 - p0) * 0.3e0), 0.7e0) AS bar FROM z),
 """
     + W
 )
 
 
 def wilson_classes(s: SparkSession, d: str) -> DataFrame:
-    m = mass(s, d)
-    return trust.flow_wilson(trust.flows(prefs(s, d), spine(s, d)), m, m.withColumnRenamed("mass", "creates"))
+    flow, counts = flow_and_counts(s, d)
+    return trust.flow_wilson(flow, mass_of(counts), counts.select("step", "domain", "creates"))
 
 
 query("h14", H15 + "SELECT step, domain, round(low, 9) AS low, round(high, 9) AS high FROM w3")(lambda s, d: wilson_classes(s, d).select("step", "domain", F.round("low", 9).alias("low"), F.round("high", 9).alias("high")))
 query(
     "h15",
-    H15 + "SELECT step, domain, round(p0, 9) AS p0, round(bar, 9) AS bar, CASE WHEN low >= bar THEN 'dominated' WHEN high <= 0.3 THEN 'dominating' ELSE 'contested' END AS class FROM w3",
+    H15 + "SELECT step, domain, round(p0, 9) AS p0, round(bar, 9) AS bar, CASE WHEN high <= 1 - 0.7e0 THEN 'dominating' WHEN low >= bar THEN 'dominated' ELSE 'contested' END AS class FROM w3",
 )(lambda s, d: wilson_classes(s, d).select("step", "domain", F.round("p0", 9).alias("p0"), F.round("bar", 9).alias("bar"), "class"))
-query("h15_diagnostics")(lambda s, d: trust.wilson_diagnostics(wilson_classes(s, d)))
-raw_query(
-    "h16",
-    recursive(
-        H4.replace("sum(r.sign)", "sum(CASE WHEN r.sign > 0 THEN 1 ELSE 0 END)") + "SELECT step, domain, v AS count FROM fold WHERE v <> 0"
-    ),
-)(lambda s, d: trust.domain_counts(refs(s, d).withColumn("d", (F.col("sign") > 0).cast("long")), spine(s, d), MARKS))
+query(
+    "h15_diagnostics",
+    H15
+    + """SELECT step, round(median(deff), 9) AS median_deff, round(sum(mass * deff) / nullif(sum(mass), 0), 9) AS mean_deff, round(sum(mass * (high - low)) / nullif(sum(mass), 0), 9) AS mean_width,
+count(CASE WHEN bar > 0.7e0 THEN 1 END) AS raised FROM w3 GROUP BY step""",
+)(lambda s, d: trust.wilson_diagnostics(wilson_classes(s, d)).select("step", *(F.round(c, 9).alias(c) for c in ("median_deff", "mean_deff", "mean_width")), "raised"))
+query("h16", "SELECT step, domain, c AS count FROM dfold WHERE c <> 0")(
+    lambda s, d: counts_of(refs(s, d), spine(s, d)).where("creates <> 0").select("step", "domain", F.col("creates").alias("count"))
+)
 query(
     "h17",
     """WITH fe AS (SELECT src, dst, min(step) AS step FROM pref GROUP BY src, dst), fv AS (SELECT v, min(step) AS step FROM (SELECT src AS v, step FROM pref UNION ALL SELECT dst, step FROM pref) GROUP BY v),
