@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -148,6 +149,17 @@ def diff(old: dict | None, new: dict) -> list[dict]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, in order, with about ``size`` bytes of text or one row: a batch may hold thousands of long revisions."""
+    for batch in batches:
+        ends, start = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_numpy().cumsum(), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(int(ends.searchsorted(before + size, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def changes(revisions: DataFrame) -> DataFrame:
     """All change rows of revisions (entity_id, revision_id, ts, deleted, text), and a row of kind revision for each that is stored."""
 
@@ -155,7 +167,7 @@ def changes(revisions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity, old, previous, label = None, None, None, None
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for r in batch.to_pylist():
                 if r["entity_id"] != entity:

@@ -50,6 +50,18 @@ def flatten_schema(schema_id: int, text: str) -> list[tuple[int, int, int | None
     return out
 
 
+def flatten_schemas(documents: DataFrame) -> DataFrame:
+    """The rows of all documents (entity_schema_id, text); one that can't be read is an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [r for i, text in zip(part["entity_schema_id"], part["text"], strict=True) for r in flatten_schema(int(i), text)]
+            out = pd.DataFrame(rows, columns=["entity_schema_id", "property_id", "min", "max", "value_constraint"])
+            yield out.astype({"min": "Int32", "max": "Int32"})
+
+    return documents.select("entity_schema_id", "text").mapInPandas(run, "entity_schema_id int, property_id int, min int, max int, value_constraint string")
+
+
 def merge_schemas(rows: DataFrame) -> DataFrame:
     """One row per (schema, property): the tightest bounds (-1 is unbounded) and all value constraints; rows that constrain nothing go."""
     top = F.min(F.when(F.col("max") >= 0, F.col("max")))

@@ -79,34 +79,56 @@ query(
 )(lambda s, d: of_kind(s, d, "sitelink").select("revision_id", "action"))
 
 
-def one_diff(s: SparkSession, old: dict | None, new: dict) -> DataFrame:
-    rows = [(r["kind"], r["target"], r["action"], r["property_id"], r["value_id"], r["change_target"], r["old_value"], r["new_value"]) for r in extract.diff(extract.flatten(old) if old else None, extract.flatten(new))]
-    return s.createDataFrame(rows, "kind string, target string, action string, property_id int, value_id string, change_target string, old_value string, new_value string")
+RICH = """WITH r0 AS (SELECT event_id, user_id, us, event_id % 7 < 4 AS has, concat('+', CAST(event_id % 3 AS STRING)) AS amount, concat('Q', CAST(event_id % 2 AS STRING)) AS unit, 1 + event_id % 4 AS m, event_id % 3 AS g FROM ev),
+r AS (SELECT *, row_number() OVER w AS n, coalesce(lag(has) OVER w, false) AS phas, lag(amount) OVER w AS pamount, lag(unit) OVER w AS punit, lag(m) OVER w AS pm, lag(g) OVER w AS pg FROM r0 WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+"""
 
 
-def quantity(amount: str, unit: str, sid: str = "a") -> dict:
-    return {"id": sid, "mainsnak": {"snaktype": "value", "datavalue": {"type": "quantity", "value": {"amount": amount, "unit": f"http://www.wikidata.org/entity/{unit}"}}}}
+def rich_revisions(s: SparkSession, d: str) -> DataFrame:
+    """Revisions in which a quantity (P7) comes and goes and changes its unit, and a time (P9) and a place (P10) are written in several ways."""
+    ev, i = view(s, d, "ev"), F.col("event_id")
+    snak = '{"snaktype":"value","datavalue":{"type":"%s","value":{%s}}}'
+    amount = F.format_string('"amount":"+%d","unit":"http://www.wikidata.org/entity/Q%d"', i % 3, i % 2)
+    time = F.format_string('"time":"+%s2013-%02d-01T00:00:00Z","before":%d', F.when(i % 2 == 0, "0000000").otherwise(""), 1 + i % 4, i % 2)
+    place = F.format_string('"latitude":%d.5,"longitude":2,"altitude":null', i % 3)
 
+    def claim(pid: str, kind: str, value, more=F.lit("")):
+        head, tail = (snak % (kind, "\0")).split("\0")
+        return F.concat(F.lit(f'"{pid}":[{{"id":"{pid}$1","rank":"normal","mainsnak":{head}'), value, F.lit(tail), more, F.lit("}]"))
 
-query("b5", "SELECT 'value' AS kind, 'PROPERTY' AS target, 'CREATE' AS action, 7 AS property_id UNION ALL SELECT 'metadata', 'PROPERTY_DATATYPE_METADATA', 'CREATE', 7 UNION ALL SELECT 'rank', 'RANK', 'CREATE', 7")(
-    lambda s, d: one_diff(s, {"claims": {}}, {"claims": {"P7": [quantity("+1", "Q1")]}}).select("kind", "target", "action", "property_id")
-)
-query("b6", "SELECT 'value' AS kind, 'PROPERTY' AS target, 'DELETE' AS action, 7 AS property_id UNION ALL SELECT 'metadata', 'PROPERTY_DATATYPE_METADATA', 'DELETE', 7 UNION ALL SELECT 'rank', 'RANK', 'DELETE', 7")(
-    lambda s, d: one_diff(s, {"claims": {"P7": [quantity("+1", "Q1")]}}, {"claims": {}}).select("kind", "target", "action", "property_id")
-)
-query("b11", "SELECT 'UPDATE' AS action, 'unit' AS change_target, '\"Q1\"' AS old_value, '\"Q2\"' AS new_value")(
-    lambda s, d: one_diff(s, {"claims": {"P7": [quantity("+1", "Q1")]}}, {"claims": {"P7": [quantity("+1", "Q2")]}}).where("kind = 'metadata'").select("action", "change_target", "old_value", "new_value")
+    head, tail = (snak % ("time", "\0")).split("\0")
+    qualifier = F.concat(F.lit(',"qualifiers":{"P580":[' + head), time, F.lit(tail + "]}"))
+    claims = F.concat_ws(",", F.when(i % 7 < 4, claim("P7", "quantity", amount)), claim("P9", "time", time, qualifier), claim("P10", "globecoordinate", place))
+    return ev.select(F.col("user_id").alias("entity_id"), i.alias("revision_id"), F.timestamp_micros("us").alias("ts"), F.lit(False).alias("deleted"), F.concat(F.lit('{"claims":{'), claims, F.lit("}}")).alias("text"))
+
+
+def rich(s: SparkSession, d: str, prop: int, *kinds: str) -> DataFrame:
+    return extract.changes(rich_revisions(s, d)).where((F.col("property_id") == prop) & F.col("kind").isin(*kinds))
+
+
+query(
+    "b5",
+    RICH
+    + """SELECT event_id AS revision_id, 'value' AS kind, CASE WHEN n = 1 THEN 'ENTITY' ELSE 'PROPERTY' END AS target, concat('"', amount, '"') AS new_value FROM r WHERE has AND NOT phas
+UNION ALL SELECT event_id, 'metadata', 'PROPERTY_DATATYPE_METADATA', concat('"', unit, '"') FROM r WHERE has AND NOT phas UNION ALL SELECT event_id, 'rank', 'RANK', '"normal"' FROM r WHERE has AND NOT phas""",
+)(lambda s, d: rich(s, d, 7, "value", "metadata", "rank").where("action = 'CREATE'").select("revision_id", "kind", "target", "new_value"))
+query(
+    "b6",
+    RICH
+    + """SELECT event_id AS revision_id, 'value' AS kind, 'PROPERTY' AS target, concat('"', pamount, '"') AS old_value FROM r WHERE phas AND NOT has
+UNION ALL SELECT event_id, 'metadata', 'PROPERTY_DATATYPE_METADATA', concat('"', punit, '"') FROM r WHERE phas AND NOT has UNION ALL SELECT event_id, 'rank', 'RANK', '"normal"' FROM r WHERE phas AND NOT has""",
+)(lambda s, d: rich(s, d, 7, "value", "metadata", "rank").where("action = 'DELETE'").select("revision_id", "kind", "target", "old_value"))
+query("b11", RICH + """SELECT event_id AS revision_id, 'unit' AS change_target, concat('"', punit, '"') AS old_value, concat('"', unit, '"') AS new_value FROM r WHERE has AND phas AND unit <> punit""")(
+    lambda s, d: rich(s, d, 7, "metadata").where("action = 'UPDATE'").select("revision_id", "change_target", "old_value", "new_value")
 )
-query("b13", "SELECT '+2013-05-01T00:00:00Z' AS time, 'Q5' AS id")(
-    lambda s, d: s.createDataFrame([(extract.homogenize({"time": "+00002013-05-01T00:00:00Z", "before": 0})["time"], extract.homogenize({"numeric-id": 5})["id"])], "time string, id string")
+query("b13", RICH + """SELECT event_id AS revision_id, concat('"+2013-0', CAST(m AS STRING), '-01T00:00:00Z"') AS new_value FROM r WHERE n = 1 OR m <> pm""")(
+    lambda s, d: rich(s, d, 9, "value").select("revision_id", "new_value")
 )
-query("b14", "SELECT true AS same")(
-    lambda s, d: s.createDataFrame(
-        [(extract.value_hash({"snaktype": "value", "datavalue": {"value": {"time": "+0002013-01-01T00:00:00Z"}}}) == extract.value_hash({"snaktype": "value", "datavalue": {"value": {"time": "+2013-01-01T00:00:00Z", "before": 1}}}),)], "same boolean"
-    )
+query("b14", RICH + "SELECT event_id AS revision_id, 'CREATE' AS action FROM r WHERE n = 1 OR m <> pm UNION ALL SELECT event_id, 'DELETE' FROM r WHERE n > 1 AND m <> pm")(
+    lambda s, d: rich(s, d, 9, "qualifier").select("revision_id", "action")
 )
-query("b15", "SELECT '{\"latitude\":1.5,\"longitude\":2}' AS value, 'globecoordinate' AS datatype")(
-    lambda s, d: s.createDataFrame([extract.parse_datavalue({"snaktype": "value", "datavalue": {"type": "globecoordinate", "value": {"latitude": 1.5, "longitude": 2, "altitude": None}}})[:2]], "value string, datatype string")
+query("b15", RICH + """SELECT event_id AS revision_id, concat('{"latitude":', CAST(g AS STRING), '.5,"longitude":2}') AS new_value, 'globecoordinate' AS new_datatype FROM r WHERE n = 1 OR g <> pg""")(
+    lambda s, d: rich(s, d, 10, "value").select("revision_id", "new_value", "new_datatype")
 )
 query("b16", "SELECT revision_id, CAST(levenshtein(old_value, new_value) AS DOUBLE) AS size FROM vc WHERE datatype = 'wikibase-entityid'")(
     lambda s, d: view(s, d, "vc").where("datatype = 'wikibase-entityid'").select("revision_id", values.magnitude(F.col("datatype"), F.col("old_value"), F.col("new_value")).alias("size"))

@@ -107,13 +107,20 @@ SHEX = """{"type": "Schema", "start": "s", "shapes": [{"type": "Shape", "id": "s
 {"type": "TripleConstraint", "predicate": "http://www.wikidata.org/prop/direct/P569", "min": 0, "max": 2}]}}]}"""
 
 
-@query("d1")
+D1 = """SELECT n_nationkey AS entity_schema_id, 31 AS property_id, 1 AS min, 1 AS max, concat('{"type": "NodeConstraint", "values": ["http://www.wikidata.org/entity/Q', CAST(n_nationkey AS STRING), '"]}') AS value_constraint FROM nation
+UNION ALL SELECT n_nationkey, 569, 0, -1, NULL FROM nation UNION ALL SELECT n_nationkey, 569, 0, 2, NULL FROM nation"""
+
+
+@query("d1", D1)
 def d1(s: SparkSession, d: str) -> DataFrame:
-    """Rows of a small ShExJ document."""
-    return s.createDataFrame(schema.flatten_schema(10, SHEX), "entity_schema_id int, property_id int, min int, max int, value_constraint string")
+    """Rows of ShExJ documents, one per nation, that differ in the value they ask for."""
+    text = F.replace(F.lit(SHEX), F.lit("entity/Q5"), F.concat(F.lit("entity/Q"), F.col("n_nationkey").cast("string")))
+    return schema.flatten_schemas(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("entity_schema_id"), text.alias("text")))
 
 
-query("d2", "SELECT 10 AS entity_schema_id, * FROM (VALUES (31, 1, 1), (569, 0, 2)) t(property_id, min, max)")(lambda s, d: schema.merge_schemas(d1(s, d)).drop("value_constraint"))
+query("d2", f"SELECT entity_schema_id, property_id, max(min) AS min, min(CASE WHEN max >= 0 THEN max END) AS max, max(value_constraint) AS value_constraint FROM ({D1}) x GROUP BY entity_schema_id, property_id")(
+    lambda s, d: schema.merge_schemas(d1(s, d))
+)
 
 
 def alive(s: SparkSession, d: str) -> DataFrame:

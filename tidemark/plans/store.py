@@ -19,7 +19,11 @@ from tidemark.streaming import streams
 
 def folder(s: SparkSession, name: str) -> str:
     """A new folder for written results: in the shared folder where one is set."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if s.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
@@ -92,10 +96,11 @@ def a10(s: SparkSession, d: str) -> DataFrame:
     return st.load_state("types", 3)
 
 
-@query("a11", "SELECT 3 AS step, 259200 AS length_seconds")
+@query("a11", "SELECT max(step) AS step, 259200 AS length_seconds FROM ev")
 def a11(s: SparkSession, d: str) -> DataFrame:
+    """Where a run over the events stopped, saved and read back."""
     st = store.ResultStore(s, folder(s, "store"))
-    st.save_position(3, "2024-01-13", 259200)
+    st.save_position(view(s, d, "ev").agg(F.max("step")).first()[0], "2024-01-13", 259200)
     p = st.load_position()
     return s.createDataFrame([(p["step"], p["length_seconds"])], "step int, length_seconds int")
 
@@ -108,33 +113,45 @@ def a12(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(0 if st.load_state("types", 3) is None else 1,)], "n int")
 
 
-@query("a14", "SELECT 'Q1' AS title, 2 AS revisions")
+@query("a14", "SELECT concat('Q', CAST(user_id AS STRING)) AS title, count(*) AS revisions, min(event_id) AS first, max(event_id) AS last FROM ev GROUP BY user_id")
 def a14(s: SparkSession, d: str) -> DataFrame:
-    """Entity pages of a small XML dump."""
-    rev = "<revision><id>{0}</id><timestamp>2013-01-0{0}T00:00:00Z</timestamp><text>x</text></revision>"
-    both = rev.format(1) + rev.format(2)
-    path = folder(s, "dump")
-    s.createDataFrame([("<mediawiki>" + "".join(f"<page><title>{t}</title>{both}</page>" for t in ("Q1", "P2")) + "</mediawiki>",)], "value string").coalesce(1).write.text(path)
-    return tables.pages(s, path).select("title", F.size("revision").alias("revisions"))
-
-
-@query("a15", "SELECT * FROM (VALUES (1, '{\"a\":\"b\"}'), (2, CAST(NULL AS STRING)), (3, '{\"a\":1}')) t(n, text)")
+    """Entity pages of an XML dump made of the events, beside pages of other kinds."""
+    ev, path = view(s, d, "ev"), folder(s, "dump")
+    rev = F.concat(F.lit("<revision><id>"), F.col("event_id").cast("string"), F.lit("</id><timestamp>2013-01-01T00:00:00Z</timestamp><text>x</text></revision>"))
+    both = ev.groupBy("user_id").agg(F.array_join(F.collect_list(rev), "").alias("r"))
+    page = F.concat(F.lit("<page><title>"), F.col("kind"), F.col("user_id").cast("string"), F.lit("</title>"), F.col("r"), F.lit("</page>"))
+    pages = both.select("user_id", "r", F.explode(F.array(F.lit("Q"), F.lit("P"))).alias("kind")).select((F.col("user_id") % 4).alias("part"), page.alias("page"))
+    files = pages.groupBy("part").agg(F.concat(F.lit("<mediawiki>"), F.array_join(F.collect_list("page"), "\n"), F.lit("</mediawiki>")).alias("value"))  # a dump's files are documents
+    files.write.partitionBy("part").text(path)
+    ids = F.transform("revision", lambda r: r["id"])
+    return tables.pages(s, path).select("title", F.size("revision").alias("revisions"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
+
+
+@query("a15", """SELECT event_id AS n, CASE event_id % 3 WHEN 0 THEN concat('{"a":"', event_type, '"}') WHEN 2 THEN concat('{"a":', CAST(event_id AS STRING), '}') END AS text FROM ev""")
 def a15(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(1, "{&quot;a&quot;:&quot;b&quot;}"), (2, "{broken"), (3, '{"a":\x011}')], "n int, text string")
-    return rows.select("n", tables.clean_json(F.col("text")).alias("text"))
+    """Texts with entities, broken ones, and ones with control characters."""
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, F.concat(F.lit("{&quot;a&quot;:&quot;"), "event_type", F.lit("&quot;}"))).when(kind == 1, F.lit("{broken")).otherwise(F.concat(F.lit('{"a":\x01'), F.col("event_id").cast("string"), F.lit("}")))
+    return view(s, d, "ev").select(F.col("event_id").alias("n"), tables.clean_json(text).alias("text"))
 
 
-@query("a16", "SELECT * FROM (VALUES (569, 'born'), (570, 'died')) t(property_id, label)")
+@query("a16", "SELECT n_nationkey AS property_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE concat('old ', n_name) END AS label FROM nation")
 def a16(s: SparkSession, d: str) -> DataFrame:
-    path = folder(s, "labels")
-    s.createDataFrame([("569;birth\n570;died\n569;born",)], "value string").coalesce(1).write.text(path)
+    """A CSV file in which every second key comes again, with another label."""
+    path, nation = folder(s, "labels"), s.read.parquet(f"{d}/nation.parquet").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+    old = nation.select(F.lit(0).alias("o"), "n_nationkey", F.concat(F.lit("old "), "n_name").alias("label"))
+    rows = old.unionByName(nation.where("n_nationkey % 2 = 0").select(F.lit(1).alias("o"), "n_nationkey", F.col("n_name").alias("label")))
+    line = F.format_string("%d;%s", "n_nationkey", "label")
+    rows.coalesce(1).sortWithinPartitions("o", "n_nationkey").select(line.alias("value")).write.text(path)
     return tables.read_dimension(s, path, "property_id int, label string", ["property_id"])
 
 
-@query("a17", "SELECT 1 AS entity_id, 5 AS class_id, 'normal' AS rank")
+@query("a17", "SELECT DISTINCT user_id AS entity_id, user_id % 25 AS class_id, 'normal' AS rank FROM ev")
 def a17(s: SparkSession, d: str) -> DataFrame:
-    item = '{"id":"Q1","labels":{"en":{"value":"x"}},"aliases":{},"claims":{"P31":[{"rank":"normal","mainsnak":{"datavalue":{"value":{"id":"Q5"}}}}]}}'
-    return tables.dump_entities(s.createDataFrame([(item,)], "json string"))["entity_type"]
+    """Items of a dump, one per user."""
+    item = '{"id":"Q%d","labels":{"en":{"value":"x"}},"aliases":{},"claims":{"P31":[{"rank":"normal","mainsnak":{"datavalue":{"value":{"id":"Q%d"}}}}]}}'
+    users = view(s, d, "ev").select("user_id").distinct()
+    return tables.dump_entities(users.select(F.format_string(item, "user_id", F.col("user_id") % 25).alias("json")))["entity_type"]
 
 
 query("a18", "SELECT DISTINCT entity_id FROM ev WHERE step > 2 AND entity_id NOT IN (SELECT entity_id FROM ev WHERE step <= 2)")(
@@ -163,11 +180,13 @@ query("a24", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'even' ELSE con
 )
 
 
-@query("a22", "SELECT * FROM (VALUES (1, 'entity_count', 0.5), (1, 'property_count', 1.5)) t(iteration, metric, seconds)")
+@query("a22", "SELECT step AS iteration, concat(event_type, '_count') AS metric, count(*) / 2.0e0 AS seconds FROM ev WHERE step < (SELECT max(step) FROM ev) GROUP BY step, event_type")
 def a22(s: SparkSession, d: str) -> DataFrame:
-    path = folder(s, "runlog")
-    lines = "(Iteration 1) entity_count: took 0.5 s\n(Iteration 1) property_count: took 1.5 s\nIteration 1 done\n(Iteration 2) entity_count: took 0.7 s"
-    s.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    """A run's log made of the events; its last iteration has no closing line."""
+    path, ev = folder(s, "runlog"), view(s, d, "ev")
+    took = ev.groupBy("step", "event_type").count().select("step", F.lit(0).alias("o"), F.format_string("(Iteration %d) %s_count: took %.1f s", "step", "event_type", F.col("count") / 2).alias("value"))
+    done = ev.groupBy().agg(F.max("step").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("step")).select("step", F.lit(1).alias("o"), F.format_string("Iteration %d done", "step").alias("value"))
+    took.unionByName(done).coalesce(1).sortWithinPartitions("step", "o", "value").select("value").write.text(path)
     return tables.parse_log(s, path).select("iteration", "metric", "seconds")
 
 
@@ -178,10 +197,13 @@ def a26(s: SparkSession, d: str) -> DataFrame:
     return st.state_sizes()
 
 
-@query("b20", "SELECT 7 AS entity_id, 'nine' AS label")
+@query("b20", "SELECT DISTINCT user_id AS entity_id, concat('label ', CAST(user_id % 10 AS STRING)) AS label FROM ev WHERE event_id % 5 = 0 AND user_id >= 10")
 def b20(s: SparkSession, d: str) -> DataFrame:
-    revisions = s.createDataFrame([(7, True, "/* wbcreateredirect:0||Q7|Q9 */"), (8, False, "x")], "entity_id int, redirect boolean, comment string")
-    return tables.redirect_labels(revisions, s.createDataFrame([(9, "nine")], "entity_id int, label string"))
+    """Every fifth event redirects its user; users below 10 have labels of their own."""
+    ev = view(s, d, "ev")
+    comment = F.format_string("/* wbcreateredirect:0||Q%d|Q%d */", "user_id", F.col("user_id") % 10)
+    revisions = ev.select(F.col("user_id").alias("entity_id"), (F.col("event_id") % 5 == 0).alias("redirect"), comment.alias("comment"))
+    return tables.redirect_labels(revisions, s.range(10).select(F.col("id").alias("entity_id"), F.concat(F.lit("label "), F.col("id").cast("string")).alias("label")))
 
 
 @query("b21", "SELECT entity_id, class_id, concat('class ', CAST(class_id AS STRING)) AS class_label FROM et")
