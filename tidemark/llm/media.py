@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import saved
+from tidemark.llm.storage import Tables, saved
 from tidemark.llm.wordids import slices
 
 FRAME, WIDTH = 576, 24
@@ -116,7 +116,11 @@ STORED = f"name binary, media binary, sizes array<int>, shared {SHARED}, own_byt
 def store(docs: DataFrame) -> DataFrame:
     """(name, media, sizes, shared, own_bytes, own) per distinct image: the image's digest, the sizes of its chunks in order, those that are in
     several places (and whether this is the owner's), and how many bytes it owns and these bytes in order, compressed."""
-    shared = saved(shared_chunks(saved(chunk_lists(docs), "chunk-lists")), "shared")
+    working = Tables()
+    with working:
+        found = shared_chunks(saved(chunk_lists(docs), "chunk-lists"))
+    shared = saved(found, "shared")
+    working.release(docs.sparkSession)
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
