@@ -263,3 +263,54 @@ def test_spikes(spark, limit, reserved):
     want = {(m, 10 * i, most, way) for m, y in series.items() for i, most, way in slow_spikes(y, 2, 0.2, limit, reserved)}
     assert {(r["metric"], r["step"], r["prominence"], r["direction"]) for r in got} == want
     assert reserved == 5 or ("drop", 30, 5.0, -1) in want
+
+
+def test_replacements_against_a_loop(spark):
+    """Each statement by itself: an edit takes the first open one of the other sign that is at most a day old."""
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(12)}", rng.randrange(4 * DAY), k, rng.choice([-1, 1]), f"d{rng.randrange(4)}") for k in range(300)]
+    want: dict = {}
+    for name in {r[0] for r in rows}:
+        edits = sorted((r[1], r[2], r[3], r[4]) for r in rows if r[0] == name)
+        used: set = set()
+        for us, i, sign, domain in edits:
+            mate = next(((u, j, g, o) for u, j, g, o in edits if (u, j) < (us, i) and j not in used and g == -sign and us - u <= DAY), None)
+            if mate is None:
+                continue
+            used |= {i, mate[1]}
+            pair = (domain, mate[3]) if sign < 0 else (mate[3], domain)
+            if pair[0] != pair[1]:
+                want[pair] = want.get(pair, 0) + 1
+    got = graph.replacements(spark.createDataFrame(rows, "statement string, us long, revision_id long, sign int, domain string"), DAY).collect()
+    assert {(r["src"], r["dst"]): r["weight"] for r in got} == want and len(want) > 5
+
+
+def test_light_vertices_become_one(spark):
+    edges = spark.createDataFrame([("a", "x", 2), ("a", "y", 3), ("x", "y", 5), ("x", "a", 7), ("a", "b", 1)], "src string, dst string, weight long")
+    mass = spark.createDataFrame([("a", 9.0), ("b", 9.0), ("x", 1.0)], "domain string, mass double")
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.contracted(edges, mass, 3, 4, "*").collect()}
+    assert got == {("a", "*"): 5, ("*", "*"): 5, ("*", "a"): 7, ("a", "b"): 1}
+    assert graph.contracted(edges, mass, 3, 5).count() == 5
+
+
+def test_csv_series(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("timestamp,a,b\n2024-01-02 00:00:00,1,\n2024-01-01T00:00:00+00:00,,\n")
+    got = {(r["series"], str(r["timestamp"])[:10]): r["value"] for r in tables.csv_series(spark, f"file://{tmp_path}/s.csv", ["a"]).collect()}
+    assert got == {("a", "2024-01-02"): 1.0, ("a", "2024-01-01"): None}
+    for columns, what in ((["c"], "lacks"), (["b"], "no data")):
+        with pytest.raises(ValueError, match=what):
+            tables.csv_series(spark, f"file://{tmp_path}/s.csv", columns)
+
+
+def test_attached_database(spark, tmp_path):
+    """A table of an external database, in ranges of its key; the embedded database that Spark ships stands for it."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(50).select(F.col("id").alias("ID"), (F.col("id") * 2).alias("V"))
+    rows.write.jdbc(url, "T", properties={"driver": driver})
+    got = tables.attach_jdbc(spark, url, "T", "ID", [0, 10, 40], driver=driver)
+    assert got.rdd.getNumPartitions() == 2 and sorted(map(tuple, got.collect())) == [(k, 2 * k) for k in range(40)]
+
+
+@pytest.mark.parametrize("text", ["{}", '{"a": 1}', "Q5", '"Q5"', "22", "", None])
+def test_stored_values(text):
+    assert schema.read_value(text) == {"{}": {}, '{"a": 1}': {"a": 1}, '"Q5"': "Q5"}.get(text, text)

@@ -43,6 +43,18 @@ def without_low_mass(edges: DataFrame, mass: DataFrame, least: float, live: int)
     return edges.join(heavy.withColumnRenamed("domain", "src"), "src", "left_semi").join(heavy.withColumnRenamed("domain", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
+def contracted(edges: DataFrame, mass: DataFrame, least: float, live: int, into: str = "(contracted)") -> DataFrame:
+    """Edges with all vertices of less than ``least`` mass made one, once there are ``live`` vertices or more; edges that become alike are summed."""
+    v = edges.select(F.col("src").alias("domain")).unionByName(edges.select(F.col("dst").alias("domain"))).where(F.col("domain") != into).distinct()
+    if v.count() < live:
+        return edges
+    light = v.join(mass.where(F.col("mass") >= least).select("domain"), "domain", "left_anti").withColumn("to", F.lit(into))
+    rows = edges
+    for end in ("src", "dst"):
+        rows = rows.join(light.withColumnRenamed("domain", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def accepted_edges(edges: DataFrame, ratio: float = 0.05, clear: float = 0.8, strict: bool = True) -> DataFrame:
     """Relevant and clear edges: heavier than the weight at place ceil(ratio * n) - 1 in order, and at least ``clear`` times the reverse.
 
@@ -79,11 +91,15 @@ def degree_with_path(edges: DataFrame, hops: int = 3) -> DataFrame:
     """As simple_degree, but contested only where every out-neighbour reaches back within ``hops``; else dominated."""
     e = settled(edges.select("src", "dst").distinct())  # each hop reads them
     plain = simple_degree(e)
-    reach = e.select(F.col("src").alias("origin"), F.col("dst").alias("start"), F.col("dst").alias("at"))  # from each out-neighbour
-    back = reach.where("at = origin").select("origin", "start")
+    contested = plain.where(F.col("class") == "contested").select(F.col("domain").alias("src"))
+    # from each out-neighbour of a vertex that this can change; a neighbour that is back walks no further
+    reach = e.join(contested, "src", "left_semi").select(F.col("src").alias("origin"), F.col("dst").alias("start"), F.col("dst").alias("at"))
+    pair = ["origin", "start"]
+    back = reach.where("at = origin").select(*pair)
     for _ in range(hops):
-        reach = reach.join(e, reach["at"] == e["src"]).select("origin", "start", F.col("dst").alias("at")).distinct()
-        back = back.unionByName(reach.where("at = origin").select("origin", "start"))
+        open_ = reach.join(reach.where("at = origin").select(*pair).distinct(), pair, "left_anti")
+        reach = settled(open_.join(e, open_["at"] == e["src"]).select(*pair, F.col("dst").alias("at")).distinct())
+        back = back.unionByName(reach.where("at = origin").select(*pair))
     lost = e.select(F.col("src").alias("origin"), F.col("dst").alias("start")).join(back.distinct(), ["origin", "start"], "left_anti").select(F.col("origin").alias("domain")).distinct().withColumn("lost", F.lit(True))
     return plain.join(lost, "domain", "left").select("domain", F.when((F.col("class") == "contested") & F.col("lost"), "dominated").otherwise(F.col("class")).alias("class"))
 

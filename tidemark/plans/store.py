@@ -197,6 +197,16 @@ def a26(s: SparkSession, d: str) -> DataFrame:
     return st.state_sizes()
 
 
+@query("j3", "SELECT event_type AS series, step AS day, CAST(count(*) AS DOUBLE) AS value FROM ev WHERE event_type IN ('click', 'view') GROUP BY event_type, step")
+def j3(s: SparkSession, d: str) -> DataFrame:
+    """Series of a CSV file made of the events, a column per type."""
+    path, ev = folder(s, "series"), view(s, d, "ev")
+    wide = ev.groupBy("step").pivot("event_type", ["click", "view"]).count()
+    wide.select(F.date_format(F.expr("date'2024-01-01' + make_interval(0, 0, 0, cast(step as int))"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "click", "view").write.option("header", "true").csv(path)
+    day = F.date_diff(F.col("timestamp"), F.lit("2024-01-01")).cast("long")
+    return tables.csv_series(s, path, ["click", "view"]).where("value is not null").select("series", day.alias("day"), "value")
+
+
 @query("b20", "SELECT DISTINCT user_id AS entity_id, concat('label ', CAST(user_id % 10 AS STRING)) AS label FROM ev WHERE event_id % 5 = 0 AND user_id >= 10")
 def b20(s: SparkSession, d: str) -> DataFrame:
     """Every fifth event redirects its user; users below 10 have labels of their own."""

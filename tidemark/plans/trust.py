@@ -248,10 +248,30 @@ FROM mass9 m LEFT JOIN v ON v.domain = m.domain LEFT JOIN deg ON deg.domain = m.
 query("h24")(lambda s, d: graph.replacements(refs(s, d), 86400 * 1000000))
 
 
-@query("h25")
+OLDEST = """WITH ce AS (SELECT CASE WHEN src IN (SELECT domain FROM mass9 WHERE mass >= 40) THEN src ELSE '(contracted)' END AS src, CASE WHEN dst IN (SELECT domain FROM mass9 WHERE mass >= 40) THEN dst ELSE '(contracted)' END AS dst,
+  CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY 1, 2),
+o AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS k, count(*) OVER () AS n FROM ce), cut AS (SELECT weight AS c FROM o WHERE k = CAST(floor(0.3e0 * n) AS BIGINT)),
+acc AS (SELECT e.src, e.dst, e.weight FROM ce e LEFT JOIN ce r ON r.src = e.dst AND r.dst = e.src CROSS JOIN cut WHERE e.weight >= cut.c AND e.weight > 0.8e0 * coalesce(r.weight, 0))
+"""
+WALKS = "".join(f",\nr{k} AS (SELECT DISTINCT origin, start, a.dst AS pos FROM r{k - 1} JOIN acc a ON a.src = r{k - 1}.pos)" for k in range(1, 6))
+
+
+@query(
+    "h25",
+    OLDEST.rstrip()
+    + DEGREE
+    + ",\nr0 AS (SELECT src AS origin, dst AS start, dst AS pos FROM acc)"
+    + WALKS
+    + """,
+back AS (SELECT origin, start FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5) WHERE pos = origin),
+lost AS (SELECT DISTINCT src FROM acc WHERE (src, dst) NOT IN (SELECT (origin, start) FROM back))
+SELECT domain, CASE WHEN class = 'contested' AND domain IN (SELECT src FROM lost) THEN 'dominated' ELSE class END AS class FROM deg""",
+)
 def h25(s: SparkSession, d: str) -> DataFrame:
-    """The oldest classifier: older cutoffs, paths of up to five edges."""
-    e = graph.without_low_mass(edges(s, d), mass9(s, d), 3, 10)
+    """The oldest classifier: domains of low mass made one, older cutoffs, paths of up to five edges."""
+    r = settled(refs(s, d).select("statement", "us", "revision_id", "reference", "domain", "sign", "step"))
+    m = mass_of(counts_of(r, spine(s, d))).where(F.col("step") == LAST).select("domain", "mass")
+    e = settled(graph.contracted(settled(graph.edges_at(prefs_of(r), LAST)), m, 40, 1))
     return graph.degree_with_path(graph.accepted_edges(e, 0.3, strict=False), 5)
 
 
@@ -262,17 +282,18 @@ WHERE e.src = (SELECT min(src) FROM edges) ORDER BY e.weight DESC, e.dst LIMIT 5
 )(lambda s, d: graph.neighbours(edges(s, d), edges(s, d).agg(F.min("src")).first()[0] or "", 5))
 
 
-@query("j20")
+@query(
+    "j20",
+    """WITH f AS (SELECT out_weight + in_weight AS w, mass FROM flow JOIN mass9 ON mass9.domain = flow.domain WHERE step = 9), grid AS (SELECT * FROM (VALUES (0.01e0), (0.05e0), (0.1e0)) t(threshold) CROSS JOIN (VALUES (5.0e0), (1000.0e0)) c(cap))
+SELECT threshold, cap, count(CASE WHEN w >= least(threshold * mass, cap) THEN 1 END) AS domains, coalesce(sum(CASE WHEN w >= least(threshold * mass, cap) THEN mass END), 0) AS mass FROM grid CROSS JOIN f GROUP BY threshold, cap""",
+)
 def j20(s: SparkSession, d: str) -> DataFrame:
     """Domains and mass that pass each guard of a grid of (threshold, cap)."""
-    flow = trust.flows(prefs(s, d), spine(s, d)).where(F.col("step") == LAST).join(mass9(s, d), "domain")
-    out = None
-    for t in (0.01, 0.05, 0.1):  # a small fixed grid, each an aggregation of the same rows
-        for cap in (5.0, 1000.0):
-            ok = (F.col("out_weight") + F.col("in_weight")) >= F.least(F.lit(t) * F.col("mass"), F.lit(cap))
-            row = flow.agg(F.count_if(ok).alias("domains"), F.coalesce(F.sum(F.when(ok, F.col("mass"))), F.lit(0.0)).alias("mass")).select(F.lit(t).alias("threshold"), F.lit(cap).alias("cap"), "domains", "mass")
-            out = row if out is None else out.unionByName(row)
-    return out
+    flow, counts = flow_and_counts(s, d)
+    rows = flow.where(F.col("step") == LAST).join(mass_of(counts).where(F.col("step") == LAST).drop("step"), "domain")
+    grid = F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(cap).alias("cap")) for t in (0.01, 0.05, 0.1) for cap in (5.0, 1000.0)))  # small and fixed
+    each = rows.withColumn("g", F.explode(grid)).select("g.*", "mass", (F.col("out_weight") + F.col("in_weight") >= F.least(F.col("g.threshold") * F.col("mass"), F.col("g.cap"))).alias("ok"))
+    return each.groupBy("threshold", "cap").agg(F.count_if("ok").alias("domains"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("mass"))), F.lit(0.0)).alias("mass"))
 
 
 query(

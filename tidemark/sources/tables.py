@@ -141,6 +141,25 @@ def lookup_labels(ids: DataFrame, labels: DataFrame, key: str = "entity_id", pre
     return ids.join(labels.select(key, "label"), key, "left").withColumn("label", F.coalesce("label", F.concat(F.lit(prefix), F.col(key).cast("string"))))
 
 
+def csv_series(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(series, timestamp, value) of columns of a CSV file with a timestamp column; times without a zone are UTC. Missing values stay, as gaps.
+
+    A column that is absent, or has no value at all, is an error.
+    """
+    rows = spark.read.option("header", "true").csv(path)
+    absent = [c for c in ["timestamp", *columns] if c not in rows.columns]
+    if absent:
+        raise ValueError(f"{path} lacks {absent}")
+    number = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).cast("double") for c in columns}
+    seen = rows.agg(*(F.count(F.nullif(v, F.lit(float("nan")))).alias(c) for c, v in number.items())).first()
+    empty = [c for c in columns if not seen[c]]
+    if empty:
+        raise ValueError(f"{path} has no data in {empty}")
+    zoned = F.when(F.col("timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.col("timestamp")).otherwise(F.concat("timestamp", F.lit("Z"))).cast("timestamp")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("series"), v.alias("value")) for c, v in number.items())))
+    return rows.select(zoned.alias("timestamp"), each.alias("s")).select("s.series", "timestamp", "s.value")
+
+
 def parse_log(spark: SparkSession, path: str) -> DataFrame:
     """(iteration, metric, seconds) from run logs: the iteration named last above a timing line holds for it.
 
