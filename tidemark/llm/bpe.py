@@ -228,11 +228,14 @@ def encode(
 
     out, cell = f"id {id_type}, {columns}", f"id {id_type}, row long, k int, n int, text string"
     node = f"{cell}, starts binary, ends binary, lengths binary, ids binary"
-    long = F.length("text") > leaf
-    cells = rows.where(long).withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text").mapInArrow(cut, cell)
-    nodes = cells.repartition("row", "k").mapInArrow(leaves, node).groupBy("row", F.expr(f"k div {FAN}")).applyInArrow(joined, node)
-    roots = nodes.where(F.col("n") <= FAN).unionByName(nodes.where(F.col("n") > FAN).groupBy("row").applyInArrow(joined, node))
-    return rows.where(~long).mapInArrow(short, out).unionByName(roots.mapInArrow(finished, out)).withColumnRenamed("id", id_col)
+    size = F.length("text")
+
+    def nodes(some: DataFrame) -> DataFrame:
+        cells = some.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text").mapInArrow(cut, cell)
+        return cells.repartition("row", "k").mapInArrow(leaves, node).groupBy("row", F.expr(f"k div {FAN}")).applyInArrow(joined, node)
+
+    roots = nodes(rows.where((size > leaf) & (size <= FAN * leaf))).unionByName(nodes(rows.where(size > FAN * leaf)).groupBy("row").applyInArrow(joined, node))
+    return rows.where(size <= leaf).mapInArrow(short, out).unionByName(roots.mapInArrow(finished, out)).withColumnRenamed("id", id_col)
 
 
 _tables: dict[str, list[str]] = {}
