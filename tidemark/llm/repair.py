@@ -260,7 +260,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, partitions: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, 1_000_000)  # the only worker of its task
         base = max(enc.tokenizer.get_vocab_size(), end + 1)
         last = np.array([end], ID).tobytes()
         kind = None

@@ -23,6 +23,7 @@ import pyarrow.compute  # noqa: F401
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # str.split() also cuts at these, some of which are no white space to the tokenizer
 ODD_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+KEPT = 400_000  # about 100 MB; a task may have several Python workers
 TAIL = string.punctuation.replace("'", "")
 ID = np.dtype("<u4")
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and up, in order.
@@ -93,7 +94,7 @@ class _Known(dict):
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids. limit bounds the words kept, not the results."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -135,11 +136,11 @@ class WordEncoder:
         return list(map(self.words.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, limit: int = KEPT) -> WordEncoder:
+    """One encoder per Python worker, vocabulary and number of words kept."""
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = WordEncoder(path, limit)
+    return _encoders[path, limit]
